@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The ASCII white space of the word pattern ``[^\\x20\\x09-\\x0D]+``.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -53,7 +54,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
     """The batch in slices of about ``limit`` bytes of ``column``, a row at least."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // limit
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
