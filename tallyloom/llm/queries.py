@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, quality, urlfilter
+from . import bpe, licenses, quality, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
@@ -36,10 +40,30 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_zip": op2_warc_zip,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_zip": """
+        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+        d as (select page_id, octet_length(body) as payload_bytes, body, upper(sha1(body)) as h from p),
+        f as (select *, min(page_id) over (partition by h) as first_id from d)
+        select page_id, payload_bytes,
+            array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * i::int, 5))::int >> (15 - 5 * j::int)) & 31)::int, 1)), '')), '') as payload_digest,
+            case when first_id is null or page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+            case when first_id is not null and page_id is distinct from first_id then first_id end as refers_to
+        from f""",
+    "op5_url_filter": """
+        with rules(host, path, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        p as (select row_number() over () as r, page_id,
+                translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+        best as (select r, arg_max(x.host || x.path, length(x.host) * 100000 + length(x.host || x.path)) as rule, arg_max(verdict, length(x.host) * 100000 + length(x.host || x.path)) as verdict
+                from p join rules x on (p.host = x.host or ends_with(p.host, '.' || x.host)) and starts_with(p.path, x.path) group by r)
+        select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (r)""",
+}
