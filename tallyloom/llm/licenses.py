@@ -3,7 +3,7 @@
 A text that no keyword of any rule can occur in is settled by one regular expression.
 The others are lower-cased (A-Z) and reduced to words joined by single spaces. Each
 rule is a regular expression over those words, tried only where its own keyword
-occurs. Detections are word intervals; swept by (start, longest first, priority), one
+and one of its license's names occur. Detections are word intervals; swept by (start, longest first, priority), one
 that lies within an earlier interval is dropped unless its priority is higher, so
 ``gnu lesser general public license version 3`` hides the ``general public license``
 inside it. Everything happens within a row: no shuffle, no explode.
@@ -37,72 +37,73 @@ class Rule:
     pattern: str
     priority: int
     weight: float
+    names: tuple[str, ...] = (" ",)
 
 
-#: label, how the license is named in running text (a regular expression over words), its SPDX words
+#: label, how the license is named in running text (a regular expression over words), its SPDX words, and what occurs in any text that names it
 NAMES = (
-    ("mit", "(?:mit|expat|x11)", "mit"),
-    ("mit-0", "mit no attribution", "mit 0"),
-    ("isc", "isc", "isc"),
-    ("apache-1.1", "apache(?: software)?(?: license)? (?:version |v)?1 1", "apache 1 1"),
-    ("apache-2", "apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?", "apache 2 0"),
-    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd 2 clause"),
-    ("bsd-3-clause", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)", "bsd 3 clause"),
-    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
-    ("0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd"),
-    ("gpl-2", "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?2(?: 0)?", "gpl 2 0"),
-    ("gpl-3", "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?3(?: 0)?", "gpl 3 0"),
-    ("lgpl-2.1", "(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v)?2 1", "lgpl 2 1"),
-    ("lgpl-3", "(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v)?3(?: 0)?", "lgpl 3 0"),
-    ("agpl-3", "(?:gnu )?(?:affero general public license|agpl) ?(?:version |v)?3(?: 0)?", "agpl 3 0"),
-    ("gfdl", "(?:gnu )?free documentation", "gfdl 1 3"),
-    ("mpl-1.1", "(?:mozilla public license|mpl) ?(?:version |v)?1 1", "mpl 1 1"),
-    ("mpl-2", "(?:mozilla public license|mpl) ?(?:version |v)?2(?: 0)?", "mpl 2 0"),
-    ("epl-1", "eclipse public(?: license)? ?(?:version |v)?1(?: 0)?", "epl 1 0"),
-    ("epl-2", "eclipse public(?: license)? ?(?:version |v)?2(?: 0)?", "epl 2 0"),
-    ("cddl-1", "common development and distribution", "cddl 1 0"),
-    ("cpl-1", "common public(?: license)? ?(?:version |v)?1(?: 0)?", "cpl 1 0"),
-    ("eupl-1.2", "(?:european union public|eupl)(?: licence| license)? ?(?:version |v)?1 2", "eupl 1 2"),
-    ("artistic-1", "artistic(?: license)? (?:version |v)?1(?: 0)?", "artistic 1 0"),
-    ("artistic-2", "artistic(?: license)? (?:version |v)?2(?: 0)?", "artistic 2 0"),
-    ("bsl-1", "boost software(?: license)?(?: version)?(?: 1 0)?", "bsl 1 0"),
-    ("busl-1.1", "business source(?: license)?(?: 1 1)?", "busl 1 1"),
-    ("sspl-1", "server side public(?: license)?", "sspl 1 0"),
-    ("elastic-2", "elastic(?: license)?(?: 2 0)?", "elastic 2 0"),
-    ("cc0", "(?:cc0|cc 0|creative commons zero)(?: 1 0)?", "cc0 1 0"),
-    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?", "cc by 4 0"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by sa 4 0"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?", "cc by nd 4 0"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", "cc by nc 4 0"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", "cc by nc nd 4 0"),
-    ("unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl"),
-    ("zlib", "(?:zlib|zlib libpng)", "zlib"),
-    ("libpng", "(?:libpng|png reference library)", "libpng"),
-    ("python-2", "(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?", "psf 2 0"),
-    ("ruby", "ruby", "ruby"),
-    ("php-3.01", "php(?: license)?(?: version)?(?: 3 01)?", "php 3 01"),
-    ("ofl-1.1", "(?:sil )?open font(?: license)?(?: version)?(?: 1 1)?", "ofl 1 1"),
-    ("odbl-1", "(?:open database|odbl)", "odbl 1 0"),
-    ("odc-by", "(?:open data commons attribution|odc by)", "odc by 1 0"),
-    ("pddl", "(?:public domain dedication and|pddl)", "pddl 1 0"),
-    ("openssl", "openssl", "openssl"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("ncsa", "(?:ncsa|university of illinois)(?: open source)?", "ncsa"),
-    ("ms-pl", "(?:microsoft public|ms pl)", "ms pl"),
-    ("ms-rl", "(?:microsoft reciprocal|ms rl)", "ms rl"),
-    ("osl-3", "open software(?: license)? ?(?:version |v)?3(?: 0)?", "osl 3 0"),
-    ("afl-3", "academic free(?: license)? ?(?:version |v)?3(?: 0)?", "afl 3 0"),
-    ("cecill-2.1", "cecill", "cecill 2 1"),
-    ("upl-1", "universal permissive", "upl 1 0"),
-    ("json", "json", "json"),
-    ("curl", "curl", "curl"),
-    ("vim", "vim", "vim"),
-    ("ogl-uk-3", "open government(?: licence| license)?(?: v| version)?(?: ?3(?: 0)?)?", "ogl uk 3 0"),
-    ("mulan-2", "mulan(?: permissive software)?", "mulanpsl 2 0"),
+    ("mit", "(?:mit|expat|x11)", "mit", (" mit ", " expat ", " x11 ",)),
+    ("mit-0", "mit no attribution", "mit 0", (" mit no ",)),
+    ("isc", "isc", "isc", (" isc ",)),
+    ("apache-1.1", "apache(?: software)?(?: license)? (?:version |v)?1 1", "apache 1 1", (" apache ",)),
+    ("apache-2", "apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?", "apache 2 0", (" apache ",)),
+    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd 2 clause", ("bsd ",)),
+    ("bsd-3-clause", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)", "bsd 3 clause", ("bsd ",)),
+    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause", ("bsd ",)),
+    ("0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd", ("bsd ",)),
+    ("gpl-2", "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?2(?: 0)?", "gpl 2 0", ("general public", " gpl",)),
+    ("gpl-3", "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?3(?: 0)?", "gpl 3 0", ("general public", " gpl",)),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v)?2 1", "lgpl 2 1", ("lesser general", " lgpl",)),
+    ("lgpl-3", "(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v)?3(?: 0)?", "lgpl 3 0", ("lesser general", " lgpl",)),
+    ("agpl-3", "(?:gnu )?(?:affero general public license|agpl) ?(?:version |v)?3(?: 0)?", "agpl 3 0", ("affero", " agpl",)),
+    ("gfdl", "(?:gnu )?free documentation", "gfdl 1 3", ("free documentation", " gfdl",)),
+    ("mpl-1.1", "(?:mozilla public license|mpl) ?(?:version |v)?1 1", "mpl 1 1", ("mozilla", " mpl",)),
+    ("mpl-2", "(?:mozilla public license|mpl) ?(?:version |v)?2(?: 0)?", "mpl 2 0", ("mozilla", " mpl",)),
+    ("epl-1", "eclipse public(?: license)? ?(?:version |v)?1(?: 0)?", "epl 1 0", ("eclipse", " epl",)),
+    ("epl-2", "eclipse public(?: license)? ?(?:version |v)?2(?: 0)?", "epl 2 0", ("eclipse", " epl",)),
+    ("cddl-1", "common development and distribution", "cddl 1 0", ("common development", " cddl",)),
+    ("cpl-1", "common public(?: license)? ?(?:version |v)?1(?: 0)?", "cpl 1 0", ("common public", " cpl",)),
+    ("eupl-1.2", "(?:european union public|eupl)(?: licence| license)? ?(?:version |v)?1 2", "eupl 1 2", ("european union", " eupl",)),
+    ("artistic-1", "artistic(?: license)? (?:version |v)?1(?: 0)?", "artistic 1 0", (" artistic",)),
+    ("artistic-2", "artistic(?: license)? (?:version |v)?2(?: 0)?", "artistic 2 0", (" artistic",)),
+    ("bsl-1", "boost software(?: license)?(?: version)?(?: 1 0)?", "bsl 1 0", (" boost ", " bsl",)),
+    ("busl-1.1", "business source(?: license)?(?: 1 1)?", "busl 1 1", ("business source", " busl",)),
+    ("sspl-1", "server side public(?: license)?", "sspl 1 0", ("server side", " sspl",)),
+    ("elastic-2", "elastic(?: license)?(?: 2 0)?", "elastic 2 0", (" elastic ",)),
+    ("cc0", "(?:cc0|cc 0|creative commons zero)(?: 1 0)?", "cc0 1 0", (" cc0 ", " cc 0 ", "creative commons zero",)),
+    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?", "cc by 4 0", (" cc by ", "creative commons",)),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by sa 4 0", (" cc by sa", "creative commons",)),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?", "cc by nd 4 0", (" cc by nd", "creative commons",)),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", "cc by nc 4 0", (" cc by nc", "creative commons",)),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by nc sa 4 0", (" cc by nc sa", "creative commons",)),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", "cc by nc nd 4 0", (" cc by nc nd", "creative commons",)),
+    ("unlicense", "(?:the )?unlicense", "unlicense", ("unlicense",)),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl", ("wtfpl", "the fuck",)),
+    ("zlib", "(?:zlib|zlib libpng)", "zlib", (" zlib",)),
+    ("libpng", "(?:libpng|png reference library)", "libpng", ("libpng", "png reference",)),
+    ("python-2", "(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?", "psf 2 0", ("python software", " psf ",)),
+    ("ruby", "ruby", "ruby", (" ruby ",)),
+    ("php-3.01", "php(?: license)?(?: version)?(?: 3 01)?", "php 3 01", (" php ",)),
+    ("ofl-1.1", "(?:sil )?open font(?: license)?(?: version)?(?: 1 1)?", "ofl 1 1", ("open font", " ofl ",)),
+    ("odbl-1", "(?:open database|odbl)", "odbl 1 0", ("open database", " odbl",)),
+    ("odc-by", "(?:open data commons attribution|odc by)", "odc by 1 0", ("open data commons", " odc ",)),
+    ("pddl", "(?:public domain dedication and|pddl)", "pddl 1 0", ("domain dedication", " pddl",)),
+    ("openssl", "openssl", "openssl", ("openssl",)),
+    ("postgresql", "postgresql", "postgresql", ("postgresql",)),
+    ("ncsa", "(?:ncsa|university of illinois)(?: open source)?", "ncsa", (" ncsa ", "university of illinois",)),
+    ("ms-pl", "(?:microsoft public|ms pl)", "ms pl", ("microsoft public", " ms pl",)),
+    ("ms-rl", "(?:microsoft reciprocal|ms rl)", "ms rl", ("microsoft reciprocal", " ms rl",)),
+    ("osl-3", "open software(?: license)? ?(?:version |v)?3(?: 0)?", "osl 3 0", ("open software", " osl ",)),
+    ("afl-3", "academic free(?: license)? ?(?:version |v)?3(?: 0)?", "afl 3 0", ("academic free", " afl ",)),
+    ("cecill-2.1", "cecill", "cecill 2 1", ("cecill",)),
+    ("upl-1", "universal permissive", "upl 1 0", ("universal permissive", " upl ",)),
+    ("json", "json", "json", (" json ",)),
+    ("curl", "curl", "curl", (" curl ",)),
+    ("vim", "vim", "vim", (" vim ",)),
+    ("ogl-uk-3", "open government(?: licence| license)?(?: v| version)?(?: ?3(?: 0)?)?", "ogl uk 3 0", ("open government", " ogl ",)),
+    ("mulan-2", "mulan(?: permissive software)?", "mulanpsl 2 0", ("mulan",)),
 )
-#: How a license is declared: the keyword that must occur, the pattern around its name ({n}) or SPDX words ({s}), priority, weight.
+#: How a license is declared: the keyword that must occur too, the pattern around its name ({n}) or SPDX words ({s}), priority, weight.
 WAYS = (
     ("spdx", "spdx license identifier {s}(?: only| or later)?", 9, 1.0),
     ("licen", "licen[cs]ed under(?: the)?(?: terms of the)? {n}(?: licen[cs]e)?", 7, 0.95),
@@ -140,7 +141,7 @@ TEXTS = (
 
 def rules() -> list[Rule]:
     """The signatures, in order of their priority."""
-    made = [Rule(label, key, way.format(n=name, s=spdx), priority, weight) for label, name, spdx in NAMES for key, way, priority, weight in WAYS]
+    made = [Rule(label, key, way.format(n=name, s=spdx), priority, weight, names) for label, name, spdx, names in NAMES for key, way, priority, weight in WAYS]
     return sorted([*made, *TEXTS], key=lambda r: -r.priority)
 
 
@@ -176,8 +177,8 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, base: dict[str,
     out = out.withColumn("n_base", n_base.cast("long")).withColumns({"first_word": F.when(F.col("n_base") > 0, first.cast("long")), "last_word": F.when(F.col("n_base") > 0, last.cast("long"))})
     named = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
     out = out.withColumn("base_found", F.when(F.col("n_base") > 0, F.transform(F.array_distinct("places"), lambda p: named[p])).otherwise(F.array().cast("array<string>")))
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_between(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in signatures])
-    tried = out.withColumn("active", F.when(F.col("w").isNotNull(), F.filter(table, lambda r: F.contains(F.col("w"), r["keyword"]))))
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_between(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.names)).alias("names")) for r in signatures])
+    tried = out.withColumn("active", F.when(F.col("w").isNotNull(), F.filter(table, lambda r: F.contains(F.col("w"), r["keyword"]) & F.exists(r["names"], lambda n: F.contains(F.col("w"), n)))))
     hits = f"""flatten(transform(active, r -> aggregate(
         arrays_zip(split(w, r.pattern, -1), regexp_extract_all(w, r.pattern, 0)),
         named_struct('at', -1, 'hits', cast(array() as array<struct<start: int, back: int, low: int, label: string, weight: double>>)),
