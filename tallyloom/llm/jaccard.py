@@ -4,13 +4,15 @@ A document's set holds the distinct hashes of its ``k``-word shingles. Two sets
 similarity ``percent`` share, under any global order of tokens, one of the first
 n - ceil(percent * n / 100) + 1 of each. The first order puts rare tokens first: counts
 over all documents are gathered in hashed slots of fixed number, so that a passage
-that many documents share stands at the end of all of them; ties go by hash. Pairs
-that share a prefix token there must also share one under two more orders (other
-hashes within the same rarity classes) before their sets are compared exactly.
+that many documents share stands at the end of all of them; ties go by hash. The
+shared prefix tokens of a pair are counted: whatever else the sets have in common lies
+behind one of the prefixes, so the count has a lower bound. Pairs that reach it there
+must also reach it under two more orders (other hashes within the same rarity classes)
+before their sets are compared exactly.
 
 Large groups of copies never become all their pairs. Equal sets are one node. Nodes
-that share a minimum hash with another are compared with the bucket's smallest node
-only; the links found so give preliminary components. In the exact join a token whose
+that share half of their minimum hashes with the smallest node of those hashes' buckets
+are compared with it alone; the links found so give preliminary components. In the exact join a token whose
 nodes all are in one component is dropped, and only pairs across components are
 formed, so no link between components is lost and the components are exact.
 
@@ -199,17 +201,25 @@ class JaccardJoin:
     def _similar_sizes(self, a: str, b: str):
         return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are links."""
+    def _enough(self, shared: str, na: str, nb: str):
+        """Whether so many shared prefix tokens leave room for a link."""
+        t = self.percent
+        rest = lambda n: f"floor(({t} * {n} + 99) / 100) - 1"  # noqa: E731  tokens behind the prefix
+        return F.expr(f"{shared} >= ceil({t} * ({na} + {nb}) / {100 + t}) - greatest({rest(na)}, {rest(nb)})")
+
+    def _verified(self, pairs: DataFrame, orders: int) -> DataFrame:
+        """Those of the pairs (a, b) that are links; ``orders`` more filters come first."""
         wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(self.nodes.select(F.col("node").alias("wanted"), "id"), "wanted"), "wanted")
         texts = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(self._small(wanted), "id").select("wanted", "text")
         schema = "wanted long, node long, tokens array<long>" + "".join(f", p{o} array<long>" for o in range(1, MORE_ORDERS + 1))
         sets = stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted"), "token-sets")
-        prefixes = sets.select("node", *[f"p{o}" for o in range(1, MORE_ORDERS + 1)])
         side = lambda frame, name: frame.select([F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in frame.columns])
-        near = pairs.join(side(prefixes, "a"), "a").join(side(prefixes, "b"), "b")
-        for o in range(1, MORE_ORDERS + 1):
-            near = near.where(F.arrays_overlap(f"a_p{o}", f"b_p{o}"))
+        near = pairs.select("a", "b")
+        if orders:
+            prefixes = sets.select("node", F.size("tokens").alias("n"), *[f"p{o}" for o in range(1, orders + 1)])
+            near = near.join(side(prefixes, "a"), "a").join(side(prefixes, "b"), "b")
+            for o in range(1, orders + 1):
+                near = near.where(self._enough(f"size(array_intersect(a_p{o}, b_p{o}))", "a_n", "b_n"))
         tokens = sets.select("node", "tokens")
         both = near.select("a", "b").distinct().join(side(tokens, "a"), "a").join(side(tokens, "b"), "b")
         both = both.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
@@ -220,7 +230,9 @@ class JaccardJoin:
         bands = self.nodes.select("node", "id", "n", F.posexplode("minima").alias("band", "low"))
         heads = bands.groupBy("band", "low").agg(F.min(F.struct("id", "node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
         pairs = bands.join(heads, ["band", "low"]).where("head.node <> node").where(self._similar_sizes("n", "head.n"))
-        return stored(self._verified(stored(pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "pairs")), "links")
+        pairs = pairs.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count("*").alias("same")).where(f"same >= {MINIMA // 2}")
+        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
+        return stored(self._verified(stored(best, "pairs"), 0), "links")
 
     def _across(self, labels: DataFrame) -> DataFrame:
         """Links between different preliminary components."""
@@ -231,8 +243,8 @@ class JaccardJoin:
         shared = shared.withColumns({"low": F.min("label").over(ends), "high": F.max("label").over(ends)}).where("low < high").drop("low", "high")
         shared = stored(shared, "postings")
         other = shared.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        pairs = shared.join(other, "token").where("label < other").where(self._similar_sizes("n", "m")).select(F.col("node").alias("a"), "b").distinct()
-        return self._verified(stored(pairs, "pairs"))
+        pairs = shared.join(other, "token").where("label < other").where(self._similar_sizes("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("m").alias("m"))
+        return self._verified(stored(pairs.where(self._enough("same", "n", "m")).select("a", "b"), "pairs"), MORE_ORDERS)
 
     def solve(self) -> DataFrame:
         """A row for each document: doc_id, n_shingles, component_id."""
