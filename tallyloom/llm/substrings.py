@@ -35,9 +35,9 @@ from .text import Words, mix, roll, slices, starts_of_equal
 
 K, M = 13, 3
 #: Buckets for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 16
 #: A map task sends what it has gathered at so many bytes of super-k-mers.
-SEND_BYTES = 24 << 20
+SEND_BYTES = 12 << 20
 #: Super-k-mers that a map task remembers with their smallest doc_id.
 REMEMBERED = 100_000
 #: Intervals are sent to all tasks up to so many (about 100 bytes each); beyond, they and the texts are shuffled.
@@ -89,17 +89,13 @@ def _send(gathered: list, buckets: int) -> Iterator[pa.RecordBatch]:
     text = np.concatenate([g[0] for g in gathered])
     size, bucket, doc, key, pos = (np.concatenate([g[i] for g in gathered]) for i in range(1, 6))
     order = np.argsort(bucket, kind="stable")
-    begins = np.cumsum(size) - size
-    text = text[_ranges(begins[order], size[order])]
+    begins = (np.cumsum(size) - size)[order]
     size, bucket, doc, key, pos = size[order], bucket[order], doc[order], key[order], pos[order]
     cuts = np.flatnonzero(starts_of_equal(bucket))
     ends = np.append(cuts[1:], len(bucket))
-    byte_end = np.cumsum(size)
     pack = zstandard.ZstdCompressor(1).compress
-    strings, places = [], []
-    for a, b in zip(cuts, ends, strict=True):
-        strings.append(pack(text[byte_end[a] - size[a] : byte_end[b - 1]].tobytes()))
-        places.append(pack(doc[a:b].tobytes() + key[a:b].tobytes() + pos[a:b].tobytes()))
+    strings = [pack(text[_ranges(begins[a:b], size[a:b])].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+    places = [pack(doc[a:b].tobytes() + key[a:b].tobytes() + pos[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(strings, pa.binary()), pa.array(places, pa.binary())], ["bucket", "strings", "places"])
 
 
@@ -116,7 +112,7 @@ def _deal(k: int, m: int, buckets: int):
         seen: dict[bytes, int] = {}
         gathered, held, turn = [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 w = Words(part.column("text"))
                 first, n, low = super_kmers(w, k, m)
                 if not len(first):
