@@ -30,76 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .shared import stored
-from .text import Words, _stream, mix, roll, slices
+from .rarity import block_rows, classes_of, slot
+from .setjoin import MORE_ORDERS, Sets, prefix_length
+from .shared import small, stored
+from .text import _stream, slices
 
-TOKEN_BITS = 50
-#: Slots of the token counts, and of one block of them.
-SLOTS, BLOCK = 1 << 20, 1 << 14
+#: Slots of the token counts.
+SLOTS = 1 << 20
 #: Minimum hashes for the preliminary components.
 MINIMA = 8
-#: Global orders after the first.
-MORE_ORDERS = 2
 #: Sets that a map task remembers as sent.
 REMEMBERED = 200_000
-#: Node tables are sent to all tasks up to so many rows (about 40 bytes each); beyond, they are shuffled.
-BROADCAST_ROWS = 250_000
 NO_ID = (1 << 63) - 1
 _MINIMA = _stream(7, MINIMA) | np.uint64(1)
-_ORDERS = _stream(11, MORE_ORDERS) | np.uint64(1)
-
-
-class Sets:
-    """The sorted token sets of a slice: ``token`` and its text, ``first`` as in Words."""
-
-    def __init__(self, texts: pa.Array, k: int):
-        w = Words(texts, lower=True)
-        h, doc, n = w.hashes(), w.doc, w.counts
-        at = w.runs(k)
-        tokens, owners = [roll(h, at, k)], [doc[at]]
-        for c in range(1, k):
-            short = np.flatnonzero(n == c)
-            tokens.append(roll(h, w.first[short], c))
-            owners.append(short)
-        key = (np.concatenate(owners).astype(np.uint64) << np.uint64(TOKEN_BITS)) | (np.concatenate(tokens) >> np.uint64(64 - TOKEN_BITS))
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        self.doc = (key >> np.uint64(TOKEN_BITS)).astype(np.int64)
-        self.token = key & np.uint64((1 << TOKEN_BITS) - 1)
-        self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
-        self.n = np.diff(self.first)
-
-    def per_doc(self, ufunc, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.n), values.dtype)
-        full = self.n > 0
-        if full.any():
-            out[full] = ufunc.reduceat(values, self.first[:-1][full])
-        return out
-
-    def nodes(self) -> np.ndarray:
-        """A signed 64-bit hash of each set."""
-        return mix(self.per_doc(np.add, mix(self.token)) + mix(self.n.astype(np.uint64))).view(np.int64)
-
-    def prefixes(self, rarity: np.ndarray, order: int, percent: int) -> np.ndarray:
-        """The positions of each set's prefix under one order, set by set."""
-        rank = self.token if not order else (self.token * _ORDERS[order - 1]) >> np.uint64(64 - TOKEN_BITS)
-        rank = (rarity[slot(self.token)].astype(np.uint64) << np.uint64(TOKEN_BITS)) | rank
-        by = np.lexsort((rank, self.doc))
-        place = np.arange(len(by)) - np.repeat(self.first[:-1], self.n)
-        return by[place < np.repeat(prefix_length(self.n, percent), self.n)]
-
-
-def slot(token: np.ndarray) -> np.ndarray:
-    return (mix(token) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -108,47 +55,26 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 
 def _profile(k: int):
     names = ["doc_id", "n", "node", "minima", "block", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), k)
-                counts += np.bincount(slot(s.token), minlength=SLOTS)
+                counts += np.bincount(slot(s.token, SLOTS), minlength=SLOTS)
                 minima = np.stack([s.per_doc(np.minimum, s.token * m >> np.uint64(1)) for m in _MINIMA], axis=1)
                 some = s.n > 0
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(s.n, pa.int64()), pa.array(s.nodes(), pa.int64(), mask=~some), _lists(minima.ravel(), np.arange(len(some) + 1) * MINIMA),
                     pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()),
                 ], names)
-        if counts.any():
-            n = SLOTS // BLOCK
-            bodies = [zstandard.ZstdCompressor(1).compress(c.tobytes()) for c in counts.astype(np.uint32).reshape(n, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in kinds[:4]] + [pa.array(range(n), pa.int32()), pa.array(bodies, pa.binary())], names)
+        blocks, bodies = block_rows(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), t) for t in kinds] + [blocks, bodies], names)
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the blocks of a partition; one row for each block in it."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, body in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[block] = total.get(block, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint32).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
-
-
-def _rarity(profile: DataFrame) -> np.ndarray:
-    """A class of 0 to 15 for each slot: 0 where its count is ordinary, then by powers of two."""
-    blocks = profile.where("block is not null").select("block", "counts").repartition(SLOTS // BLOCK, "block").mapInArrow(_sum_blocks, "block int, counts binary").collect()  # fixed size: 8 MB
-    counts = np.zeros((SLOTS // BLOCK, BLOCK), np.int64)
-    for b in blocks:
-        counts[b["block"]] = np.frombuffer(b["counts"], np.int64)
-    ordinary = max(8.0, 3 * counts.sum() / SLOTS)
-    return np.clip(np.ceil(np.log2(np.maximum(counts.ravel(), 1) / ordinary)), 0, 15).astype(np.uint8)
-
-
 def _postings(k: int, percent: int, rarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -163,7 +89,7 @@ def _postings(k: int, percent: int, rarity):
                         sent.add(node)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                at = s.prefixes(rarity.value, 0, percent)
+                at = s.prefix_places(rarity.value[slot(s.token, SLOTS)], 0, percent)[0]
                 at = at[fresh[s.doc[at]]]
                 yield pa.RecordBatch.from_arrays([pa.array(s.token[at].view(np.int64)), pa.array(nodes[s.doc[at]]), pa.array(s.n[s.doc[at]].astype(np.int32))], ["token", "node", "n"])
 
@@ -175,7 +101,7 @@ def _sets(k: int, percent: int, rarity):
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), k)
-                p = [s.prefixes(rarity.value, o, percent) for o in range(1, MORE_ORDERS + 1)]
+                p = [s.prefix_places(rarity.value[slot(s.token, SLOTS)], o, percent)[0] for o in range(1, MORE_ORDERS + 1)]
                 first = np.concatenate([[0], np.cumsum(prefix_length(s.n, percent))])
                 yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(s.nodes()), _lists(s.token, s.first), *[_lists(s.token[x], first) for x in p]], ["wanted", "node", "tokens", *[f"p{o}" for o in range(1, MORE_ORDERS + 1)]])
 
@@ -191,13 +117,10 @@ class JaccardJoin:
         self.k, self.percent = k, percent
         both = stored(self.docs.mapInArrow(_profile(k), "doc_id long, n long, node long, minima array<long>, block int, counts binary"), "sets")
         self.profile = both.where("block is null").select("doc_id", "n", "node", "minima")
-        self.rarity = docs.sparkSession.sparkContext.broadcast(_rarity(both))
+        self.rarity = docs.sparkSession.sparkContext.broadcast(classes_of(both, SLOTS))
         known = self.profile.where("node is not null").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
         self.nodes = stored(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
 
-    def _small(self, frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
-
     def _similar_sizes(self, a: str, b: str):
         return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
 
@@ -210,7 +133,7 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, orders: int) -> DataFrame:
         """Those of the pairs (a, b) that are links; ``orders`` more filters come first."""
         wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(self.nodes.select(F.col("node").alias("wanted"), "id"), "wanted"), "wanted")
-        texts = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(self._small(wanted), "id").select("wanted", "text")
+        texts = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(small(wanted), "id").select("wanted", "text")
         schema = "wanted long, node long, tokens array<long>" + "".join(f", p{o} array<long>" for o in range(1, MORE_ORDERS + 1))
         sets = stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted"), "token-sets")
         side = lambda frame, name: frame.select([F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in frame.columns])
@@ -256,7 +179,7 @@ class JaccardJoin:
         least = member.groupBy("root").agg(F.min("id").alias("component_id"))
         member = member.join(least, "root").select("node", "component_id")
         own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.when(F.col("component_id") < NO_ID, F.col("component_id")))
-        return self.profile.select("doc_id", "n", "node").join(self._small(stored(member, "members")), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return self.profile.select("doc_id", "n", "node").join(small(stored(member, "members")), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,4 +191,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; of equal
     rows of one doc_id all stay, as do rows without doc_id. Columns are those of ``docs``."""
     gone = stored(components_of(docs, k, percent).where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

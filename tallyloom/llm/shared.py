@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of short rows are sent to all tasks up to so many rows; beyond, both sides of their joins are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -24,3 +28,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """A stored frame, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
