@@ -44,7 +44,7 @@ REMEMBERED = 100_000
 BROADCAST_INTERVALS = 400_000
 
 
-def _normal(w: Words) -> tuple[np.ndarray, np.ndarray]:
+def joined_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The words, each followed by one space, and where each begins."""
     size = w.end - w.start
     begins = np.zeros(w.n + 1, np.int64)
@@ -59,7 +59,7 @@ def _normal(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i], starts[i] + 1, ... of every range, one after another."""
     ends = np.cumsum(sizes)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -82,7 +82,7 @@ def super_kmers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return at[first], windows + k - 1, low[first]
 
 
-def _send(gathered: list, buckets: int) -> Iterator[pa.RecordBatch]:
+def send_strings(gathered: list) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: its super-k-mers, joined by newlines, and where they stand."""
     if not gathered:
         return
@@ -94,7 +94,7 @@ def _send(gathered: list, buckets: int) -> Iterator[pa.RecordBatch]:
     cuts = np.flatnonzero(starts_of_equal(bucket))
     ends = np.append(cuts[1:], len(bucket))
     pack = zstandard.ZstdCompressor(1).compress
-    strings = [pack(text[_ranges(begins[a:b], size[a:b])].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+    strings = [pack(text[ranges(begins[a:b], size[a:b])].tobytes()) for a, b in zip(cuts, ends, strict=True)]
     places = [pack(doc[a:b].tobytes() + key[a:b].tobytes() + pos[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(strings, pa.binary()), pa.array(places, pa.binary())], ["bucket", "strings", "places"])
 
@@ -117,9 +117,9 @@ def _deal(k: int, m: int, buckets: int):
                 first, n, low = super_kmers(w, k, m)
                 if not len(first):
                     continue
-                text, begins = _normal(w)
+                text, begins = joined_words(w)
                 size = begins[first + n] - begins[first]
-                out = text[_ranges(begins[first], size)]
+                out = text[ranges(begins[first], size)]
                 byte_end = np.cumsum(size)
                 out[byte_end - 1] = 10
                 offsets = np.concatenate([[0], byte_end])
@@ -144,19 +144,20 @@ def _deal(k: int, m: int, buckets: int):
                     yield _known(doc[decided], key[decided], pos[decided], (pos + n)[decided], turn)
                 ask = ~decided
                 begin = byte_end - size
-                sent = out[_ranges(begin[ask], size[ask])]
+                sent = out[ranges(begin[ask], size[ask])]
                 gathered.append((sent, size[ask], (low[ask] % np.uint64(buckets)).astype(np.int32), doc[ask], key[ask].astype(np.int32), pos[ask].astype(np.int32)))
                 held += len(sent)
                 if held > SEND_BYTES:
-                    yield from _send(gathered, buckets)
+                    yield from send_strings(gathered)
                     gathered, held = [], 0
-        yield from _send(gathered, buckets)
+        yield from send_strings(gathered)
 
     return run
 
 
-def _bucket(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarray, ...] | None:
-    """The intervals of one bucket's super-k-mers whose windows have a smaller doc_id elsewhere."""
+def match_windows(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarray, ...] | None:
+    """Of one bucket: doc_id, key, start and end of runs of windows that have a smaller
+    doc_id elsewhere, and that doc_id for the first window."""
     unpack = zstandard.ZstdDecompressor().decompress
     docs, keys, poss = [], [], []
     for body in map(unpack, places):
@@ -187,6 +188,8 @@ def _bucket(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarr
     least = np.repeat(np.minimum.reduceat(doc[owner[order]], begin), np.diff(np.append(begin, len(order))))
     flag = np.zeros(len(at), bool)
     flag[order] = doc[owner[order]] > least
+    source = np.empty(len(at), np.int64)
+    source[order] = least
     hit = np.flatnonzero(flag)
     if not len(hit):
         return None
@@ -195,7 +198,7 @@ def _bucket(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarr
     s = owner[hit[cut]]
     shift = at[hit[cut]] - w.first[s]
     start = pos[s] + shift
-    return doc[s], key[s].astype(np.int64), start, start + (hit[last] - hit[cut]) + k
+    return doc[s], key[s].astype(np.int64), start, start + (hit[last] - hit[cut]) + k, source[hit[cut]]
 
 
 def _solve(k: int):
@@ -206,8 +209,8 @@ def _solve(k: int):
         now, strings, places = None, [], []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if strings and (found := _bucket(strings, places, k)) is not None:
-                yield rows(*found)
+            if strings and (found := match_windows(strings, places, k)) is not None:
+                yield rows(*found[:4])
 
         for batch in batches:
             for bucket, s, p in zip(*(batch.column(c).to_pylist() for c in ("bucket", "strings", "places")), strict=True):
@@ -247,7 +250,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, with_text: bool = Fa
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
-                text, begins = _normal(w)
+                text, begins = joined_words(w)
                 spans = part.column("spans")
                 start, end = (spans.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 owner = np.repeat(np.arange(len(part)), np.asarray(spans.value_lengths().fill_null(0)))
