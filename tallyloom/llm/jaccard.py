@@ -11,10 +11,13 @@ must also reach it under two more orders (other hashes within the same rarity cl
 before their sets are compared exactly.
 
 Large groups of copies never become all their pairs. Equal sets are one node. Nodes
-that share half of their minimum hashes with the smallest node of those hashes' buckets
-are compared with it alone; the links found so give preliminary components. In the exact join a token whose
-nodes all are in one component is dropped, and only pairs across components are
-formed, so no link between components is lost and the components are exact.
+that share half of their minimum hashes with a few heads of those hashes' buckets are
+compared with these alone; the links found so give preliminary components. In the
+exact join a token whose nodes all are in one component is dropped, and only pairs
+across components are formed, so no link between components is lost and the components
+are exact. A token that more than ``HOT`` nodes still have is joined in square blocks of
+bounded size, dealt over tasks: products of token matrices count what all pairs of a
+block share, and only pairs that reach the bound leave the block.
 
 Defined results: a text without words (null, empty) has an empty set and is linked
 with nothing, its component is its own doc_id; one with fewer than ``k`` words has one
@@ -39,10 +42,12 @@ from .setjoin import MORE_ORDERS, Sets, prefix_length
 from .shared import small, stored
 from .text import _stream, slices
 
-#: Slots of the token counts.
-SLOTS = 1 << 20
-#: Minimum hashes for the preliminary components.
-MINIMA = 8
+#: Slots of the token counts, by the number of documents.
+LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 16
+#: Minimum hashes for the preliminary components, and heads of each of their buckets.
+MINIMA, HEADS = 8, 4
+#: Nodes of a token that are joined as rows; beyond, in blocks of so many.
+HOT, SQUARE, COLUMNS = 64, 2048, 2048
 #: Sets that a map task remembers as sent.
 REMEMBERED = 200_000
 NO_ID = (1 << 63) - 1
@@ -53,16 +58,16 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
-def _profile(k: int):
+def _profile(k: int, slots: int):
     names = ["doc_id", "n", "node", "minima", "block", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(slots, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), k)
-                counts += np.bincount(slot(s.token, SLOTS), minlength=SLOTS)
+                counts += np.bincount(slot(s.token, slots), minlength=slots)
                 minima = np.stack([s.per_doc(np.minimum, s.token * m >> np.uint64(1)) for m in _MINIMA], axis=1)
                 some = s.n > 0
                 yield pa.RecordBatch.from_arrays([
@@ -89,7 +94,7 @@ def _postings(k: int, percent: int, rarity):
                         sent.add(node)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                at = s.prefix_places(rarity.value[slot(s.token, SLOTS)], 0, percent)[0]
+                at = s.prefix_places(rarity.value[slot(s.token, len(rarity.value))], 0, percent)[0]
                 at = at[fresh[s.doc[at]]]
                 yield pa.RecordBatch.from_arrays([pa.array(s.token[at].view(np.int64)), pa.array(nodes[s.doc[at]]), pa.array(s.n[s.doc[at]].astype(np.int32))], ["token", "node", "n"])
 
@@ -101,13 +106,52 @@ def _sets(k: int, percent: int, rarity):
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), k)
-                p = [s.prefix_places(rarity.value[slot(s.token, SLOTS)], o, percent)[0] for o in range(1, MORE_ORDERS + 1)]
+                p = [s.prefix_places(rarity.value[slot(s.token, len(rarity.value))], o, percent)[0] for o in range(1, MORE_ORDERS + 1)]
                 first = np.concatenate([[0], np.cumsum(prefix_length(s.n, percent))])
                 yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(s.nodes()), _lists(s.token, s.first), *[_lists(s.token[x], first) for x in p]], ["wanted", "node", "tokens", *[f"p{o}" for o in range(1, MORE_ORDERS + 1)]])
 
     return run
 
 
+def _need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of shared prefix tokens of a link."""
+    rest = lambda n: (percent * n + 99) // 100 - 1
+    return (percent * (na + nb) + 99 + percent) // (100 + percent) - np.maximum(rest(na), rest(nb))
+
+
+def _shared(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the lists share."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    value, code, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    place = np.full(len(value), -1)
+    place[n > 1] = np.arange((n > 1).sum())
+    code = place[code]
+    out = np.zeros((len(lists), len(lists)), np.float32)
+    for a in range(0, int((n > 1).sum()), COLUMNS):
+        mine = (code >= a) & (code < a + COLUMNS)
+        m = np.zeros((len(lists), COLUMNS), np.float32)
+        m[owner[mine], code[mine] - a] = 1
+        out += m @ m.T
+    return out
+
+
+def _square(percent: int):
+    """Pairs of one block of a hot token; those that share a smaller hot token are another's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token = table.column("token")[0].as_py()
+        own, row, column = (table.column(c).to_numpy() for c in ("own", "row", "column"))
+        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        lists = lambda name: [np.asarray(x, np.int64) for x in table.column(name).to_pylist()]
+        i, j = np.nonzero(np.triu(_shared(lists("tokens")) >= _need(n[:, None].astype(np.int64), n[None, :].astype(np.int64), percent), 1))
+        ok = (label[i] != label[j]) & ((own[i] != own[j]) | (row[0] == column[0])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        ok = _shared([x[x < token] for x in lists("hots")])[i, j] == 0
+        return pa.table({"a": node[i[ok]], "b": node[j[ok]]})
+
+    return run
+
+
 class JaccardJoin:
     """``profile``: doc_id, n, node of each row; ``nodes``: node, n, id (its smallest
     doc_id), minima; ``links``: pairs (a, b) of nodes that connect all components."""
@@ -115,9 +159,10 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
         self.k, self.percent = k, percent
-        both = stored(self.docs.mapInArrow(_profile(k), "doc_id long, n long, node long, minima array<long>, block int, counts binary"), "sets")
+        slots = 1 << max(LEAST_SLOTS.bit_length() - 1, min(MOST_SLOTS.bit_length() - 1, int(docs.count() / DOCUMENTS_A_SLOT).bit_length() - 1))
+        both = stored(self.docs.mapInArrow(_profile(k, slots), "doc_id long, n long, node long, minima array<long>, block int, counts binary"), "sets")
         self.profile = both.where("block is null").select("doc_id", "n", "node", "minima")
-        self.rarity = docs.sparkSession.sparkContext.broadcast(classes_of(both, SLOTS))
+        self.rarity = docs.sparkSession.sparkContext.broadcast(classes_of(both, slots))
         known = self.profile.where("node is not null").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
         self.nodes = stored(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
 
@@ -151,10 +196,10 @@ class JaccardJoin:
     def _preliminary(self) -> DataFrame:
         """Links of nodes with the smallest node of their buckets."""
         bands = self.nodes.select("node", "id", "n", F.posexplode("minima").alias("band", "low"))
-        heads = bands.groupBy("band", "low").agg(F.min(F.struct("id", "node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
-        pairs = bands.join(heads, ["band", "low"]).where("head.node <> node").where(self._similar_sizes("n", "head.n"))
-        pairs = pairs.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count("*").alias("same")).where(f"same >= {MINIMA // 2}")
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
+        heads = bands.groupBy("band", "low").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(h)), "node", "n")).alias(f"h{h}") for h in range(HEADS)], F.count("*").alias("size")).where("size > 1")
+        joined = bands.join(heads, ["band", "low"]).select("node", "n", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), f"h{h}.node", f"h{h}.n") for h in range(HEADS)])).alias("head"))
+        pairs = joined.where("head.node <> node").where(self._similar_sizes("n", "head.n")).groupBy(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("head.h").alias("h")).agg(F.count("*").alias("same")).where(f"same >= {MINIMA // 2}")
+        best = pairs.groupBy("a", "h").agg(F.max_by("b", F.struct("same", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         return stored(self._verified(stored(best, "pairs"), 0), "links")
 
     def _across(self, labels: DataFrame) -> DataFrame:
@@ -163,11 +208,25 @@ class JaccardJoin:
         ends = Window.partitionBy("token")
         shared = rows.withColumns({"low": F.min("node").over(ends), "high": F.max("node").over(ends)}).where("low < high").drop("low", "high").distinct()
         shared = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        shared = shared.withColumns({"low": F.min("label").over(ends), "high": F.max("label").over(ends)}).where("low < high").drop("low", "high")
+        shared = shared.withColumns({"low": F.min("label").over(ends), "high": F.max("label").over(ends), "size": F.count("*").over(ends)}).where("low < high").drop("low", "high")
         shared = stored(shared, "postings")
-        other = shared.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        pairs = shared.join(other, "token").where("label < other").where(self._similar_sizes("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("m").alias("m"))
-        return self._verified(stored(pairs.where(self._enough("same", "n", "m")).select("a", "b"), "pairs"), MORE_ORDERS)
+        hot = stored(shared.where(f"size > {HOT}").groupBy("node").agg(F.count("*").alias("hot")), "hot-nodes")
+        cold = shared.where(f"size <= {HOT}").drop("size")
+        other = cold.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+        pairs = cold.join(other, "token").where("label < other").where(self._similar_sizes("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("m").alias("m"))
+        for side in "ab":
+            pairs = pairs.join(small(hot).select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+        pairs = pairs.where(self._enough("same + least(coalesce(hot_a, 0), coalesce(hot_b, 0))", "n", "m")).select("a", "b")
+        if not hot.isEmpty():
+            pairs = pairs.unionByName(self._hot_pairs(shared, hot)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return self._verified(stored(pairs, "pairs"), MORE_ORDERS)
+
+    def _hot_pairs(self, shared: DataFrame, hot: DataFrame) -> DataFrame:
+        """Pairs that share a hot token and prefix tokens enough, each found once."""
+        lists = shared.join(small(hot.select("node")), "node").groupBy("node", "n", "label").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("size") > HOT, F.col("token"))).alias("hots"))
+        rows = shared.where(f"size > {HOT}").select("token", "node", F.expr(f"cast(ceil(size / {SQUARE}) as int)").alias("blocks")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        rows = rows.select("token", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("token", "node", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
+        return rows.join(lists, "node").groupBy("token", "row", "column").applyInArrow(_square(self.percent), "a long, b long")
 
     def solve(self) -> DataFrame:
         """A row for each document: doc_id, n_shingles, component_id."""
