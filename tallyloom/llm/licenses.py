@@ -111,6 +111,7 @@ WAYS = (
     ("licen", "under(?: the)?(?: terms of the)? {n} licen[cs]e", 5, 0.9),
     ("licen", "licen[cs]e {n}", 3, 0.7),
     ("licen", "{n} licen[cs]e", 2, 0.6),
+    ("version", "{n}", 3, 0.6),
 )
 #: Signatures of a license's or notice's own wording.
 TEXTS = (

@@ -8,7 +8,10 @@ of the longer one and the first n - ceil(2 percent n / (100 + percent)) + 1 of t
 shorter one. Prefixes are packed by buckets of their tokens; in a bucket the pairs of
 one token are formed in blocks of bounded size and pass the length filter, the
 positional filter and a bitmap filter (each token flips one of 128 bits, so the bits
-that differ bound the tokens that differ). What is left is compared exactly.
+that differ bound the tokens that differ). Of the earlier lines that are left, each line
+is compared exactly with the closest bitmap of each bucket; one match settles it, so a
+large group of similar lines never becomes all its pairs. Lines that are not settled
+though they had more candidates go through the buckets again, with all of them.
 
 A line that has an earlier match - equal or similar, at a smaller (doc_id, line number)
 of the input - is removed. Equal sets are one node, however often they occur: a node
@@ -44,7 +47,10 @@ SLOTS = 1 << 20
 BUCKETS, SEND_ENTRIES, PAIRS = 8, 200_000, 1 << 20
 #: Sets that a map task remembers as sent.
 REMEMBERED = 500_000
-ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("at", "<u4"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8")])
+_LAST = np.iinfo(np.int64).max
+ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8")])
+#: Lines without a match so far go to all tasks up to so many; beyond, all lines are taken for such.
+RESIDUAL = 1_000_000
 
 
 def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -107,16 +113,19 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket, n, sent = [], [], 0, set()
+        held, bucket, n = [], [], 0
+        sent: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                for s, _, _ in line_sets(part):
-                    nodes = s.nodes()
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for s, doc, number in line_sets(part):
+                    nodes, ids_of = s.nodes(), ids[doc]
                     fresh = np.zeros(len(nodes), bool)
                     for i in np.flatnonzero(s.n >= min_tokens).tolist():
-                        if (node := int(nodes[i])) not in sent:
+                        place = (int(ids_of[i]), int(number[i]))
+                        if place < sent.get(int(nodes[i]), (_LAST,)):
                             fresh[i] = True
-                            sent.add(node)
+                            sent[int(nodes[i])] = place
                     if len(sent) > REMEMBERED:
                         sent.clear()
                     at, place = s.prefix_places(classes.value[slot(s.token, SLOTS)], 0, percent)
@@ -127,6 +136,7 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
                     d, (b0, b1) = s.doc[at], _bitmaps(s)
                     entry = np.empty(len(at), ENTRY)
                     entry["token"], entry["n"], entry["at"], entry["node"], entry["bits0"], entry["bits1"] = s.token[at] >> np.uint64(TOKEN_BITS - 32), s.n[d], place, nodes[d], b0[d], b1[d]
+                    entry["doc"], entry["line"] = ids_of[d], number[d]
                     held.append(entry)
                     bucket.append((s.token[at] % np.uint64(buckets)).astype(np.int32))
                     n += len(at)
@@ -139,12 +149,14 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
     return run
 
 
-def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one bucket that pass the filters."""
-    entry = entry[np.lexsort((entry["node"], entry["n"], entry["token"]))]
-    entry = entry[starts_of_equal(entry["token"], entry["n"], entry["node"])]
-    n, at = entry["n"].astype(np.int64), entry["at"].astype(np.int64)
+def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one bucket: pairs (later, earlier) of entries that pass the filters, and how many bits they differ in."""
     code = entry["token"].astype(np.uint64) << np.uint64(32) | entry["n"].astype(np.uint64)
+    order = np.lexsort((entry["line"], entry["doc"], entry["node"], code))
+    entry, code = entry[order], code[order]
+    first = starts_of_equal(code, entry["node"])
+    entry, code = entry[first], code[first]
+    n, at, doc, line = (entry[c].astype(np.int64) for c in ("n", "at", "doc", "line"))
     high = np.searchsorted(code, (entry["token"].astype(np.uint64) << np.uint64(32)) | (100 * n // percent).astype(np.uint64), "right")
     x = np.flatnonzero(at < index_length(n, percent))
     many = np.maximum(high[x] - x - 1, 0)
@@ -160,20 +172,48 @@ def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.
         ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= need
         i, j, need = i[ok], j[ok], need[ok]
         apart = sum(np.bitwise_count(entry[k][i] ^ entry[k][j]).astype(np.int64) for k in ("bits0", "bits1"))
-        ok = n[i] + n[j] - apart >= 2 * need
-        yield entry["node"][i[ok]], entry["node"][j[ok]]
+        ok = (n[i] + n[j] - apart >= 2 * need) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+        i, j, apart = i[ok], j[ok], apart[ok]
+        swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        yield entry["node"][i], entry["node"][j], apart
         a = b
 
 
-def _candidates(percent: int):
+def _closest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each later node's closest earlier node, and whether it has others."""
+    order = np.lexsort((earlier, apart, later))
+    later, earlier, apart, more = later[order], earlier[order], apart[order], more[order]
+    first = np.flatnonzero(starts_of_equal(later))
+    other = np.zeros(len(later), bool)
+    other[1:] = (later[1:] == later[:-1]) & (earlier[1:] != earlier[:-1])
+    more = np.logical_or.reduceat(more | other, first) if len(first) else more
+    return later[first], earlier[first], apart[first], more
+
+
+def _candidates(percent: int, residual=None):
+    """Pairs of nodes (a is later than b) to compare: the closest of each bucket, or, for
+    the nodes of ``residual`` (None: for all), every one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
+        def rows(a, b, more) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+
         def finish() -> Iterator[pa.RecordBatch]:
-            if held:
-                for a, b in _pairs_of(np.frombuffer(b"".join(held), ENTRY), percent):
-                    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            if not held:
+                return
+            best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
+            for a, b, apart in _pairs_of(np.frombuffer(b"".join(held), ENTRY), percent):
+                if residual is None:
+                    best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)))
+                else:
+                    ok = np.isin(a, residual.value) if residual.value is not None else np.ones(len(a), bool)
+                    pair = np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
+                    yield rows(pair[:, 0], pair[:, 1], np.zeros(len(pair), bool))
+            if len(best[0]):
+                yield rows(best[0], best[1], best[3])
 
         for batch in batches:
             for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
@@ -206,17 +246,29 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     classes = spark.sparkContext.broadcast(classes_of(survey, SLOTS, fine=True))
     lines = survey.where("block is null").select("doc_id", "key", "line", "node")
     nodes = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "key")).alias("first"), F.count("*").alias("n")), "nodes")
-    entries = source.select("text").mapInArrow(_entries(percent, min_tokens, classes, BUCKETS * partitions), "bucket int, entries binary")
-    pairs = stored(entries.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(ends.join(nodes, "node").groupBy("first.doc_id", "first.key").agg(F.collect_set("first.line").alias("lines")), "wanted")
-    sets = stored(source.join(small(wanted), ["doc_id", "key"]).select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    links = stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b"), "links")
-    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(nodes.select(F.col("node").alias("b"), "first"), "b").groupBy(F.col("a").alias("node")).agg(F.min("first").alias("other"))
-    known = nodes.join(near, "node", "left").where("n > 1 or other is not null").select("node", F.least("first", F.coalesce("other", "first")).alias("first"))
-    hits = lines.join(small(stored(known, "firsts")), "node").where("struct(doc_id, line) > struct(first.doc_id, first.line)")
+    entries = source.select("doc_id", "text").mapInArrow(_entries(percent, min_tokens, classes, BUCKETS * partitions), "bucket int, entries binary")
+    entries = entries.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """The later nodes of those pairs whose sets are similar."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stored(ends.join(nodes, "node").groupBy("first.doc_id", "first.key").agg(F.collect_set("first.line").alias("lines")), "wanted")
+        sets = stored(source.join(small(wanted), ["doc_id", "key"]).select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+        return stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select(F.col("a").alias("node")).distinct(), "matched")
+
+    schema = "a long, b long, more boolean"
+    pairs = stored(entries.mapInArrow(_candidates(percent), schema).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+    settled = matched(pairs)
+    open_ = stored(pairs.where("more").select(F.col("a").alias("node")).distinct().join(settled, "node", "left_anti"), "open")
+    n_open = open_.count()
+    if n_open:
+        residual = spark.sparkContext.broadcast(np.array([r["node"] for r in open_.collect()], np.int64) if n_open <= RESIDUAL else None)
+        again = stored(entries.mapInArrow(_candidates(percent, residual), schema).select("a", "b").distinct(), "pairs")
+        settled = settled.unionByName(matched(again)).distinct()
+    known = nodes.join(settled.withColumn("late", F.lit(True)), "node", "left").where("n > 1 or late").select("node", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    hits = lines.join(small(stored(known, "firsts")), "node").where("late or struct(doc_id, line) > struct(first.doc_id, first.line)")
     return stored(hits.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines")), "removed-lines")
 
 
