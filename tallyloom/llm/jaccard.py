@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .rarity import block_rows, classes_of, slot
+from .rarity import block_rows, classes_of, slot, tally
 from .setjoin import MORE_ORDERS, Sets, prefix_length
 from .shared import small, stored
 from .text import _stream, slices
 
 #: Slots of the token counts, by the number of documents.
-LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 16
+LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
 #: Minimum hashes for the preliminary components, and heads of each of their buckets.
 MINIMA, HEADS = 8, 4
 #: Nodes of a token that are joined as rows; beyond, in blocks of so many.
@@ -63,11 +63,11 @@ def _profile(k: int, slots: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.int64)
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), k)
-                counts += np.bincount(slot(s.token, slots), minlength=slots)
+                tally(counts, slot(s.token, slots))
                 minima = np.stack([s.per_doc(np.minimum, s.token * m >> np.uint64(1)) for m in _MINIMA], axis=1)
                 some = s.n > 0
                 yield pa.RecordBatch.from_arrays([
@@ -162,7 +162,7 @@ class JaccardJoin:
         slots = 1 << max(LEAST_SLOTS.bit_length() - 1, min(MOST_SLOTS.bit_length() - 1, int(docs.count() / DOCUMENTS_A_SLOT).bit_length() - 1))
         both = stored(self.docs.mapInArrow(_profile(k, slots), "doc_id long, n long, node long, minima array<long>, block int, counts binary"), "sets")
         self.profile = both.where("block is null").select("doc_id", "n", "node", "minima")
-        self.rarity = docs.sparkSession.sparkContext.broadcast(classes_of(both, slots))
+        self.rarity = docs.sparkSession.sparkContext.broadcast(classes_of(both, slots, both.agg(F.sum("n")).first()[0] or 0))
         known = self.profile.where("node is not null").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
         self.nodes = stored(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
 
@@ -195,8 +195,14 @@ class JaccardJoin:
 
     def _preliminary(self) -> DataFrame:
         """Links of nodes with the smallest node of their buckets."""
-        bands = self.nodes.select("node", "id", "n", F.posexplode("minima").alias("band", "low"))
-        heads = bands.groupBy("band", "low").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(h)), "node", "n")).alias(f"h{h}") for h in range(HEADS)], F.count("*").alias("size")).where("size > 1")
+        bands = self.nodes.select("node", "n", F.posexplode("minima").alias("band", "low"))
+        sizes = bands.groupBy("band", "low").agg(F.count("*").alias("size")).where("size > 1")
+        bands = stored(bands.join(sizes, ["band", "low"]), "bands")
+        # the middle of a group of near copies is in its largest buckets: it is each one's first head, the others are drawn by hash
+        central = bands.groupBy("node").agg(F.sum("size").alias("weight"))
+        ranked = bands.join(central, "node")
+        draw = lambda h: F.struct(-F.col("weight"), F.xxhash64("node"), "node", "n") if h == 0 else F.struct(F.lit(0), F.xxhash64("node", F.lit(h)), "node", "n")
+        heads = ranked.groupBy("band", "low").agg(*[F.min(draw(h)).alias(f"h{h}") for h in range(HEADS)])
         joined = bands.join(heads, ["band", "low"]).select("node", "n", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), f"h{h}.node", f"h{h}.n") for h in range(HEADS)])).alias("head"))
         pairs = joined.where("head.node <> node").where(self._similar_sizes("n", "head.n")).groupBy(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("head.h").alias("h")).agg(F.count("*").alias("same")).where(f"same >= {MINIMA // 2}")
         best = pairs.groupBy("a", "h").agg(F.max_by("b", F.struct("same", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

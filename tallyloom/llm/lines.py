@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rarity import block_rows, classes_of, slot
+from .rarity import block_rows, classes_of, slot, tally
 from .setjoin import TOKEN_BITS, Sets
 from .shared import small, stored
 from .text import mix, raw, slices, starts_of_equal
@@ -78,12 +78,12 @@ def _survey(min_tokens: int):
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 doc_id, key = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
                 for s, doc, number in line_sets(part):
-                    counts += np.bincount(slot(s.token, SLOTS), minlength=SLOTS)
+                    tally(counts, slot(s.token, SLOTS))
                     some = s.n >= min_tokens
                     d = doc[some]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_id[d]), pa.array(key[d]), pa.array(number[some], pa.int32()), pa.array(s.nodes()[some]), pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary())], names)
@@ -243,7 +243,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     survey = stored(source.mapInArrow(_survey(min_tokens), "doc_id long, key long, line int, node long, block int, counts binary"), "lines")
-    classes = spark.sparkContext.broadcast(classes_of(survey, SLOTS, fine=True))
+    classes = spark.sparkContext.broadcast(classes_of(survey, SLOTS))
     lines = survey.where("block is null").select("doc_id", "key", "line", "node")
     nodes = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "key")).alias("first"), F.count("*").alias("n")), "nodes")
     entries = source.select("doc_id", "text").mapInArrow(_entries(percent, min_tokens, classes, BUCKETS * partitions), "bucket int, entries binary")
