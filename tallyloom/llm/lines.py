@@ -9,9 +9,10 @@ shorter one. Prefixes are packed by buckets of their tokens; in a bucket the pai
 one token are formed in blocks of bounded size and pass the length filter, the
 positional filter and a bitmap filter (each token flips one of 128 bits, so the bits
 that differ bound the tokens that differ). Of the earlier lines that are left, each line
-is compared exactly with the closest bitmap of each bucket; one match settles it, so a
-large group of similar lines never becomes all its pairs. Lines that are not settled
-though they had more candidates go through the buckets again, with all of them.
+is compared exactly with the few of each bucket whose bitmaps are closest; one match
+settles it, so a large group of similar lines never becomes all its pairs. Lines that are
+not settled though they had more candidates go through the buckets again, with all of
+them. A token whose slot counts one line has no partner and is not sent.
 
 A line that has an earlier match - equal or similar, at a smaller (doc_id, line number)
 of the input - is removed. Equal sets are one node, however often they occur: a node
@@ -41,8 +42,10 @@ from .shared import small, stored
 from .text import mix, raw, slices, starts_of_equal
 
 PERCENT, MIN_TOKENS = 80, 5
-#: Slots of the word counts.
-SLOTS = 1 << 20
+#: Slots of the word counts, by the number of documents.
+LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
+#: Candidates of a line that a bucket sends at first.
+CLOSEST = 4
 #: Buckets for each shuffle partition; entries that a map task gathers before it sends; pairs formed at once.
 BUCKETS, SEND_ENTRIES, PAIRS = 8, 200_000, 1 << 20
 #: Sets that a map task remembers as sent.
@@ -73,17 +76,17 @@ def line_sets(part: pa.RecordBatch) -> Iterator[tuple[Sets, np.ndarray, np.ndarr
         yield Sets(lines.slice(a, step), 1), doc[a : a + step], number[a : a + step]
 
 
-def _survey(min_tokens: int):
+def _survey(min_tokens: int, slots: int):
     names = ["doc_id", "key", "line", "node", "block", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 doc_id, key = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
                 for s, doc, number in line_sets(part):
-                    tally(counts, slot(s.token, SLOTS))
+                    tally(counts, slot(s.token, slots))
                     some = s.n >= min_tokens
                     d = doc[some]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_id[d]), pa.array(key[d]), pa.array(number[some], pa.int32()), pa.array(s.nodes()[some]), pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary())], names)
@@ -128,8 +131,9 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
                             sent[int(nodes[i])] = place
                     if len(sent) > REMEMBERED:
                         sent.clear()
-                    at, place = s.prefix_places(classes.value[slot(s.token, SLOTS)], 0, percent)
-                    take = fresh[s.doc[at]]
+                    rarity = classes.value[slot(s.token, len(classes.value))]
+                    at, place = s.prefix_places(rarity, 0, percent)
+                    take = fresh[s.doc[at]] & (rarity[at] > 0)
                     at, place = at[take], place[take]
                     if not len(at):
                         continue
@@ -180,18 +184,20 @@ def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.
         a = b
 
 
-def _closest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each later node's closest earlier node, and whether it has others."""
-    order = np.lexsort((earlier, apart, later))
+def _closest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray, closest: int) -> tuple[np.ndarray, ...]:
+    """Each later node's closest earlier nodes, and whether it has others."""
+    order = np.lexsort((earlier, later))
+    order = order[starts_of_equal(later[order], earlier[order])]
+    order = order[np.lexsort((apart[order], later[order]))]
     later, earlier, apart, more = later[order], earlier[order], apart[order], more[order]
     first = np.flatnonzero(starts_of_equal(later))
-    other = np.zeros(len(later), bool)
-    other[1:] = (later[1:] == later[:-1]) & (earlier[1:] != earlier[:-1])
-    more = np.logical_or.reduceat(more | other, first) if len(first) else more
-    return later[first], earlier[first], apart[first], more
+    n = np.diff(np.append(first, len(later)))
+    more = np.repeat(np.logical_or.reduceat(more, first) | (n > closest), n) if len(first) else more
+    keep = np.arange(len(later)) - np.repeat(first, n) < closest
+    return later[keep], earlier[keep], apart[keep], more[keep]
 
 
-def _candidates(percent: int, residual=None):
+def _candidates(percent: int, closest: int, residual=None):
     """Pairs of nodes (a is later than b) to compare: the closest of each bucket, or, for
     the nodes of ``residual`` (None: for all), every one."""
 
@@ -207,7 +213,7 @@ def _candidates(percent: int, residual=None):
             best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
             for a, b, apart in _pairs_of(np.frombuffer(b"".join(held), ENTRY), percent):
                 if residual is None:
-                    best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)))
+                    best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)), closest)
                 else:
                     ok = np.isin(a, residual.value) if residual.value is not None else np.ones(len(a), bool)
                     pair = np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
@@ -237,13 +243,14 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(s.nodes()[rows]), sets.take(pa.array(rows))], ["node", "tokens"])
 
 
-def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, closest: int = CLOSEST) -> DataFrame:
     """doc_id, key (a hash of the text) and line numbers (counted from 0) of the lines that have an earlier match."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
-    survey = stored(source.mapInArrow(_survey(min_tokens), "doc_id long, key long, line int, node long, block int, counts binary"), "lines")
-    classes = spark.sparkContext.broadcast(classes_of(survey, SLOTS))
+    slots = 1 << max(LEAST_SLOTS.bit_length() - 1, min(MOST_SLOTS.bit_length() - 1, int(docs.count() / DOCUMENTS_A_SLOT).bit_length() - 1))
+    survey = stored(source.mapInArrow(_survey(min_tokens, slots), "doc_id long, key long, line int, node long, block int, counts binary"), "lines")
+    classes = spark.sparkContext.broadcast(classes_of(survey, slots))
     lines = survey.where("block is null").select("doc_id", "key", "line", "node")
     nodes = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "key")).alias("first"), F.count("*").alias("n")), "nodes")
     entries = source.select("doc_id", "text").mapInArrow(_entries(percent, min_tokens, classes, BUCKETS * partitions), "bucket int, entries binary")
@@ -259,24 +266,24 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
         return stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select(F.col("a").alias("node")).distinct(), "matched")
 
     schema = "a long, b long, more boolean"
-    pairs = stored(entries.mapInArrow(_candidates(percent), schema).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+    pairs = stored(entries.mapInArrow(_candidates(percent, closest), schema).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
     settled = matched(pairs)
     open_ = stored(pairs.where("more").select(F.col("a").alias("node")).distinct().join(settled, "node", "left_anti"), "open")
     n_open = open_.count()
     if n_open:
         residual = spark.sparkContext.broadcast(np.array([r["node"] for r in open_.collect()], np.int64) if n_open <= RESIDUAL else None)
-        again = stored(entries.mapInArrow(_candidates(percent, residual), schema).select("a", "b").distinct(), "pairs")
+        again = stored(entries.mapInArrow(_candidates(percent, closest, residual), schema).select("a", "b").distinct(), "pairs")
         settled = settled.unionByName(matched(again)).distinct()
     known = nodes.join(settled.withColumn("late", F.lit(True)), "node", "left").where("n > 1 or late").select("node", "first", F.coalesce("late", F.lit(False)).alias("late"))
     hits = lines.join(small(stored(known, "firsts")), "node").where("late or struct(doc_id, line) > struct(first.doc_id, first.line)")
     return stored(hits.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines")), "removed-lines")
 
 
-def remove_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def remove_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, closest: int = CLOSEST) -> DataFrame:
     """``docs`` with n_lines, n_removed and kept_sha256 (of the kept lines joined by
     newlines) put first and text reduced to the kept lines; n_chars, where there is
     one, is the new length. The input's own columns of the three names go."""
-    gone = later_matches(docs, percent, min_tokens)
+    gone = later_matches(docs, percent, min_tokens, closest)
     base = docs.drop("n_lines", "n_removed", "kept_sha256")
     keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
     joined = keyed.join(small(gone), ["doc_id", "key"], "left").select("row.*", F.col("lines").alias("gone_lines"))
