@@ -24,7 +24,7 @@ CAVEATS = (
     ("unscored_arcs", "Arcs without a prompt unit are left unscored", "They get no verdict; a score of 0 would make missing evidence read as over-provisioned."),
     ("upper_bound", "Any reclaimable figure is an upper bound", "It assumes that the cheaper model needs the same tokens."),
 )
-_WORK = F.col("unit_grain") == "work_unit"
+_WORK = "unit_grain = 'work_unit'"
 
 
 def _classes(t: Ledger) -> DataFrame:
