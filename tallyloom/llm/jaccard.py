@@ -16,8 +16,8 @@ compared with these alone; the links found so give preliminary components. In th
 exact join a token whose nodes all are in one component is dropped, and only pairs
 across components are formed, so no link between components is lost and the components
 are exact. A token that more than ``HOT`` nodes still have is joined in square blocks of
-bounded size, dealt over tasks: products of token matrices count what all pairs of a
-block share, and only pairs that reach the bound leave the block.
+bounded size, dealt over tasks: there products of token matrices count what all pairs of
+a block share, exactly, and a node's link to each other component leaves the block once.
 
 Defined results: a text without words (null, empty) has an empty set and is linked
 with nothing, its component is its own doc_id; one with fewer than ``k`` words has one
@@ -47,7 +47,7 @@ LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
 #: Minimum hashes for the preliminary components, and heads of each of their buckets.
 MINIMA, HEADS = 8, 4
 #: Nodes of a token that are joined as rows; beyond, in blocks of so many.
-HOT, SQUARE, COLUMNS = 64, 2048, 2048
+HOT, SQUARE, COLUMNS = 64, 1024, 2048
 #: Sets that a map task remembers as sent.
 REMEMBERED = 200_000
 NO_ID = (1 << 63) - 1
@@ -113,12 +113,6 @@ def _sets(k: int, percent: int, rarity):
     return run
 
 
-def _need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """The least number of shared prefix tokens of a link."""
-    rest = lambda n: (percent * n + 99) // 100 - 1
-    return (percent * (na + nb) + 99 + percent) // (100 + percent) - np.maximum(rest(na), rest(nb))
-
-
 def _shared(lists: list[np.ndarray]) -> np.ndarray:
     """How many values each two of the lists share."""
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -136,18 +130,19 @@ def _shared(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _square(percent: int):
-    """Pairs of one block of a hot token; those that share a smaller hot token are another's."""
+    """Links within one block of a hot token, one for each node and other label."""
 
     def run(table: pa.Table) -> pa.Table:
-        token = table.column("token")[0].as_py()
-        own, row, column = (table.column(c).to_numpy() for c in ("own", "row", "column"))
-        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        lists = lambda name: [np.asarray(x, np.int64) for x in table.column(name).to_pylist()]
-        i, j = np.nonzero(np.triu(_shared(lists("tokens")) >= _need(n[:, None].astype(np.int64), n[None, :].astype(np.int64), percent), 1))
-        ok = (label[i] != label[j]) & ((own[i] != own[j]) | (row[0] == column[0])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        own, node, label = (table.column(c).to_numpy() for c in ("own", "node", "label"))
+        across = table.column("row")[0].as_py() != table.column("column")[0].as_py()
+        lists = [np.asarray(x.values) for x in table.column("tokens")]
+        n = np.array([len(x) for x in lists])
+        common = _shared(lists)
+        i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
+        ok = (label[i] != label[j]) & ((own[i] != own[j]) | (not across))
         i, j = i[ok], j[ok]
-        ok = _shared([x[x < token] for x in lists("hots")])[i, j] == 0
-        return pa.table({"a": node[i[ok]], "b": node[j[ok]]})
+        first = np.unique(np.stack([i, label[j]], axis=1), axis=0, return_index=True)[1] if len(i) else i
+        return pa.table({"a": node[i[first]], "b": node[j[first]]})
 
     return run
 
@@ -175,12 +170,16 @@ class JaccardJoin:
         rest = lambda n: f"floor(({t} * {n} + 99) / 100) - 1"  # noqa: E731  tokens behind the prefix
         return F.expr(f"{shared} >= ceil({t} * ({na} + {nb}) / {100 + t}) - greatest({rest(na)}, {rest(nb)})")
 
-    def _verified(self, pairs: DataFrame, orders: int) -> DataFrame:
-        """Those of the pairs (a, b) that are links; ``orders`` more filters come first."""
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(self.nodes.select(F.col("node").alias("wanted"), "id"), "wanted"), "wanted")
+    def _token_sets(self, nodes: DataFrame) -> DataFrame:
+        """The sets of nodes, from a text of each, and their prefixes under the further orders."""
+        wanted = stored(nodes.select("node").join(self.nodes.select("node", "id"), "node").withColumnRenamed("node", "wanted"), "wanted")
         texts = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(small(wanted), "id").select("wanted", "text")
         schema = "wanted long, node long, tokens array<long>" + "".join(f", p{o} array<long>" for o in range(1, MORE_ORDERS + 1))
-        sets = stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted"), "token-sets")
+        return stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted"), "token-sets")
+
+    def _verified(self, pairs: DataFrame, orders: int) -> DataFrame:
+        """Those of the pairs (a, b) that are links; ``orders`` more filters come first."""
+        sets = self._token_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda frame, name: frame.select([F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in frame.columns])
         near = pairs.select("a", "b")
         if orders:
@@ -208,38 +207,45 @@ class JaccardJoin:
         best = pairs.groupBy("a", "h").agg(F.max_by("b", F.struct("same", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         return stored(self._verified(stored(best, "pairs"), 0), "links")
 
-    def _across(self, labels: DataFrame) -> DataFrame:
-        """Links between different preliminary components."""
+    def _labelled(self, postings: DataFrame, links: DataFrame) -> DataFrame:
+        """Postings with the label of their node's component, of tokens with several labels
+        only, and how many nodes each of these tokens has."""
+        ends = Window.partitionBy("token")
+        labels = stored(components(links).select("node", F.col("root").alias("label")), "labels")
+        rows = postings.select("token", "node", "n").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = rows.withColumns({"low": F.min("label").over(ends), "high": F.max("label").over(ends), "size": F.count("*").over(ends)})
+        return stored(rows.where("low < high").drop("low", "high"), "postings")
+
+    def _across(self, early: DataFrame) -> DataFrame:
+        """Links between different components of the ``early`` links."""
         rows = self.docs.mapInArrow(_postings(self.k, self.percent, self.rarity), "token long, node long, n int")
         ends = Window.partitionBy("token")
-        shared = rows.withColumns({"low": F.min("node").over(ends), "high": F.max("node").over(ends)}).where("low < high").drop("low", "high").distinct()
-        shared = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        shared = shared.withColumns({"low": F.min("label").over(ends), "high": F.max("label").over(ends), "size": F.count("*").over(ends)}).where("low < high").drop("low", "high")
-        shared = stored(shared, "postings")
-        hot = stored(shared.where(f"size > {HOT}").groupBy("node").agg(F.count("*").alias("hot")), "hot-nodes")
+        rows = rows.withColumns({"low": F.min("node").over(ends), "high": F.max("node").over(ends)}).where("low < high").drop("low", "high").distinct()
+        shared = self._labelled(rows, early)
+        hot = self._hot_nodes(shared)
         cold = shared.where(f"size <= {HOT}").drop("size")
         other = cold.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
         pairs = cold.join(other, "token").where("label < other").where(self._similar_sizes("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("m").alias("m"))
         for side in "ab":
             pairs = pairs.join(small(hot).select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
         pairs = pairs.where(self._enough("same + least(coalesce(hot_a, 0), coalesce(hot_b, 0))", "n", "m")).select("a", "b")
-        if not hot.isEmpty():
-            pairs = pairs.unionByName(self._hot_pairs(shared, hot)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return self._verified(stored(pairs, "pairs"), MORE_ORDERS)
+        links = early.unionByName(self._verified(stored(pairs, "pairs"), MORE_ORDERS))
+        return links if hot.isEmpty() else links.unionByName(self._hot_links(shared, hot))
+
+    def _hot_nodes(self, shared: DataFrame) -> DataFrame:
+        return stored(shared.where(f"size > {HOT}").groupBy("node").agg(F.count("*").alias("hot")), "hot-nodes")
 
-    def _hot_pairs(self, shared: DataFrame, hot: DataFrame) -> DataFrame:
-        """Pairs that share a hot token and prefix tokens enough, each found once."""
-        lists = shared.join(small(hot.select("node")), "node").groupBy("node", "n", "label").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("size") > HOT, F.col("token"))).alias("hots"))
-        rows = shared.where(f"size > {HOT}").select("token", "node", F.expr(f"cast(ceil(size / {SQUARE}) as int)").alias("blocks")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        rows = rows.select("token", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("token", "node", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
-        return rows.join(lists, "node").groupBy("token", "row", "column").applyInArrow(_square(self.percent), "a long, b long")
+    def _hot_links(self, shared: DataFrame, hot: DataFrame) -> DataFrame:
+        """Links of nodes that share a hot token, one to each other component."""
+        sets = self._token_sets(hot).select("node", "tokens").dropDuplicates(["node"])
+        rows = shared.where(f"size > {HOT}").select("token", "node", "label", F.expr(f"cast(ceil(size / {SQUARE}) as int)").alias("blocks")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        rows = rows.select("token", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("token", "node", "label", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
+        return stored(rows.join(sets, "node").groupBy("token", "row", "column").applyInArrow(_square(self.percent), "a long, b long").distinct(), "links")
 
     def solve(self) -> DataFrame:
         """A row for each document: doc_id, n_shingles, component_id."""
         early = self._preliminary()
-        labels = stored(components(early).select("node", F.col("root").alias("label")), "labels")
-        links = early.unionByName(self._across(labels))
-        roots = stored(components(links), "roots")
+        roots = stored(components(self._across(early)), "roots")
         member = self.nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = member.groupBy("root").agg(F.min("id").alias("component_id"))
         member = member.join(least, "root").select("node", "component_id")
