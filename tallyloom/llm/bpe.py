@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import slices
+from .text import slices, tidy
 
 #: A vocabulary larger than this is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -224,6 +224,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_column:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
         for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, hash_strings, slices
+from .text import Words, hash_strings, slices, tidy
 
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.8, 0.5
 SHINGLE, MIN_ITEM_WORDS, PASSAGE_WORDS = 5, 5, 128
@@ -274,6 +274,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, question_overlap: float = QUES
     for index in shards(items.select(F.col("item_id").cast("long"), "text"), **options):
         shared = source.sparkSession.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
@@ -294,6 +295,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, question_overlap: float =
     for index in shards(items.select(F.col("item_id").cast("long"), "text"), **options):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):

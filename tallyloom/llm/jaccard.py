@@ -40,7 +40,7 @@ from .graphs import components
 from .rarity import block_rows, classes_of, slot, tally
 from .setjoin import MORE_ORDERS, Sets, prefix_length
 from .shared import small, stored
-from .text import _stream, slices
+from .text import _stream, slices, tidy
 
 #: Slots of the token counts, by the number of documents.
 LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
@@ -62,6 +62,7 @@ def _profile(k: int, slots: int):
     names = ["doc_id", "n", "node", "minima", "block", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.uint32)
         for batch in batches:
@@ -81,6 +82,7 @@ def _profile(k: int, slots: int):
 
 
 def _postings(k: int, percent: int, rarity):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -102,6 +104,7 @@ def _postings(k: int, percent: int, rarity):
 
 
 def _sets(k: int, percent: int, rarity):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -10,9 +10,9 @@ one token are formed in blocks of bounded size and pass the length filter, the
 positional filter and a bitmap filter (each token flips one of 128 bits, so the bits
 that differ bound the tokens that differ). Of the earlier lines that are left, each line
 is compared exactly with the few of each bucket whose bitmaps are closest; one match
-settles it, so a large group of similar lines never becomes all its pairs. Lines that are
-not settled though they had more candidates go through the buckets again, with all of
-them. A token whose slot counts one line has no partner and is not sent.
+settles it, so a large group of similar lines never becomes all its pairs. A line that is
+not settled is compared with the rest of the bucket's list, and one whose lists were cut
+goes through the buckets again, with all candidates. A token whose slot counts one line has no partner and is not sent.
 
 A line that has an earlier match - equal or similar, at a smaller (doc_id, line number)
 of the input - is removed. Equal sets are one node, however often they occur: a node
@@ -39,17 +39,17 @@ from pyspark.sql import functions as F
 from .rarity import block_rows, classes_of, slot, tally
 from .setjoin import TOKEN_BITS, Sets
 from .shared import small, stored
-from .text import mix, raw, slices, starts_of_equal
+from .text import mix, raw, slices, starts_of_equal, tidy
 
 PERCENT, MIN_TOKENS = 80, 5
 #: Slots of the word counts, by the number of documents.
 LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
-#: Candidates of a line that a bucket sends at first.
-CLOSEST = 4
+#: Candidates of a line that are compared at first, and that a bucket lists.
+CLOSEST, LISTED = 4, 256
 #: Buckets for each shuffle partition; entries that a map task gathers before it sends; pairs formed at once.
-BUCKETS, SEND_ENTRIES, PAIRS = 8, 200_000, 1 << 20
+BUCKETS, SEND_ENTRIES, PAIRS = 8, 200_000, 1 << 18
 #: Sets that a map task remembers as sent.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 _LAST = np.iinfo(np.int64).max
 ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8")])
 #: Lines without a match so far go to all tasks up to so many; beyond, all lines are taken for such.
@@ -80,6 +80,7 @@ def _survey(min_tokens: int, slots: int):
     names = ["doc_id", "key", "line", "node", "block", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.uint32)
         for batch in batches:
@@ -115,6 +116,7 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
         bodies = [entry[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "entries"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket, n = [], [], 0
         sent: dict[int, tuple[int, int]] = {}
@@ -184,42 +186,44 @@ def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.
         a = b
 
 
-def _closest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray, closest: int) -> tuple[np.ndarray, ...]:
-    """Each later node's closest earlier nodes, and whether it has others."""
+def _closest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray, listed: int) -> tuple[np.ndarray, ...]:
+    """Each later node's closest earlier nodes in order, and whether it has others."""
     order = np.lexsort((earlier, later))
     order = order[starts_of_equal(later[order], earlier[order])]
     order = order[np.lexsort((apart[order], later[order]))]
     later, earlier, apart, more = later[order], earlier[order], apart[order], more[order]
     first = np.flatnonzero(starts_of_equal(later))
     n = np.diff(np.append(first, len(later)))
-    more = np.repeat(np.logical_or.reduceat(more, first) | (n > closest), n) if len(first) else more
-    keep = np.arange(len(later)) - np.repeat(first, n) < closest
+    more = np.repeat(np.logical_or.reduceat(more, first) | (n > listed), n) if len(first) else more
+    keep = np.arange(len(later)) - np.repeat(first, n) < listed
     return later[keep], earlier[keep], apart[keep], more[keep]
 
 
-def _candidates(percent: int, closest: int, residual=None):
-    """Pairs of nodes (a is later than b) to compare: the closest of each bucket, or, for
-    the nodes of ``residual`` (None: for all), every one."""
+def _candidates(percent: int, listed: int, residual=None):
+    """For each later node of a bucket its earlier candidates, the closest first; for the
+    nodes of ``residual`` (None inside: all nodes) every one, over several rows."""
 
+    def rows(a, b, more) -> pa.RecordBatch:
+        first = np.flatnonzero(starts_of_equal(a))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(b))
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), lists, pa.array(more[first])], ["a", "bs", "more"])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def rows(a, b, more) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
-
         def finish() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
             for a, b, apart in _pairs_of(np.frombuffer(b"".join(held), ENTRY), percent):
                 if residual is None:
-                    best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)), closest)
+                    best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)), listed)
                 else:
                     ok = np.isin(a, residual.value) if residual.value is not None else np.ones(len(a), bool)
                     pair = np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
                     yield rows(pair[:, 0], pair[:, 1], np.zeros(len(pair), bool))
-            if len(best[0]):
-                yield rows(best[0], best[1], best[3])
+            yield rows(best[0], best[1], best[3])
 
         for batch in batches:
             for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
@@ -232,6 +236,7 @@ def _candidates(percent: int, closest: int, residual=None):
     return run
 
 
+@tidy
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
@@ -243,7 +248,7 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(s.nodes()[rows]), sets.take(pa.array(rows))], ["node", "tokens"])
 
 
-def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, closest: int = CLOSEST) -> DataFrame:
+def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, closest: int = CLOSEST, listed: int = LISTED) -> DataFrame:
     """doc_id, key (a hash of the text) and line numbers (counted from 0) of the lines that have an earlier match."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -265,30 +270,35 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
         both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         return stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select(F.col("a").alias("node")).distinct(), "matched")
 
-    schema = "a long, b long, more boolean"
-    pairs = stored(entries.mapInArrow(_candidates(percent, closest), schema).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-    settled = matched(pairs)
-    open_ = stored(pairs.where("more").select(F.col("a").alias("node")).distinct().join(settled, "node", "left_anti"), "open")
-    n_open = open_.count()
-    if n_open:
-        residual = spark.sparkContext.broadcast(np.array([r["node"] for r in open_.collect()], np.int64) if n_open <= RESIDUAL else None)
-        again = stored(entries.mapInArrow(_candidates(percent, closest, residual), schema).select("a", "b").distinct(), "pairs")
-        settled = settled.unionByName(matched(again)).distinct()
+    schema = "a long, bs array<long>, more boolean"
+    lists = stored(entries.mapInArrow(_candidates(percent, listed), schema), "candidates")
+    settled = matched(stored(lists.select("a", F.explode(F.slice("bs", 1, closest)).alias("b")).distinct(), "pairs"))
+    open_ = stored(lists.where(F.size("bs") > closest).select("a").distinct().join(settled.withColumnRenamed("node", "a"), "a", "left_anti"), "open")
+    if not open_.isEmpty():
+        rest = lists.where(F.size("bs") > closest).join(small(open_), "a").select("a", F.explode(F.slice("bs", closest + 1, listed)).alias("b"))
+        settled = settled.unionByName(matched(stored(rest.distinct(), "pairs"))).distinct()
+    cut = stored(lists.where("more").select("a").distinct().join(settled.withColumnRenamed("node", "a"), "a", "left_anti"), "open")
+    n_cut = cut.count()
+    if n_cut:
+        residual = spark.sparkContext.broadcast(np.array([r["a"] for r in cut.collect()], np.int64) if n_cut <= RESIDUAL else None)
+        again = entries.mapInArrow(_candidates(percent, listed, residual), schema).select("a", F.explode("bs").alias("b"))
+        settled = settled.unionByName(matched(stored(again.distinct(), "pairs"))).distinct()
     known = nodes.join(settled.withColumn("late", F.lit(True)), "node", "left").where("n > 1 or late").select("node", "first", F.coalesce("late", F.lit(False)).alias("late"))
     hits = lines.join(small(stored(known, "firsts")), "node").where("late or struct(doc_id, line) > struct(first.doc_id, first.line)")
     return stored(hits.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines")), "removed-lines")
 
 
-def remove_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, closest: int = CLOSEST) -> DataFrame:
+def remove_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, closest: int = CLOSEST, listed: int = LISTED) -> DataFrame:
     """``docs`` with n_lines, n_removed and kept_sha256 (of the kept lines joined by
     newlines) put first and text reduced to the kept lines; n_chars, where there is
     one, is the new length. The input's own columns of the three names go."""
-    gone = later_matches(docs, percent, min_tokens, closest)
+    gone = later_matches(docs, percent, min_tokens, closest, listed)
     base = docs.drop("n_lines", "n_removed", "kept_sha256")
     keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
     joined = keyed.join(small(gone), ["doc_id", "key"], "left").select("row.*", F.col("lines").alias("gone_lines"))
     names = base.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

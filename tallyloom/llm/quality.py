@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .text import IS_WORD, Words, mix, roll, slices, starts_of_equal
+from .text import IS_WORD, Words, mix, roll, slices, starts_of_equal, tidy
 
 #: The classifier is fitted on at most so many labelled documents, those whose doc_id has the smallest hash.
 MAX_TRAINING_ROWS = 20_000
@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) ->
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by ``rows``
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -147,6 +148,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, min_
     out = {**dict.fromkeys(BASE, "long"), "base_failed": "boolean", "score": "double", "kept": "boolean"}
     source = docs.drop(*out)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

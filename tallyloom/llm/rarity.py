@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .text import mix
+from .text import mix, tidy
 
 BLOCK = 1 << 14
 
@@ -41,6 +41,7 @@ def tally(counts: np.ndarray, slots: np.ndarray) -> None:
 def _classes(ordinary: float | None):
     """Sums the blocks of a partition; a row of classes for each block in it."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:

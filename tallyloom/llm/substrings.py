@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .text import Words, mix, roll, slices, starts_of_equal
+from .text import Words, mix, roll, slices, starts_of_equal, tidy
 
 K, M = 13, 3
 #: Buckets for each shuffle partition.
@@ -106,6 +106,7 @@ def _known(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray,
 
 
 def _deal(k: int, m: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -205,6 +206,7 @@ def _solve(k: int):
     def rows(doc, key, start, end) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in (doc, key, start, end)], ["doc_id", "key", "start", "end"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, strings, places = None, [], []
 
@@ -246,6 +248,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, with_text: bool = Fa
     source = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.shiftright(F.xxhash64("text"), 32))
     joined = source.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import small, stored
 from .substrings import BUCKETS, REMEMBERED, SEND_BYTES, joined_words, match_windows, ranges, send_strings
-from .text import Words, roll, slices, starts_of_equal
+from .text import Words, roll, slices, starts_of_equal, tidy
 
 MIN_WORDS, M = 50, 4
 _LEAST = np.iinfo(np.int64).max
@@ -72,6 +72,7 @@ def _rows(doc, key, pos, n, source) -> pa.RecordBatch:
 
 
 def _deal_prefixes(window: int, prefix: int, m: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, ...]] = {}
         gathered, held = [], 0
@@ -159,6 +160,7 @@ def _matching(strings: list[bytes], places: list[bytes]):
 
 
 def _deal_surroundings(window: int, prefix: int, min_words: int, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         gathered, held = [], 0
@@ -209,6 +211,7 @@ def _per_bucket(solve):
     def rows(columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in columns], names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, strings, places = None, [], []
 

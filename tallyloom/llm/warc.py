@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import folder, stored
+from .text import tidy
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: An archive is closed at so many bytes of records.
@@ -201,6 +202,7 @@ def write_archives(pages: DataFrame, to: str, revisit_from_bytes: int = 0, archi
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
     rows = rows.select("page_id", "url", "html", "first_id", revisit.alias("revisit"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -284,6 +286,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in names], names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, first in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist(), strict=True):

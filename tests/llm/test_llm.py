@@ -220,8 +220,8 @@ def brute_lines(rows):
     return gone
 
 
-@pytest.mark.parametrize("closest", [lines.CLOSEST, 1])
-def test_line_dedup(spark, closest):
+@pytest.mark.parametrize(("closest", "listed"), [(lines.CLOSEST, lines.LISTED), (1, 2)])
+def test_line_dedup(spark, closest, listed):
     rnd = random.Random(9)
     rows = corpus(2)
     base = words(prose(rnd, 25))
@@ -231,7 +231,7 @@ def test_line_dedup(spark, closest):
             w[rnd.randrange(25)] = prose(rnd, 1)
         rows.append((200 + i, prose(rnd, 9) + "\n" + " ".join(w) + "\n\n"))
     gone = brute_lines(rows)
-    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256, r.text, r.node) for r in lines.remove_lines(frame(spark, rows), closest=closest).collect())
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256, r.text, r.node) for r in lines.remove_lines(frame(spark, rows), closest=closest, listed=listed).collect())
     want = Counter()
     for i, t in rows:
         drop = gone[i, t] if i is not None else ()
