@@ -29,7 +29,7 @@ def path_class(path: Column) -> Column:
     parts = _parts(F.coalesce(path, F.lit("")))
     name = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     parent = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
-    suffix = F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]+)$", 1)
+    suffix = F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
     leaf = F.concat(F.when(stem != "", opaque(stem)).otherwise(""), suffix)
     kept = F.when(F.lower(parent).isin(SAFE_DIRS), parent).otherwise(opaque(parent))

@@ -25,7 +25,7 @@ def vocabulary(pattern: str) -> str:
 def path_class(x: str) -> str:
     parts = f"list_filter(string_split({x}, '/'), lambda p: p <> '' and p <> '.')"
     name, parent = f"coalesce({parts}[-1], '')", f"coalesce({parts}[-2], '')"
-    suffix = f"regexp_extract({name}, '^\\.*[^.].*(\\.[^.]+)$', 1)"
+    suffix = f"regexp_extract({name}, '^.+(\\.[^.]+)$', 1)"
     stem = f"substring({name}, 1, length({name}) - length({suffix}))"
     leaf = f"case when {stem} <> '' then substring(sha256({stem}), 1, 8) else '' end || {suffix}"
     return f"case when {parent} = '' then {leaf} when lower({parent}) in ({_list(C.SAFE_DIRS)}) then {parent} || '/' || {leaf} else substring(sha256({parent}), 1, 8) || '/' || {leaf} end"

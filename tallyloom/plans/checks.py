@@ -30,7 +30,7 @@ class Reference:
     @classmethod
     def load(cls, path: str) -> Reference | None:
         """The [reference] section of a TOML file; None without one, an error if it is incomplete."""
-        if not Path(path).exists() or not (section := tomllib.loads(Path(path).read_text()).get("reference")):
+        if not Path(path).is_file() or not (section := tomllib.loads(Path(path).read_text()).get("reference")):
             return None
         try:
             pair = lambda key, kind: tuple(kind(section[key][i]) for i in (0, 1))
