@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .graphs import components
 from .rarity import block_rows, classes_of, slot, tally
-from .setjoin import MORE_ORDERS, Sets, prefix_length
+from .setjoin import MORE_ORDERS, Sets, in_squares, prefix_length, shared_counts
 from .shared import small, stored
 from .text import _stream, slices, tidy
 
@@ -47,7 +47,7 @@ LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
 #: Minimum hashes for the preliminary components, and heads of each of their buckets.
 MINIMA, HEADS = 8, 4
 #: Nodes of a token that are joined as rows; beyond, in blocks of so many.
-HOT, SQUARE, COLUMNS = 64, 1024, 2048
+HOT, SQUARE = 64, 1024
 #: Sets that a map task remembers as sent.
 REMEMBERED = 200_000
 NO_ID = (1 << 63) - 1
@@ -116,22 +116,6 @@ def _sets(k: int, percent: int, rarity):
     return run
 
 
-def _shared(lists: list[np.ndarray]) -> np.ndarray:
-    """How many values each two of the lists share."""
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    value, code, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    place = np.full(len(value), -1)
-    place[n > 1] = np.arange((n > 1).sum())
-    code = place[code]
-    out = np.zeros((len(lists), len(lists)), np.float32)
-    for a in range(0, int((n > 1).sum()), COLUMNS):
-        mine = (code >= a) & (code < a + COLUMNS)
-        m = np.zeros((len(lists), COLUMNS), np.float32)
-        m[owner[mine], code[mine] - a] = 1
-        out += m @ m.T
-    return out
-
-
 def _square(percent: int):
     """Links within one block of a hot token, one for each node and other label."""
 
@@ -140,7 +124,7 @@ def _square(percent: int):
         across = table.column("row")[0].as_py() != table.column("column")[0].as_py()
         lists = [np.asarray(x.values) for x in table.column("tokens")]
         n = np.array([len(x) for x in lists])
-        common = _shared(lists)
+        common = shared_counts(lists)
         i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
         ok = (label[i] != label[j]) & ((own[i] != own[j]) | (not across))
         i, j = i[ok], j[ok]
@@ -241,8 +225,7 @@ class JaccardJoin:
     def _hot_links(self, shared: DataFrame, hot: DataFrame) -> DataFrame:
         """Links of nodes that share a hot token, one to each other component."""
         sets = self._token_sets(hot).select("node", "tokens").dropDuplicates(["node"])
-        rows = shared.where(f"size > {HOT}").select("token", "node", "label", F.expr(f"cast(ceil(size / {SQUARE}) as int)").alias("blocks")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        rows = rows.select("token", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("token", "node", "label", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
+        rows = in_squares(shared.where(f"size > {HOT}"), SQUARE)
         return stored(rows.join(sets, "node").groupBy("token", "row", "column").applyInArrow(_square(self.percent), "a long, b long").distinct(), "links")
 
     def solve(self) -> DataFrame:

@@ -11,8 +11,9 @@ positional filter and a bitmap filter (each token flips one of 128 bits, so the
 that differ bound the tokens that differ). Of the earlier lines that are left, each line
 is compared exactly with the few of each bucket whose bitmaps are closest; one match
 settles it, so a large group of similar lines never becomes all its pairs. A line that is
-not settled is compared with the rest of the bucket's list, and one whose lists were cut
-goes through the buckets again, with all candidates. A token whose slot counts one line has no partner and is not sent.
+not settled is compared with the rest of the bucket's list. Tokens of lines whose lists
+were cut are listed whole; if such a line is still not settled, their lines meet in square
+blocks of bounded size, where products of token matrices compare all pairs exactly. A token whose slot counts one line has no partner and is not sent.
 
 A line that has an earlier match - equal or similar, at a smaller (doc_id, line number)
 of the input - is removed. Equal sets are one node, however often they occur: a node
@@ -33,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rarity import block_rows, classes_of, slot, tally
-from .setjoin import TOKEN_BITS, Sets
+from .setjoin import TOKEN_BITS, Sets, in_squares, shared_counts
 from .shared import small, stored
 from .text import mix, raw, slices, starts_of_equal, tidy
 
@@ -45,15 +46,15 @@ PERCENT, MIN_TOKENS = 80, 5
 #: Slots of the word counts, by the number of documents.
 LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
 #: Candidates of a line that are compared at first, and that a bucket lists.
-CLOSEST, LISTED = 4, 256
+CLOSEST, LISTED = 4, 16
 #: Buckets for each shuffle partition; entries that a map task gathers before it sends; pairs formed at once.
 BUCKETS, SEND_ENTRIES, PAIRS = 8, 200_000, 1 << 18
 #: Sets that a map task remembers as sent.
 REMEMBERED = 100_000
 _LAST = np.iinfo(np.int64).max
 ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("node", "<i8"), ("bits0", "<u8"), ("bits1", "<u8")])
-#: Lines without a match so far go to all tasks up to so many; beyond, all lines are taken for such.
-RESIDUAL = 1_000_000
+#: Lines a side of a block.
+SQUARE = 1024
 
 
 def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -155,14 +156,22 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
     return run
 
 
-def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one bucket: pairs (later, earlier) of entries that pass the filters, and how many bits they differ in."""
-    code = entry["token"].astype(np.uint64) << np.uint64(32) | entry["n"].astype(np.uint64)
+def _code(entry: np.ndarray) -> np.ndarray:
+    return entry["token"].astype(np.uint64) << np.uint64(32) | entry["n"].astype(np.uint64)
+
+
+def _ordered(entry: np.ndarray) -> np.ndarray:
+    """By token, size and node, one entry of each, the one of the node's first place."""
+    code = _code(entry)
     order = np.lexsort((entry["line"], entry["doc"], entry["node"], code))
-    entry, code = entry[order], code[order]
-    first = starts_of_equal(code, entry["node"])
-    entry, code = entry[first], code[first]
+    return entry[order][starts_of_equal(code[order], entry["node"][order])]
+
+
+def _pairs_of(entry: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one bucket's entries in order: pairs (later, earlier) of nodes that pass the
+    filters, and how many bits they differ in."""
     n, at, doc, line = (entry[c].astype(np.int64) for c in ("n", "at", "doc", "line"))
+    code = _code(entry)
     high = np.searchsorted(code, (entry["token"].astype(np.uint64) << np.uint64(32)) | (100 * n // percent).astype(np.uint64), "right")
     x = np.flatnonzero(at < index_length(n, percent))
     many = np.maximum(high[x] - x - 1, 0)
@@ -199,14 +208,10 @@ def _closest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np
     return later[keep], earlier[keep], apart[keep], more[keep]
 
 
-def _candidates(percent: int, listed: int, residual=None):
-    """For each later node of a bucket its earlier candidates, the closest first; for the
-    nodes of ``residual`` (None inside: all nodes) every one, over several rows."""
-
-    def rows(a, b, more) -> pa.RecordBatch:
-        first = np.flatnonzero(starts_of_equal(a))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(b))
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), lists, pa.array(more[first])], ["a", "bs", "more"])
+def _candidates(percent: int, listed: int):
+    """For each later node of a bucket its earlier candidates, the closest first. Where a
+    list is cut, the nodes of all its tokens there follow, in rows with a token."""
+    names = ["a", "bs", "more", "token"]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +220,19 @@ def _candidates(percent: int, listed: int, residual=None):
         def finish() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
+            entry = _ordered(np.frombuffer(b"".join(held), ENTRY))
             best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
-            for a, b, apart in _pairs_of(np.frombuffer(b"".join(held), ENTRY), percent):
-                if residual is None:
-                    best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)), listed)
-                else:
-                    ok = np.isin(a, residual.value) if residual.value is not None else np.ones(len(a), bool)
-                    pair = np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
-                    yield rows(pair[:, 0], pair[:, 1], np.zeros(len(pair), bool))
-            yield rows(best[0], best[1], best[3])
+            for a, b, apart in _pairs_of(entry, percent):
+                best = _closest(*(np.concatenate(x) for x in zip(best, (a, b, apart, np.zeros(len(a), bool)), strict=True)), listed)
+            a, b, _, more = best
+            first = np.flatnonzero(starts_of_equal(a))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(b))
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), lists, pa.array(more[first]), pa.nulls(len(first), pa.int64())], names)
+            if more.any():
+                tokens = np.unique(entry["token"][np.isin(entry["node"], a[more])])
+                whole = entry[np.isin(entry["token"], tokens)]
+                token = np.int64(now) << np.int64(32) | whole["token"].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(whole["node"]), pa.nulls(len(whole), pa.list_(pa.int64())), pa.array(np.zeros(len(whole), bool)), pa.array(token)], names)
 
         for batch in batches:
             for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
@@ -236,6 +245,21 @@ def _candidates(percent: int, listed: int, residual=None):
     return run
 
 
+def _square(percent: int):
+    """The asked nodes of a block that have an earlier match in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, asked, doc, line = (table.column(c).to_numpy() for c in ("node", "asked", "doc", "line"))
+        lists = [np.asarray(x.values) for x in table.column("tokens")]
+        n = np.array([len(x) for x in lists])
+        common = shared_counts(lists)
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        linked &= (doc[None, :] < doc[:, None]) | ((doc[None, :] == doc[:, None]) & (line[None, :] < line[:, None]))
+        return pa.table({"node": node[asked & linked.any(axis=1)]})
+
+    return run
+
+
 @tidy
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -261,28 +285,32 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     entries = source.select("doc_id", "text").mapInArrow(_entries(percent, min_tokens, classes, BUCKETS * partitions), "bucket int, entries binary")
     entries = entries.repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The token sets of nodes, from their first places."""
+        at = stored(wanted.join(nodes, "node").groupBy("first.doc_id", "first.key").agg(F.collect_set("first.line").alias("lines")), "wanted")
+        return stored(source.join(small(at), ["doc_id", "key"]).select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
+
     def matched(pairs: DataFrame) -> DataFrame:
         """The later nodes of those pairs whose sets are similar."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stored(ends.join(nodes, "node").groupBy("first.doc_id", "first.key").agg(F.collect_set("first.line").alias("lines")), "wanted")
-        sets = stored(source.join(small(wanted), ["doc_id", "key"]).select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         return stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select(F.col("a").alias("node")).distinct(), "matched")
 
-    schema = "a long, bs array<long>, more boolean"
-    lists = stored(entries.mapInArrow(_candidates(percent, listed), schema), "candidates")
+    rows = stored(entries.mapInArrow(_candidates(percent, listed), "a long, bs array<long>, more boolean, token long"), "candidates")
+    lists = rows.where("token is null")
     settled = matched(stored(lists.select("a", F.explode(F.slice("bs", 1, closest)).alias("b")).distinct(), "pairs"))
-    open_ = stored(lists.where(F.size("bs") > closest).select("a").distinct().join(settled.withColumnRenamed("node", "a"), "a", "left_anti"), "open")
-    if not open_.isEmpty():
-        rest = lists.where(F.size("bs") > closest).join(small(open_), "a").select("a", F.explode(F.slice("bs", closest + 1, listed)).alias("b"))
-        settled = settled.unionByName(matched(stored(rest.distinct(), "pairs"))).distinct()
-    cut = stored(lists.where("more").select("a").distinct().join(settled.withColumnRenamed("node", "a"), "a", "left_anti"), "open")
-    n_cut = cut.count()
-    if n_cut:
-        residual = spark.sparkContext.broadcast(np.array([r["a"] for r in cut.collect()], np.int64) if n_cut <= RESIDUAL else None)
-        again = entries.mapInArrow(_candidates(percent, listed, residual), schema).select("a", F.explode("bs").alias("b"))
-        settled = settled.unionByName(matched(stored(again.distinct(), "pairs"))).distinct()
+    rest = stored(lists.where(F.size("bs") > closest).join(settled.withColumnRenamed("node", "a"), "a", "left_anti").select("a", F.explode(F.slice("bs", closest + 1, listed)).alias("b")).distinct(), "pairs")
+    if not rest.isEmpty():
+        settled = stored(settled.unionByName(matched(rest)).distinct(), "matched")
+    cut = stored(lists.where("more").select(F.col("a").alias("node")).distinct().join(settled, "node", "left_anti"), "cut")
+    if not cut.isEmpty():
+        whole = rows.where("token is not null").select("token", F.col("a").alias("node")).distinct().join(small(cut.withColumn("cut", F.lit(True))), "node", "left").withColumn("asked", F.coalesce("cut", F.lit(False)))
+        of_token = Window.partitionBy("token")
+        whole = stored(whole.withColumns({"any": F.max("asked").over(of_token), "size": F.count("*").over(of_token)}).where("any").select("token", "node", "asked", "size"), "cut-tokens")
+        sets = sets_of(whole.select("node").distinct()).join(nodes.select("node", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")), "node")
+        found = in_squares(whole, SQUARE).join(sets, "node").groupBy("token", "row", "column").applyInArrow(_square(percent), "node long")
+        settled = stored(settled.unionByName(found).distinct(), "matched")
     known = nodes.join(settled.withColumn("late", F.lit(True)), "node", "left").where("n > 1 or late").select("node", "first", F.coalesce("late", F.lit(False)).alias("late"))
     hits = lines.join(small(stored(known, "firsts")), "node").where("late or struct(doc_id, line) > struct(first.doc_id, first.line)")
     return stored(hits.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines")), "removed-lines")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .text import Words, _stream, mix, roll
 
 TOKEN_BITS = 50
+#: Columns of a token matrix at once.
+COLUMNS = 2048
 #: Global orders after the first.
 MORE_ORDERS = 2
 _ORDERS = _stream(11, MORE_ORDERS) | np.uint64(1)
@@ -57,3 +61,28 @@ class Sets:
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+
+
+def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the lists share."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    value, code, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    place = np.full(len(value), -1)
+    place[n > 1] = np.arange((n > 1).sum())
+    code = place[code]
+    out = np.zeros((len(lists), len(lists)), np.float32)
+    for a in range(0, int((n > 1).sum()), COLUMNS):
+        mine = (code >= a) & (code < a + COLUMNS)
+        m = np.zeros((len(lists), COLUMNS), np.float32)
+        m[owner[mine], code[mine] - a] = 1
+        out += m @ m.T
+    return out
+
+
+def in_squares(rows: DataFrame, side: int) -> DataFrame:
+    """Rows (token, node, size: nodes of the token, any more) dealt so that each two nodes
+    of a token meet in one square block (token, row, column) of about ``side`` nodes a
+    side; ``own`` is a node's own block number."""
+    dealt = rows.withColumn("blocks", F.expr(f"cast(ceil(size / {side}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"row": F.least("own", "other"), "column": F.greatest("own", "other")}).drop("size", "blocks", "other")
