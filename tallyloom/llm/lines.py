@@ -288,7 +288,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The token sets of nodes, from their first places."""
         at = stored(wanted.join(nodes, "node").groupBy("first.doc_id", "first.key").agg(F.collect_set("first.line").alias("lines")), "wanted")
-        return stored(source.join(small(at), ["doc_id", "key"]).select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
+        return stored(source.join(small(at, "lines"), ["doc_id", "key"]).select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
 
     def matched(pairs: DataFrame) -> DataFrame:
         """The later nodes of those pairs whose sets are similar."""
@@ -323,7 +323,7 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_
     gone = later_matches(docs, percent, min_tokens, closest, listed)
     base = docs.drop("n_lines", "n_removed", "kept_sha256")
     keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
-    joined = keyed.join(small(gone), ["doc_id", "key"], "left").select("row.*", F.col("lines").alias("gone_lines"))
+    joined = keyed.join(small(gone, "lines"), ["doc_id", "key"], "left").select("row.*", F.col("lines").alias("gone_lines"))
     names = base.columns
 
     @tidy

@@ -72,7 +72,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+_WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_WINDOWS = """
+    with docs as (select row_number() over () as r, doc_id, {words} as ws from documents),
+    windows as (select r, doc_id, i, array_to_string(ws[i:i + {k} - 1], ' ') as w from (select *, unnest(range(1, len(ws) - {k} + 2)) as i from docs) x),
+    first as (select w, min(doc_id) as m from windows group by w),
+    hit as (select r, i, m from windows join first using (w) where m < doc_id),
+    gone as (select distinct r, unnest(range(i, i + {k})) as p from hit)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": _WINDOWS.format(words=_WORDS.format(t="coalesce(text, '')"), k=13) + """,
+        kept as (select r, string_agg(x, ' ' order by p) as t from (select r, unnest(ws) as x, generate_subscripts(ws, 1) as p from docs) w anti join gone using (r, p) group by r),
+        lost as (select r, count(*) as n from gone group by r)
+        select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from docs left join lost using (r) left join kept using (r)""",
+    "op7_suffix_dedup": _WINDOWS.format(words=_WORDS.format(t="coalesce(text, '')"), k=50) + """,
+        runs as (select r, min(p) as a, max(p) as b from (select r, p, p - row_number() over (partition by r order by p) as g from gone) x group by r, g)
+        select doc_id, a - 1 as start_word, b as end_word, b - a + 1 as n_words, m as source_doc_id from runs join hit on hit.r = runs.r and hit.i = runs.a join docs on docs.r = runs.r""",
+    "op9_ngram_jaccard": """
+        with recursive docs as (select doc_id, """ + _WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ as ws from documents),
+        sets as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end as s from docs),
+        tokens as materialized (select doc_id, unnest(s) as t from sets),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from tokens a join tokens b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+        links as materialized (select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach as (select a as x, b as y from both_ways union select reach.x, both_ways.b from reach join both_ways on both_ways.a = reach.y)
+        select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce((select min(y) from reach where x = doc_id), doc_id)) as component_id from sets""",
     "op2_warc_zip": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
         d as (select page_id, octet_length(body) as payload_bytes, body, upper(sha1(body)) as h from p),

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of short rows are sent to all tasks up to so many rows; beyond, both sides of their joins are shuffled.
+#: Tables of short rows are sent to all tasks up to so many rows (about 10 MB); beyond, both sides of their joins are shuffled.
 BROADCAST_ROWS = 250_000
 
 
@@ -30,6 +30,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """A stored frame, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+def small(frame: DataFrame, *lists: str) -> DataFrame:
+    """A stored frame, to be broadcast if it has at most BROADCAST_ROWS rows, counting the
+    elements of the columns ``lists`` as rows too."""
+    sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in lists]
+    return F.broadcast(frame) if sum(frame.agg(F.count("*"), *sizes).first()) <= BROADCAST_ROWS else frame

@@ -248,7 +248,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, m: int = M) -
     dealt = lambda rows: rows.withColumn("bucket", spread).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     matches = dealt(source.mapInArrow(_deal_prefixes(window, prefix, m, buckets), packed)).mapInArrow(_per_bucket(_matching), found)
     places = stored(matches.groupBy("doc_id", "key").agg(F.collect_set("start").alias("places")), "suffix-matches")
-    texts = source.join(small(places), ["doc_id", "key"])
+    texts = source.join(small(places, "places"), ["doc_id", "key"])
     spans = dealt(texts.mapInArrow(_deal_surroundings(window, prefix, min_words, buckets), packed)).mapInArrow(_per_bucket(lambda s, p: match_windows(s, p, min_words)), found).distinct()
     order = Window.partitionBy("doc_id", "key").orderBy("start", "end", "source_doc_id")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
