@@ -11,7 +11,7 @@ from . import adapters
 from . import constants as C
 from .functions import text
 from .functions.pricing import priced, registry, resolve
-from .operators import enrich, prompts, turns
+from .operators import enrich, outcomes, prompts, turns
 from .oracle import _MATRIX, _RATES, branch_kind, command_verb, over_events, over_usage, path_class, vocabulary, web_host
 from .plans import checks, ledger, views
 
@@ -225,6 +225,22 @@ _add(
     over_events("select * from (select count(*) filter (where max_tier <> used_tier) as mixed, count(*) as verdicts from verdict) a, (select count(*) filter (where model_tier = 'frontier') as frontier, cast(sum(value_e8) filter (where model_tier = 'frontier') as bigint) as frontier_e8 from api_call) b"),
 )
 
+# --- reports ------------------------------------------------------------------------
+
+_SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("input_tokens", "cache_write_tokens", "cache_read_tokens"))
+_add("cache_efficiency", _over_ledger(lambda t: outcomes.cache_efficiency(t.api_call)), over_events(f"select *, (1000 * cache_read_tokens) // nullif(input_tokens + cache_write_tokens + cache_read_tokens, 0) as cached_per_mille from (select allowance_pool, model, count(*) as calls, {_SUMS} from api_call group by 1, 2) x"))
+_add(
+    "cohort_turns", _over_ledger(lambda t: outcomes.cohorts(t.work_unit, t.classification)),
+    over_events("select ai_activity, work_type, id, turns, p75_turns, turns > 1.5 * p75_turns as turn_excess from work_unit join classification using (id) join (select ai_activity, work_type, cast(quantile_cont(turns, 0.75) as double) as p75_turns from work_unit join classification using (id) group by 1, 2) p using (ai_activity, work_type)"),
+)
+_add(
+    "limit_episodes", _over_ledger(lambda t: outcomes.limit_episodes(t.api_call)),
+    over_events("""select allowance_pool, session, episode, count(*) as hits, min(started_at) as first_hit, max(started_at) as last_hit from
+        (select *, cast(sum(new) over (partition by allowance_pool, session order by us rows unbounded preceding) as bigint) as episode from
+            (select *, case when us - lag(us) over (partition by allowance_pool, session order by us) <= 3600000000 then 0 else 1 end as new from
+                (select allowance_pool, session, started_at, epoch_us(cast(replace(started_at, 'Z', '') as timestamp)) as us from api_call where error_kind = 'rate_limit') h) n) e group by 1, 2, 3"""),
+)
+
 # --- scalar functions ----------------------------------------------------------------
 
 _PATHS = "source || '/' || lang || '/' || cast(doc_id as varchar) || case when doc_id % 3 = 0 then '.tar.gz' when doc_id % 3 = 1 then '.md' else '' end"
