@@ -52,8 +52,13 @@ class Sets:
         """The positions of each set's prefix under one order, set by set, and the place
         of each in that order; ``rarity`` has a class for each token."""
         rank = self.token if not order else (self.token * _ORDERS[order - 1]) >> np.uint64(64 - TOKEN_BITS)
-        rank = (rarity.astype(np.uint64) << np.uint64(TOKEN_BITS)) | rank
-        by = np.lexsort((rank, self.doc))
+        # one key of 64 bits: text, class and most of the hash; equal keys are told apart by the rest
+        rare = rarity.astype(np.uint64)
+        key = (self.doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (rare << np.uint64(TOKEN_BITS - 8)) | (rank >> np.uint64(8))
+        by = np.argsort(key)
+        key = key[by]
+        if (key[1:] == key[:-1]).any():
+            by = np.lexsort((rank, rare, self.doc))
         place = np.arange(len(by)) - np.repeat(self.first[:-1], self.n)
         kept = place < np.repeat(prefix_length(self.n, percent), self.n)
         return by[kept], place[kept]
