@@ -197,11 +197,10 @@ class JaccardJoin:
     def _labelled(self, postings: DataFrame, links: DataFrame) -> DataFrame:
         """Postings with the label of their node's component, of tokens with several labels
         only, and how many nodes each of these tokens has."""
-        ends = Window.partitionBy("token")
         labels = stored(components(links).select("node", F.col("root").alias("label")), "labels")
-        rows = postings.select("token", "node", "n").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rows = rows.withColumns({"low": F.min("label").over(ends), "high": F.max("label").over(ends), "size": F.count("*").over(ends)})
-        return stored(rows.where("low < high").drop("low", "high"), "postings")
+        rows = stored(postings.select("token", "node", "n").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "postings")
+        several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
+        return stored(rows.join(several, "token"), "postings")
 
     def _across(self, early: DataFrame) -> DataFrame:
         """Links between different components of the ``early`` links."""

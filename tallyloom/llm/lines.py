@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rarity import block_rows, classes_of, slot, tally
@@ -305,9 +305,9 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
         settled = stored(settled.unionByName(matched(rest)).distinct(), "matched")
     cut = stored(lists.where("more").select(F.col("a").alias("node")).distinct().join(settled, "node", "left_anti"), "cut")
     if not cut.isEmpty():
-        whole = rows.where("token is not null").select("token", F.col("a").alias("node")).distinct().join(small(cut.withColumn("cut", F.lit(True))), "node", "left").withColumn("asked", F.coalesce("cut", F.lit(False)))
-        of_token = Window.partitionBy("token")
-        whole = stored(whole.withColumns({"any": F.max("asked").over(of_token), "size": F.count("*").over(of_token)}).where("any").select("token", "node", "asked", "size"), "cut-tokens")
+        whole = stored(rows.where("token is not null").select("token", F.col("a").alias("node")).distinct().join(small(cut.withColumn("asked", F.lit(True))), "node", "left"), "cut-tokens")
+        asked = whole.groupBy("token").agg(F.count("asked").alias("n"), F.count("*").alias("size")).where("n > 0").drop("n")
+        whole = stored(whole.join(asked, "token").select("token", "node", F.coalesce("asked", F.lit(False)).alias("asked"), "size"), "cut-tokens")
         sets = sets_of(whole.select("node").distinct()).join(nodes.select("node", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")), "node")
         found = in_squares(whole, SQUARE).join(sets, "node").groupBy("token", "row", "column").applyInArrow(_square(percent), "node long")
         settled = stored(settled.unionByName(found).distinct(), "matched")
