@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of short rows are sent to all tasks up to so many rows (about 10 MB); beyond, both sides of their joins are shuffled.
-BROADCAST_ROWS = 250_000
+#: A table is sent to all tasks up to so many bytes, taking a row for ROW_BYTES and a list's element for 8; beyond, both sides of its join are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 24 << 20, 48
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -31,7 +31,7 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 
 def small(frame: DataFrame, *lists: str) -> DataFrame:
-    """A stored frame, to be broadcast if it has at most BROADCAST_ROWS rows, counting the
-    elements of the columns ``lists`` as rows too."""
+    """A stored frame of short rows and of the columns ``lists``, to be broadcast if it is within BROADCAST_BYTES."""
     sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in lists]
-    return F.broadcast(frame) if sum(frame.agg(F.count("*"), *sizes).first()) <= BROADCAST_ROWS else frame
+    rows, *elements = frame.agg(F.count("*"), *sizes).first()
+    return F.broadcast(frame) if rows * ROW_BYTES + 8 * sum(elements) <= BROADCAST_BYTES else frame
