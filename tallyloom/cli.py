@@ -7,7 +7,7 @@ import tomllib
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .constants import ACTIVITY_BY_SKILL
 from .plans import checks, views
@@ -28,7 +28,7 @@ def ledger(spark: SparkSession, store: str, config: str | None = None, ran_at: s
     raw = transcripts.load_store(spark, f"{store}/raw_event")
     if raw is None:
         raise FileNotFoundError(f"nothing is stored in {store}; run backfill first")
-    return derive(transcripts.records(raw), raw, activities=activity_map(config), ran_at=ran_at, parse_failures=transcripts.parse_failures(raw))
+    return derive(transcripts.records(raw), raw, activities=activity_map(config), ran_at=ran_at, parse_failures=transcripts.parse_failures(raw), hold=DataFrame.persist)
 
 
 def save(tables: Ledger, store: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -89,17 +90,18 @@ def owned_tools(records: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def derive(records: DataFrame, raw_event: DataFrame | None = None, rates: DataFrame | None = None, activities: dict[str, str] | None = None, ran_at: str = "", parse_failures: int = 0) -> Ledger:
-    """The whole ledger. Everything is recomputed from the records; a session's windows
+def derive(records: DataFrame, raw_event: DataFrame | None = None, rates: DataFrame | None = None, activities: dict[str, str] | None = None, ran_at: str = "", parse_failures: int = 0, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> Ledger:
+    """The whole ledger. ``hold`` gets the tables that several others are made of, to
+    keep them between uses (DataFrame.persist). Everything is recomputed from the records; a session's windows
     are partitioned by session, deduplication by message and request."""
     spark = records.sparkSession
     rates = registry(spark) if rates is None else rates
     marks = boundaries(records)
-    calls = calls_of(records, rates, marks)
+    calls = hold(calls_of(records, rates, marks))
     work, prompts = work_units(calls), prompt_units(calls, language(records, marks))
-    tools = owned_tools(records, calls)
+    tools = hold(owned_tools(records, calls))
     scored = enrich.prompt_scores(prompts, tools)
-    classes = enrich.classified(work, enrich.best_prompts(work, scored), tools, C.ACTIVITY_BY_SKILL if activities is None else activities)
+    classes = hold(enrich.classified(work, enrich.best_prompts(work, scored), tools, C.ACTIVITY_BY_SKILL if activities is None else activities))
     judged = enrich.verdicts(classes, enrich.tier_votes(calls))
     calls = calls.select("id", "session", "message_id", "request_id", "work_unit_id", "prompt_unit_id", F.col("idx").alias("turn_index"), F.col("ts").alias("started_at"), "model", "model_tier", "allowance_pool", "billable", "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", F.col("sidechain").alias("is_sidechain"), "skill", "error_kind", "api_error_status", F.col("version").alias("cc_version"), "value_e8", "notional_list_value_usd")
     raw_event = records.select(F.col("session").alias("session_id"), F.lit(None).cast("string").alias("ingested_at")) if raw_event is None else raw_event

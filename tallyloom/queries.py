@@ -40,7 +40,7 @@ def _usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> ledger.Ledger:
-    return ledger.derive(adapters.records(spark, sf_dir))
+    return ledger.derive(adapters.records(spark, sf_dir), hold=DataFrame.persist)
 
 
 def _over_ledger(make: Callable[[ledger.Ledger], DataFrame]) -> Query:
