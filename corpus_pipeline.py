@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import bpe, decontam, jaccard, lines, quality
-from tallyloom.llm.shared import stored
+from tallyloom.llm.shared import bounded_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,27 +27,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the limits or the trees reject go. The trees learn from labelled
     rows of these docs."""
+    bounded_batches(spark)
     return quality.kept_documents(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that equal or resemble an earlier line go; a document that loses all its
     lines stays, with an empty text."""
+    bounded_batches(spark)
     return lines.remove_lines(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle similarity 0.8 stays, the one with the smallest doc_id."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontam.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens and the hashes of ids and of the decoded bytes."""
+    bounded_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
 
 

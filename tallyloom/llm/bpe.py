@@ -30,7 +30,7 @@ from .text import slices, tidy
 #: A vocabulary larger than this is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Matches kept with their ids in each worker; beyond it the oldest half goes.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 _LONG = 64
 _NONE = np.int64(1) << np.int64(62)
 
@@ -56,15 +56,15 @@ class Codec:
         if missing:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
+        found: dict[int, int] = {}
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
-        keys = np.array([(a << 32) | b for a, b in self.pairs] or [-1], np.int64)
+                    found[(a << 32) | b] = rank
+        keys = np.fromiter(found.keys(), np.int64, len(found)) if found else np.array([-1], np.int64)
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.pairs.values()) or [0], np.int64)[order]
+        self.pair_keys, self.pair_ranks = keys[order], (np.fromiter(found.values(), np.int64, len(found)) if found else np.zeros(1, np.int64))[order]
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.limit = cache
@@ -75,6 +75,12 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(where & (self.pair_keys[at] == key), self.pair_ranks[at], _NONE)
 
+    def pair(self, left: int, right: int) -> int | None:
+        """The rank of left + right, if there is one."""
+        key = (left << 32) | right
+        at = int(np.searchsorted(self.pair_keys, key))
+        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else None
+
     def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece; pieces have 2 to _LONG bytes."""
         rows = len(pieces)
@@ -132,7 +138,7 @@ class Codec:
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The same tree for one piece of any length."""
-        n, none, pairs = len(piece), int(_NONE), self.pairs
+        n, none = len(piece), int(_NONE)
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         leaves = 1 << (n - 1).bit_length()
         rank = self.merged(np.array(ids[:-1]), np.array(ids[1:]), np.ones(n - 1, bool))
@@ -164,13 +170,13 @@ class Codec:
             put(gone, none)
             if then < n:
                 before[then] = at
-                rank = pairs.get((new, ids[then]))
+                rank = self.pair(new, ids[then])
                 put(at, none if rank is None else rank * leaves + at)
             else:
                 put(at, none)
             p = before[at]
             if p >= 0:
-                rank = pairs.get((ids[p], new))
+                rank = self.pair(ids[p], new)
                 put(p, none if rank is None else rank * leaves + p)
         return [i for i in ids if i >= 0]
 

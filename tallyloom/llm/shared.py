@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES, ROW_BYTES = 24 << 20, 48
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Texts pass between Spark and Python in small Arrow batches, by rows and bytes."""
+    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    return spark
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new name in the folder of spark.checkpoint.dir; where none is set (tests on
     one machine), a temporary folder is set as checkpoint folder."""
