@@ -30,7 +30,7 @@ from .text import slices, tidy
 #: A vocabulary larger than this is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Matches kept with their ids in each worker; beyond it the oldest half goes.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 350_000
 _LONG = 64
 _NONE = np.int64(1) << np.int64(62)
 
@@ -234,7 +234,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 counts, ids_sha, bytes_sha, token_ids = [], [], [], []
                 for coded in codec.encode([t or "" for t in part.column("text").to_pylist()]):
                     ids = list(chain.from_iterable([more for _, more in coded]))
