@@ -11,7 +11,9 @@ as long as together they give no item more than half of the threshold; a passage
 which the other terms give no item the rest is skipped. The remaining passages go
 through block-max WAND, which returns all items at or above the threshold. An item is
 verified where the passage holds enough of the ``shingle``-word runs of its question
-and of its answer (the text after its last line break, else its last sentence).
+and of its answer (the text after its last line break, else its last sentence). Of an
+answer of one run or less, that run counts, or else the runs of the whole item that
+reach into it. Words are compared without the marks at their edges.
 
 Items are indexed in shards of bounded bytes, and each shard takes a pass over all
 texts; document frequencies are counted over all items, so shards change no score.
@@ -27,11 +29,13 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +49,23 @@ SHARD_BYTES = 8 << 20
 SPACE = re.compile("[\x20\x09-\x0d]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(UPPER, LOWER)
+#: What is taken off the edges of words: Unicode's punctuation and the symbols of ASCII.
+MARKS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c)[0] == "P") + "$+<=>^`|~"
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in SPACE.split(text.translate(_LOWER)) if w]
+    """Lower-cased words without marks at their edges; a word of marks only stays as it is."""
+    return [w.strip(MARKS) or w for w in SPACE.split(text.translate(_LOWER)) if w]
+
+
+def bare_words(texts: pa.Array) -> Words:
+    """The same words of Arrow texts."""
+    w = Words(texts, lower=True)
+    if w.n:
+        bare = pc.utf8_trim(w.vocab, characters=MARKS)
+        coded = pc.if_else(pc.equal(pc.binary_length(bare), 0), w.vocab, bare).dictionary_encode()
+        w.ids, w.vocab = coded.indices.to_numpy(zero_copy_only=False)[w.ids], coded.dictionary
+    return w
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -89,7 +106,7 @@ class Index:
     def __init__(self, rows: list[tuple[int | None, str]], frequency: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, shingle: int = SHINGLE):
         self.ids = [i for i, _ in rows]
         self.threshold = threshold
-        self.question, self.answer, self.sizes = [], [], []
+        self.question, self.answer, self.sizes, self.joint = [], [], [], []
         postings: dict[str, tuple[list[int], list[float]]] = {}
         longest = 0
         for item, (_, text) in enumerate(rows):
@@ -99,6 +116,9 @@ class Index:
             self.question.append(shingles(q, shingle))
             self.answer.append(shingles(a, shingle))
             self.sizes.append((min(shingle, len(q)), min(shingle, len(a))))
+            # the runs that reach from the question into an answer too short for several of its own
+            reach = q[max(0, len(q) - shingle + 1) :] + a
+            self.joint.append((shingles(reach, shingle), min(shingle, len(reach))) if q and 0 < len(a) <= shingle else (set(), 0))
             counts: dict[str, int] = {}
             for w in words:
                 counts[w] = counts.get(w, 0) + 1
@@ -241,6 +261,11 @@ class Index:
                     if n and n not in have:
                         have[n] = shingles(words, n) if len(words) >= n else set()
                     overlaps.append(len(wanted & have[n]) / len(wanted) if n else 1.0)
+                wanted, n = self.joint[item]
+                if n and overlaps[1] < 1:
+                    if n not in have:
+                        have[n] = shingles(words, n) if len(words) >= n else set()
+                    overlaps[1] = max(overlaps[1], len(wanted & have[n]) / len(wanted))
                 if overlaps[0] >= question_overlap and overlaps[1] >= answer_overlap:
                     key, row = (int(doc[p]), item), (score, *overlaps, int(start[p] - w.first[doc[p]]))
                     out[key] = max(out.get(key, row), row)
@@ -250,6 +275,7 @@ class Index:
 def shards(items: DataFrame, min_item_words: int = MIN_ITEM_WORDS, shard_bytes: int = SHARD_BYTES, **options) -> Iterator[Index]:
     """The index of ``items`` (item_id, text), a shard of bounded bytes at a time."""
     split = F.filter(F.split(F.translate("text", UPPER, LOWER), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    split = F.transform(split, lambda w: F.coalesce(F.nullif(F.btrim(w, F.lit(MARKS)), F.lit("")), w))
     rows = items.where("text is not null").select("item_id", "text", split.alias("words")).where(F.size("words") >= min_item_words)
     total = rows.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.octet_length("text"))).first()
     if not total[0]:
@@ -278,7 +304,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, question_overlap: float = QUES
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
-                    found = shared.value.leaks(Words(part.column("text"), lower=True), question_overlap, answer_overlap)
+                    found = shared.value.leaks(bare_words(part.column("text")), question_overlap, answer_overlap)
                     rows = pa.array([d for d, _ in found], pa.int64())
                     columns = [part.column("doc_id").take(rows), pa.array([shared.value.ids[i] for _, i in found], pa.int64())]
                     values = list(zip(*found.values(), strict=True)) or [[], [], [], []]
@@ -300,7 +326,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, question_overlap: float =
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
                     keep = np.ones(len(part), bool)
-                    keep[[d for d, _ in shared.value.leaks(Words(part.column("text"), lower=True), question_overlap, answer_overlap)]] = False
+                    keep[[d for d, _ in shared.value.leaks(bare_words(part.column("text")), question_overlap, answer_overlap)]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)

@@ -111,6 +111,20 @@ def test_decontamination(spark):
     assert decontam.find_leaks(frame(spark, EMPTY), frame(spark, items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_short_answers_and_glued_marks(spark):
+    rnd = random.Random(23)
+    items = [(i, prose(rnd, 20) + "? " + prose(rnd, n)) for i, n in enumerate((1, 3, 5, 5, 12))]
+    marks = ('."', ")", "\u201d,", "**", "...")
+    rows = [(i, prose(rnd, 60) + ' "' + t + m + " " + prose(rnd, 60)) for (i, t), m in zip(items, marks, strict=True)]
+    rows.append((10, prose(rnd, 60) + " " + " ".join(words(items[2][1])[:-1] + ["changed"]) + " " + prose(rnd, 60)))
+    rows.append((11, prose(rnd, 60) + " " + " ".join(words(items[0][1])[:-1] + ["changed"]) + " " + prose(rnd, 60)))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(5)} | {(10, 2)}
+    text = "\u00abOne\u00bb -- 1 + 2 = C++; \u3002 `x`, don't"
+    w = decontam.bare_words(pa.array([text]))
+    assert w.vocab.take(pa.array(w.ids)).to_pylist() == decontam.words_of(text) == ["one", "--", "1", "+", "2", "=", "c", "\u3002", "x", "don't"]
+
+
 def test_shards_change_nothing(spark):
     rnd = random.Random(5)
     items = frame(spark, [(i, prose(rnd, 30)) for i in range(40)], "item_id long, text string")
