@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that equal or resemble an earlier line go; a document that loses all its
     lines stays, with an empty text."""
     bounded_batches(spark)
-    return lines.remove_lines(docs).select(*docs.columns)
+    return lines.remove_lines(docs, min_tokens=1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

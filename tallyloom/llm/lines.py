@@ -1,7 +1,9 @@
 """Line dedup: an exact set-similarity self-join over lines.
 
 A line's set holds its distinct words (A-Z lower-cased), lines of fewer than
-``min_tokens`` distinct words are left alone. Tokens are ordered by rarity: words are
+``min_tokens`` distinct words are left alone: the query and the pipeline ask for 1, all
+lines with a word. A set so small that one more word is too many for ``percent`` has
+equal partners only and needs no prefix. Tokens are ordered by rarity: words are
 counted over all documents in hashed slots of fixed number, ties go by hash. Two lines
 of similarity ``percent`` share a token among the first n - ceil(percent n / 100) + 1
 of the longer one and the first n - ceil(2 percent n / (100 + percent)) + 1 of the
@@ -127,7 +129,7 @@ def _entries(percent: int, min_tokens: int, classes, buckets: int):
                 for s, doc, number in line_sets(part):
                     nodes, ids_of = s.nodes(), ids[doc]
                     fresh = np.zeros(len(nodes), bool)
-                    for i in np.flatnonzero(s.n >= min_tokens).tolist():
+                    for i in np.flatnonzero((s.n >= min_tokens) & (100 * s.n >= percent * (s.n + 1))).tolist():
                         place = (int(ids_of[i]), int(number[i]))
                         if place < sent.get(int(nodes[i]), (_LAST,)):
                             fresh[i] = True

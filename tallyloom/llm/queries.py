@@ -41,7 +41,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.remove_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return lines.remove_lines(table(spark, sf_dir, "documents"), min_tokens=1).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

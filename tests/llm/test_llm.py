@@ -10,13 +10,14 @@ import re
 import zipfile
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
 
-from tallyloom.llm import bpe, decontam, graphs, jaccard, licenses, lines, quality, substrings, suffixes, urlfilter, warc
+from tallyloom.llm import bpe, decontam, graphs, jaccard, licenses, lines, quality, queries, substrings, suffixes, urlfilter, warc
 from tallyloom.llm.boosting import fit
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -256,6 +257,32 @@ def test_line_dedup(spark, closest, listed):
     assert lines.remove_lines(frame(spark, EMPTY)).count() == 0
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    texts = ["All rights reserved.\nnext\n\n\u6f22\u5b57\u306e\u884c\na b c d", "all rights RESERVED.\nNext one\n\n\u6f22\u5b57\u306e\u884c\na b c d e", "next\na b\nnext"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], columns).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    kept = [texts[0], "Next one\n", "a b"]
+    assert got == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in enumerate(zip((0, 3, 2), kept, strict=True))}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == dict(enumerate(kept))
+
+
+@pytest.mark.parametrize(("closest", "listed"), [(lines.CLOSEST, lines.LISTED), (1, 2)])
+def test_line_dedup_of_all_lines(spark, closest, listed):
+    rnd = random.Random(19)
+    rows = [(i, "\n".join(" ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 6))) for _ in range(4))) for i in range(40)]
+    first, gone = {}, defaultdict(set)
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            if s := frozenset(words(line)):
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in first):
+                    gone[i].add(k)
+                first.setdefault(s, (i, k))
+    got = {r.doc_id: r.text for r in lines.remove_lines(frame(spark, rows), min_tokens=1, closest=closest, listed=listed).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
 # 4, 7 ----------------------------------------------------------------------------
 
 
