@@ -158,7 +158,7 @@ def _deal(k: int, m: int, buckets: int):
 
 def match_windows(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarray, ...] | None:
     """Of one bucket: doc_id, key, start and end of runs of windows that have a smaller
-    doc_id elsewhere, and that doc_id for the first window."""
+    doc_id elsewhere, that doc_id for the first window, and a hash of the first window's words."""
     unpack = zstandard.ZstdDecompressor().decompress
     docs, keys, poss = [], [], []
     for body in map(unpack, places):
@@ -199,7 +199,7 @@ def match_windows(strings: list[bytes], places: list[bytes], k: int) -> tuple[np
     s = owner[hit[cut]]
     shift = at[hit[cut]] - w.first[s]
     start = pos[s] + shift
-    return doc[s], key[s].astype(np.int64), start, start + (hit[last] - hit[cut]) + k, source[hit[cut]]
+    return doc[s], key[s].astype(np.int64), start, start + (hit[last] - hit[cut]) + k, source[hit[cut]], roll(w.hashes(), at[hit[cut]], k).view(np.int64)
 
 
 def _solve(k: int):

@@ -11,6 +11,8 @@ to both sides: every place of ``min_words`` words across the position is compare
 
 Nothing hot meets in one task: a map task sends a prefix for two documents only (any
 other document is known to match), and equal surroundings for the smallest doc_id only.
+The others' source is that doc_id at first; where a bucket or another task names a
+smaller one for the same passage (by a 64-bit hash of its words), that one replaces it.
 
 Defined results: spans are runs of words of a document that occur, in passages of
 ``min_words`` words or more, in a document with a smaller doc_id; source_doc_id is the
@@ -66,8 +68,8 @@ def _parts(part: pa.RecordBatch, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[owner] for c in ("doc_id", "key"))
 
 
-def _rows(doc, key, pos, n, source) -> pa.RecordBatch:
-    body = zstandard.ZstdCompressor(1).compress(np.stack([doc, key, pos, pos + n, source]).astype(np.int64).tobytes())
+def _rows(doc, key, pos, n, source, passage) -> pa.RecordBatch:
+    body = zstandard.ZstdCompressor(1).compress(np.stack([doc, key, pos, pos + n, source, passage]).astype(np.int64).tobytes())
     return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([body], pa.binary())], ["bucket", "strings", "places"])
 
 
@@ -113,7 +115,7 @@ def _deal_prefixes(window: int, prefix: int, m: int, buckets: int):
                     if int(doc[i]) not in seen.get(s, ()):
                         seen[s] = (*seen.get(s, ()), int(doc[i]))
                 if not ask.all():
-                    yield _rows(doc[~ask], key[~ask], pos[~ask], n[~ask], doc[~ask])
+                    yield _rows(doc[~ask], key[~ask], pos[~ask], n[~ask], doc[~ask], pos[~ask])
                 bucket = (roll(h, first, prefix) % np.uint64(buckets)).astype(np.int32)
                 begin = np.cumsum(size) - size
                 sent = out[ranges(begin[ask], size[ask])]
@@ -156,7 +158,7 @@ def _matching(strings: list[bytes], places: list[bytes]):
     near[:-1] |= other
     begin = np.flatnonzero(starts_of_equal(code))
     hit = np.repeat(np.logical_or.reduceat(near, begin), np.diff(np.append(begin, len(code))))
-    return doc[hit], key[hit], pos[hit], pos[hit], doc[hit]
+    return doc[hit], key[hit], pos[hit], pos[hit], doc[hit], pos[hit]
 
 
 def _deal_surroundings(window: int, prefix: int, min_words: int, buckets: int):
@@ -176,7 +178,8 @@ def _deal_surroundings(window: int, prefix: int, min_words: int, buckets: int):
                 owner, at, first, end = owner[wide], at[wide], first[wide], end[wide]
                 if not len(at):
                     continue
-                bucket = (roll(w.hashes(), at, prefix) % np.uint64(buckets)).astype(np.int32)
+                h = w.hashes()
+                bucket = (roll(h, at, prefix) % np.uint64(buckets)).astype(np.int32)
                 out, size, coded = _gather(w, first, end - first)
                 code, strings = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
                 doc, key = _parts(part, owner)
@@ -190,7 +193,7 @@ def _deal_surroundings(window: int, prefix: int, min_words: int, buckets: int):
                     seen[strings[c]] = int(least[c])
                 decided = doc > least[code]
                 if decided.any():
-                    yield _rows(doc[decided], key[decided], pos[decided], (end - first)[decided], least[code][decided])
+                    yield _rows(doc[decided], key[decided], pos[decided], (end - first)[decided], least[code][decided], roll(h, first[decided], min_words).view(np.int64))
                 ask = ~decided
                 begin = np.cumsum(size) - size
                 sent = out[ranges(begin[ask], size[ask])]
@@ -206,7 +209,7 @@ def _deal_surroundings(window: int, prefix: int, min_words: int, buckets: int):
 
 def _per_bucket(solve):
     """Works on one bucket at a time; rows without strings pass."""
-    names = ["doc_id", "key", "start", "end", "source_doc_id"]
+    names = ["doc_id", "key", "start", "end", "source_doc_id", "passage"]
 
     def rows(columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in columns], names)
@@ -222,7 +225,7 @@ def _per_bucket(solve):
         for batch in batches:
             for bucket, s, p in zip(*(batch.column(c).to_pylist() for c in ("bucket", "strings", "places")), strict=True):
                 if not s:
-                    yield rows(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.int64).reshape(5, -1))
+                    yield rows(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.int64).reshape(6, -1))
                     continue
                 if bucket != now:
                     yield from finish()
@@ -241,7 +244,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, m: int = M) -
     prefix = min_words - window
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * partitions
-    packed, found = "bucket int, strings binary, places binary", "doc_id long, key long, start long, end long, source_doc_id long"
+    packed, found = "bucket int, strings binary, places binary", "doc_id long, key long, start long, end long, source_doc_id long, passage long"
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.shiftright(F.xxhash64("text"), 32).alias("key"), "text")
     # rows without strings are known already and are dealt anywhere
     spread = F.when(F.octet_length("strings") > 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("places"), F.lit(buckets)).cast("int"))
@@ -249,9 +252,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, m: int = M) -
     matches = dealt(source.mapInArrow(_deal_prefixes(window, prefix, m, buckets), packed)).mapInArrow(_per_bucket(_matching), found)
     places = stored(matches.groupBy("doc_id", "key").agg(F.collect_set("start").alias("places")), "suffix-matches")
     texts = source.join(small(places, "places"), ["doc_id", "key"])
-    spans = dealt(texts.mapInArrow(_deal_surroundings(window, prefix, min_words, buckets), packed)).mapInArrow(_per_bucket(lambda s, p: match_windows(s, p, min_words)), found).distinct()
+    spans = stored(dealt(texts.mapInArrow(_deal_surroundings(window, prefix, min_words, buckets), packed)).mapInArrow(_per_bucket(lambda s, p: match_windows(s, p, min_words)), found).distinct(), "suffix-spans")
+    # passages whose rows don't agree on the smallest doc_id that has them
+    agreed = spans.groupBy("passage").agg(F.min("source_doc_id").alias("least"), F.max("source_doc_id").alias("most")).where("least < most").drop("most")
     order = Window.partitionBy("doc_id", "key").orderBy("start", "end", "source_doc_id")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    merged = runs.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min_by("source_doc_id", F.struct("start", "source_doc_id")).alias("source_doc_id"))
+    merged = runs.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min_by(F.struct("source_doc_id", "passage"), F.struct("start", "source_doc_id")).alias("source"))
+    merged = merged.join(small(stored(agreed, "suffix-sources")), F.col("source.passage") == F.col("passage"), "left").withColumn("source_doc_id", F.coalesce("least", "source.source_doc_id"))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_doc_id")

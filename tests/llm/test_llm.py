@@ -327,6 +327,23 @@ def test_suffix_dedup(spark):
     assert suffixes.repeated_passages(frame(spark, EMPTY)).count() == 0
 
 
+def test_suffix_dedup_source_is_the_smallest_of_all_tasks(spark):
+    rnd = random.Random(29)
+    shared, other = prose(rnd, 90), prose(rnd, 60)
+    tasks = [[(1, "x " + shared)], [(50, shared), (60, shared), (61, other + " " + shared)], [(40, other), (70, other), (71, shared + " " + other)]]
+    rows = [r for t in tasks for r in t]
+    docs = None
+    for t in tasks:
+        part = spark.createDataFrame(t, "doc_id long, text string").coalesce(1)
+        docs = part if docs is None else docs.union(part)
+    got = {tuple(r) for r in suffixes.repeated_passages(docs).collect()}
+    want = set()
+    for i, w, flag, least in covered(rows, 50):
+        for m in re.finditer("1+", "".join("01"[f] for f in flag)):
+            want.add((i, m.start(), m.end(), m.end() - m.start(), least[tuple(w[m.start() : m.start() + 50])]))
+    assert got == want and {(50, 0, 90, 90, 1), (60, 0, 90, 90, 1), (70, 0, 60, 60, 40)} <= got
+
+
 # 5 -------------------------------------------------------------------------------
 
 
