@@ -1,9 +1,10 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-A text that no keyword of any rule can occur in is settled by one regular expression.
-The others are lower-cased (A-Z) and reduced to words joined by single spaces. Each
+Texts are lower-cased (A-Z) and reduced to words joined by single spaces. Each
 rule is a regular expression over those words, tried only where its own keyword
-and one of its license's names occur. Detections are word intervals; swept by (start, longest first, priority), one
+and one of its license's names occur, which every match contains. One condition goes
+beyond the pattern: a bare name without a version number, often a common word (``json``,
+``ruby``), counts only in a text that says ``version``. Detections are word intervals; swept by (start, longest first, priority), one
 that lies within an earlier interval is dropped unless its priority is higher, so
 ``gnu lesser general public license version 3`` hides the ``general public license``
 inside it. Everything happens within a row: no shuffle, no explode.
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: One of these is in every text that has a base phrase or a rule's keyword; letters of either case.
-GATE = r"(?i)(?:licen[cs]|copy(?:right|left)|spdx|warrant|creative|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|0)|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|all[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+rights)"
 #: phrase -> label
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -43,7 +42,7 @@ class Rule:
 #: label, how the license is named in running text (a regular expression over words), its SPDX words, and what occurs in any text that names it
 NAMES = (
     ("mit", "(?:mit|expat|x11)", "mit", (" mit ", " expat ", " x11 ",)),
-    ("mit-0", "mit no attribution", "mit 0", (" mit no ",)),
+    ("mit-0", "mit no attribution", "mit 0", (" mit no ", " mit 0 ")),
     ("isc", "isc", "isc", (" isc ",)),
     ("apache-1.1", "apache(?: software)?(?: license)? (?:version |v)?1 1", "apache 1 1", (" apache ",)),
     ("apache-2", "apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?", "apache 2 0", (" apache ",)),
@@ -111,7 +110,11 @@ WAYS = (
     ("licen", "under(?: the)?(?: terms of the)? {n} licen[cs]e", 5, 0.9),
     ("licen", "licen[cs]e {n}", 3, 0.7),
     ("licen", "{n} licen[cs]e", 2, 0.6),
-    ("version", "{n}", 3, 0.6),
+    ("version", "{n}", 3, 0.6),  # any keyword where the name holds a version number
+)
+#: Licenses whose names, as patterns above, hold a version number for certain.
+NUMBERED = frozenset(
+    "apache-1.1 apache-2 gpl-2 gpl-3 lgpl-2.1 lgpl-3 agpl-3 mpl-1.1 mpl-2 epl-1 epl-2 cpl-1 eupl-1.2 artistic-1 artistic-2 osl-3 afl-3".split()
 )
 #: Signatures of a license's or notice's own wording.
 TEXTS = (
@@ -142,7 +145,7 @@ TEXTS = (
 
 def rules() -> list[Rule]:
     """The signatures, in order of their priority."""
-    made = [Rule(label, key, way.format(n=name, s=spdx), priority, weight, names) for label, name, spdx, names in NAMES for key, way, priority, weight in WAYS]
+    made = [Rule(label, " " if way == "{n}" and label in NUMBERED else key, way.format(n=name, s=spdx), priority, weight, names) for label, name, spdx, names in NAMES for key, way, priority, weight in WAYS]
     return sorted([*made, *TEXTS], key=lambda r: -r.priority)
 
 
@@ -169,17 +172,16 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, base: dict[str,
     phrases = _between("|".join(base))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), GAP, " ")), F.lit(" "))
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = out.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE), words).alias("w"))
+    out = out.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), words.alias("w"))
     out = out.withColumns({"pieces": F.split("w", phrases, -1), "places": F.expr(f"regexp_extract_all(w, {_quoted(phrases)}, 0)")})
-    n_base = F.coalesce(F.size("places"), F.lit(0))
-    n_base = F.when(F.col("w").isNull(), 0).otherwise(n_base)
+    n_base = F.size("places")
     first = F.expr(f"{_spaces('pieces[0]')} - 1")
     last = F.expr(f"{_spaces('w')} - {_spaces('element_at(pieces, -1)')} - {_spaces('element_at(places, -1)')} - 1")
     out = out.withColumn("n_base", n_base.cast("long")).withColumns({"first_word": F.when(F.col("n_base") > 0, first.cast("long")), "last_word": F.when(F.col("n_base") > 0, last.cast("long"))})
     named = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
     out = out.withColumn("base_found", F.when(F.col("n_base") > 0, F.transform(F.array_distinct("places"), lambda p: named[p])).otherwise(F.array().cast("array<string>")))
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_between(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.names)).alias("names")) for r in signatures])
-    tried = out.withColumn("active", F.when(F.col("w").isNotNull(), F.filter(table, lambda r: F.contains(F.col("w"), r["keyword"]) & F.exists(r["names"], lambda n: F.contains(F.col("w"), n)))))
+    tried = out.withColumn("active", F.filter(table, lambda r: F.contains(F.col("w"), r["keyword"]) & F.exists(r["names"], lambda n: F.contains(F.col("w"), n))))
     hits = f"""flatten(transform(active, r -> aggregate(
         arrays_zip(split(w, r.pattern, -1), regexp_extract_all(w, r.pattern, 0)),
         named_struct('at', -1, 'hits', cast(array() as array<struct<start: int, back: int, low: int, label: string, weight: double>>)),

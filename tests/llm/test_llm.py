@@ -401,6 +401,47 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, EMPTY)).count() == 0
 
 
+def test_license_rules_find_their_texts_alone(spark):
+    want = {
+        "Proprietary and confidential": "proprietary", "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "Redistribution and use in source and binary forms, with or without modification": "bsd", "as published by the Free Software Foundation": "gpl",
+        "GPL version 3": "gpl-3", "MPL version 2.0": "mpl-2", "Apache 2.0": "apache-2", "(GPLv2)": "gpl-2", "LGPL 2.1": "lgpl-2.1", "SPDX-License-Identifier: MIT-0": "mit-0",
+        "Rails is a Ruby framework that returns JSON": "", "free and unencumbered software released into the public domain": "unlicense",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, list(enumerate(want)))).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
+def test_license_gates_hold_in_every_match():
+    rnd = random.Random(2)
+
+    def example(tree):
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "ANY":
+                out += "x"
+            elif name == "IN":
+                kind, value = rnd.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rnd.randint(*value))
+            elif name == "BRANCH":
+                out += example(rnd.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += example(arg[3])
+            else:
+                low, high, inner = arg
+                out += "".join(example(inner) for _ in range(rnd.randint(low, min(high, low + 2))))
+        return out
+
+    for r in licenses.rules():
+        for _ in range(30):
+            text = f" {example(re._parser.parse(r.pattern))} "
+            assert any(n in text for n in r.names), (r, text)
+            assert r.keyword in text or r.keyword == "version", (r, text)
+
+
 # 8 -------------------------------------------------------------------------------
 
 
