@@ -7,12 +7,14 @@ import tomllib
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from .constants import ACTIVITY_BY_SKILL
 from .plans import checks, views
 from .plans.ledger import Ledger, derive
+from .sources import store as stores
 from .sources import transcripts
+from .tables import stored
 
 VERSION = "0.1.0"
 
@@ -28,18 +30,10 @@ def ledger(spark: SparkSession, store: str, config: str | None = None, ran_at: s
     raw = transcripts.load_store(spark, f"{store}/raw_event")
     if raw is None:
         raise FileNotFoundError(f"nothing is stored in {store}; run backfill first")
-    return derive(transcripts.records(raw), raw, activities=activity_map(config), ran_at=ran_at, parse_failures=transcripts.parse_failures(raw), hold=DataFrame.persist)
+    return derive(transcripts.records(raw), raw, activities=activity_map(config), ran_at=ran_at, parse_failures=transcripts.parse_failures(raw), hold=lambda frame: stored(frame, "ledger"))
 
 
-def save(tables: Ledger, store: str) -> None:
-    """Overwrites the derived tables; raw_event is only ever appended to."""
-    for name, table in tables.tables().items():
-        if name != "raw_event":
-            table.write.mode("overwrite").parquet(f"{store}/{name}")
-
-
-def load(spark: SparkSession, store: str) -> Ledger:
-    return Ledger(**{name: spark.read.parquet(f"{store}/{name}") for name in Ledger.__dataclass_fields__})
+save, load = stores.save, stores.load
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None, echo=print) -> int:
@@ -54,6 +48,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, echo=
     spark = spark or SparkSession.builder.appName("tallyloom").getOrCreate()
     now = datetime.now(timezone.utc).isoformat()
     if given.command in ("backfill", "run"):
+        stores.migrate(spark, given.store, now)
         echo(transcripts.backfill(spark, given.projects, f"{given.store}/raw_event", now))
     if given.command in ("normalize", "classify", "run"):
         save(ledger(spark, given.store, given.config, now), given.store)

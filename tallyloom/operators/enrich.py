@@ -54,11 +54,11 @@ def prompt_scores(units: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def best_prompts(work: DataFrame, scored: DataFrame) -> DataFrame:
-    """For each work unit the signals of its highest prompt, by overlap of turns; the first on ties."""
+    """For each work unit the signals of its highest prompt, by overlap of turns (the first on ties), and how many prompts overlap it."""
     spans = scored.select("session", F.col("start_turn").alias("p_start"), F.col("end_turn").alias("p_end"), "fired", "score")
     met = work.select("id", "session", "start_turn", "end_turn").join(spans, "session").where("p_start <= end_turn and p_end >= start_turn")
     best = F.max_by(F.struct("fired", "score"), F.struct("score", (-F.col("p_start")).alias("early"))).alias("best")
-    return met.groupBy("id").agg(best).select("id", "best.fired", "best.score")
+    return met.groupBy("id").agg(best, F.count("*").alias("prompt_units")).select("id", "best.fired", "best.score", "prompt_units")
 
 
 def classified(work: DataFrame, best: DataFrame, calls: DataFrame, activities: dict[str, str]) -> DataFrame:
@@ -76,7 +76,7 @@ def classified(work: DataFrame, best: DataFrame, calls: DataFrame, activities: d
         F.when(scored, complexity(F.col("score"))).otherwise("Unscored").alias("task_complexity"),
         F.when(scored & high_stakes(F.col("anchor_skill"), F.col("targets")), "high").otherwise("routine").alias("stakes"),
         F.col("score").cast("int").alias("complexity_score"), json_list(F.coalesce("fired", F.array().cast("array<string>"))).alias("signals"),
-        F.when(scored, 0.5).otherwise(0.0).alias("confidence"), F.when(scored, rule).otherwise('{"task_complexity": "unscored"}').alias("provenance"),
+        F.when(scored, 0.5).otherwise(0.0).alias("confidence"), F.when(scored, rule).otherwise('{"task_complexity": "unscored"}').alias("provenance"), "prompt_units",
     )
 
 
@@ -118,4 +118,6 @@ def verdicts(classes: DataFrame, votes: DataFrame) -> DataFrame:
     rows = classes.where("task_complexity <> 'Unscored'").join(votes, F.col("unit_id") == F.col("work_unit_id")).withColumn("expected_tier", expected_tier(F.col("work_type"), F.col("task_complexity"), F.col("stakes")))
     rows = rows.withColumn("tier_delta", ordinal(F.col("used_tier")) - ordinal(F.col("expected_tier")))
     said = decide(F.col("task_complexity"), F.col("stakes"), F.col("tier_delta"), F.lit(0))
-    return rows.select("work_unit_id", F.lit(C.RULES_VERSION).alias("rules_version"), "allowance_pool", said.alias("justification"), "expected_tier", "used_tier", "max_tier", "tier_delta")
+    # no outcome signals reach the verdict, so Underprovisioned can't be; the evidence says it
+    evidence = F.format_string('{"signals": %s, "score": %d, "prompt_units": %d, "underprovisioned_unreachable": true}', "signals", "complexity_score", "prompt_units")
+    return rows.select("work_unit_id", F.lit(C.RULES_VERSION).alias("rules_version"), "allowance_pool", said.alias("justification"), "expected_tier", "used_tier", "max_tier", "tier_delta", evidence.alias("evidence"))

@@ -82,7 +82,7 @@ tool_call as (select u.session || ':tool:' || (row_number() over (partition by u
 counted as (select prompt_unit_id as id, count(distinct case when contains(target, '/') and tool_name not in ('WebFetch', 'WebSearch') then target end) as files, count_if(tool_name in ({_list(C.SUBAGENT_TOOLS)})) as subs, count_if(target in ({_list(C.TEST_VERBS)})) as tests from tool_call where prompt_unit_id is not null group by 1),
 fired as (select p.*, list_filter([case when coalesce(files, 0) >= {C.MIN_DISTINCT_FILES} then 'distinct_files' end, case when turns >= {C.MIN_TURNS} then 'turn_count' end, case when has_debug_language then 'debugging_language' end, case when has_self_correction then 'self_correction' end,
     case when coalesce(subs, 0) > 0 then 'subagent_use' end, case when coalesce(tests, 0) >= {C.MIN_TEST_RUNS} then 'repeated_test_runs' end], lambda x: x is not null) as fired from prompt_unit p left join counted using (id)),
-best as (select w.id, f.fired, len(f.fired) as score from work_unit w join fired f on f.session = w.session and f.start_turn <= w.end_turn and f.end_turn >= w.start_turn qualify row_number() over (partition by w.id order by len(f.fired) desc, f.start_turn) = 1),
+best as (select w.id, f.fired, len(f.fired) as score, count(*) over (partition by w.id) as prompt_units from work_unit w join fired f on f.session = w.session and f.start_turn <= w.end_turn and f.end_turn >= w.start_turn qualify row_number() over (partition by w.id order by len(f.fired) desc, f.start_turn) = 1),
 activities(skill, activity) as (values {_ACTIVITIES}),
 seen as (select work_unit_id as id, bool_or(tool_name in ('Edit', 'Write', 'Bash')) as hands, bool_or(ends_with(lower(target), '.tf') or ends_with(lower(target), '.plist')
     or len(list_intersect(string_split(lower(target), '/'), [{_list(C.HIGH_STAKES_SEGMENTS)}])) > 0
@@ -91,14 +91,14 @@ classification as (select w.id, coalesce(activity, 'other') as ai_activity, case
     case when score is null then 'Unscored' when score = 0 then 'Low' when score <= 2 then 'Medium' else 'High' end as task_complexity,
     case when score is not null and (coalesce(risky, false) or len(list_intersect(string_split(replace(lower(coalesce(anchor_skill, '')), '_', '-'), '-'), [{_list(C.HIGH_STAKES_SEGMENTS)}])) > 0) then 'high' else 'routine' end as stakes,
     cast(score as int) as complexity_score, '[' || array_to_string(list_transform(coalesce(fired, []), lambda x: '"' || x || '"'), ', ') || ']' as signals,
-    case when score is null then '{{"task_complexity": "unscored"}}' else '{{"ai_activity": "rule", "work_type": "rule", "task_complexity": "rule", "stakes": "rule"}}' end as provenance
+    case when score is null then '{{"task_complexity": "unscored"}}' else '{{"ai_activity": "rule", "work_type": "rule", "task_complexity": "rule", "stakes": "rule"}}' end as provenance, prompt_units
     from work_unit w left join best using (id) left join activities on skill = anchor_skill left join seen using (id)),
 tiers(tier, rank) as (values ('small', 0), ('mid', 1), ('frontier', 2)),
 votes as (select work_unit_id as id, allowance_pool, model_tier, sum(value_e8) as v, count(*) as n, any_value(rank) as rank from api_call join tiers on tier = model_tier where billable group by 1, 2, 3),
 voted as (select id, allowance_pool, first(model_tier order by v desc, n desc, rank desc) as used_tier, first(model_tier order by rank desc) as max_tier from votes group by 1, 2),
 matrix(work_type, task_complexity, tier) as (values {_MATRIX}),
-expected as (select c.id, c.task_complexity, c.stakes, least(t.rank + case when stakes = 'high' then 1 else 0 end, 2) as rank from classification c join matrix m on m.work_type = c.work_type and m.task_complexity = c.task_complexity join tiers t on t.tier = m.tier),
-verdict as (select e.id, v.allowance_pool, e.task_complexity, e.stakes, x.tier as expected_tier, v.used_tier, v.max_tier, cast(u.rank - e.rank as int) as tier_delta,
+expected as (select c.id, c.task_complexity, c.stakes, '{{"signals": ' || signals || ', "score": ' || complexity_score || ', "prompt_units": ' || prompt_units || ', "underprovisioned_unreachable": true}}' as evidence, least(t.rank + case when stakes = 'high' then 1 else 0 end, 2) as rank from classification c join matrix m on m.work_type = c.work_type and m.task_complexity = c.task_complexity join tiers t on t.tier = m.tier),
+verdict as (select e.id, v.allowance_pool, e.task_complexity, e.stakes, e.evidence, x.tier as expected_tier, v.used_tier, v.max_tier, cast(u.rank - e.rank as int) as tier_delta,
     case when u.rank - e.rank >= 2 or (u.rank - e.rank = 1 and e.task_complexity = 'Low') then 'Overprovisioned' when u.rank - e.rank = 1 then 'Acceptable' when u.rank = e.rank then 'Justified' when e.stakes = 'high' then 'Acceptable (high stakes)' else 'Acceptable' end as justification
     from expected e join voted v using (id) join tiers x on x.rank = e.rank join tiers u on u.tier = v.used_tier)
 """

@@ -98,7 +98,7 @@ def derive(records: DataFrame, raw_event: DataFrame | None = None, rates: DataFr
     rates = registry(spark) if rates is None else rates
     marks = boundaries(records)
     calls = hold(calls_of(records, rates, marks))
-    work, prompts = work_units(calls), prompt_units(calls, language(records, marks))
+    work, prompts = work_units(calls), hold(prompt_units(calls, language(records, marks)))
     tools = hold(owned_tools(records, calls))
     scored = enrich.prompt_scores(prompts, tools)
     classes = hold(enrich.classified(work, enrich.best_prompts(work, scored), tools, C.ACTIVITY_BY_SKILL if activities is None else activities))
@@ -109,7 +109,8 @@ def derive(records: DataFrame, raw_event: DataFrame | None = None, rates: DataFr
     run = (
         count(records, raw_events=F.count("*")).crossJoin(count(calls, api_calls=F.count("*"), unknown_models=F.count_if(F.col("model_tier") == "unknown")))
         .crossJoin(count(work, work_units=F.count("*"))).crossJoin(count(prompts, prompt_units=F.count("*")))
-        .crossJoin(count(classes, unscored_arcs=F.count_if(F.col("task_complexity") == "Unscored")))
+        .crossJoin(count(classes, unscored_arcs=F.count_if(F.col("task_complexity") == "Unscored"))).crossJoin(count(judged, verdicts=F.count("*")))
+        .crossJoin(count(scored, score_zero=F.count_if(F.col("score") == 0)))
         .withColumns({"ran_at": F.lit(ran_at), "parse_failures": F.lit(parse_failures).cast("long")})
     )
-    return Ledger(raw_event, run, rates, calls, work, prompts, tools, classes.unionByName(enrich.classified_prompts(scored)), judged)
+    return Ledger(raw_event, run, rates, calls, work, prompts, tools, classes.drop("prompt_units").unionByName(enrich.classified_prompts(scored)), judged)

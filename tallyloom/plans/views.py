@@ -83,7 +83,8 @@ def data_quality(t: Ledger) -> DataFrame:
     raw = t.raw_event.agg(F.count("*").alias("raw_events"), F.count_distinct("session_id").alias("sessions"), F.max("ingested_at").alias("last_ingest"))
     calls = t.api_call.agg(F.count("*").alias("api_calls"), F.count_if(F.col("model_tier") == "unknown").alias("calls_with_unknown_tier"), F.count_if(F.col("work_unit_id").isNull()).alias("orphaned_calls"), F.count_if(F.col("error_kind").isNotNull()).alias("error_records"), F.count_if(F.col("error_kind") == "rate_limit").alias("limit_hits"), F.max("started_at").alias("last_api_call"))
     units = t.work_unit.agg(F.count("*").alias("work_units"), F.count_if(F.col("parse_degraded") == 1).alias("degraded_work_units"))
-    run = t.normalize_run.select(F.col("parse_failures").alias("parse_failures_last_run"), F.col("unscored_arcs").alias("unscored_arcs_last_run"), F.col("unknown_models").alias("unknown_models_last_run"), F.col("ran_at").alias("last_normalize"))
+    latest = t.normalize_run.orderBy(F.desc("run_id")).limit(1) if "run_id" in t.normalize_run.columns else t.normalize_run
+    run = latest.select(F.col("parse_failures").alias("parse_failures_last_run"), F.col("unscored_arcs").alias("unscored_arcs_last_run"), F.col("unknown_models").alias("unknown_models_last_run"), F.col("ran_at").alias("last_normalize"))
     return raw.crossJoin(calls).crossJoin(units).crossJoin(run)  # one row each
 
 

@@ -14,6 +14,7 @@ from .functions.pricing import priced, registry, resolve
 from .operators import enrich, outcomes, prompts, turns
 from .oracle import _MATRIX, _RATES, branch_kind, command_verb, over_events, over_usage, path_class, vocabulary, web_host
 from .plans import checks, ledger, views
+from .tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,8 +40,18 @@ def _usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.work_units(calls)
 
 
+#: The ledger last derived, by application and folder.
+_DERIVED: dict[tuple[str, str], ledger.Ledger] = {}
+
+
 def _ledger(spark: SparkSession, sf_dir: str) -> ledger.Ledger:
-    return ledger.derive(adapters.records(spark, sf_dir), hold=DataFrame.persist)
+    """The ledger of a folder's events. Calls, tools and classes are stored once in the shared
+    folder; the other tables and all views are made of these."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _DERIVED:
+        _DERIVED.clear()
+        _DERIVED[key] = ledger.derive(adapters.records(spark, sf_dir), hold=lambda frame: stored(frame, "ledger"))
+    return _DERIVED[key]
 
 
 def _over_ledger(make: Callable[[ledger.Ledger], DataFrame]) -> Query:
@@ -134,7 +145,7 @@ _add(
 _CLASS = "ai_activity work_type task_complexity stakes complexity_score signals provenance".split()
 _add("classification", _over_ledger(lambda t: t.classification.where("unit_grain = 'work_unit'").select(F.col("unit_id").alias("id"), *_CLASS)), over_events(f"select id, {', '.join(_CLASS)} from classification"))
 _add("complexity_bucket", _over_ledger(lambda t: t.classification.where("unit_grain = 'work_unit'").groupBy("task_complexity").agg(F.count("*").alias("units"))), over_events("select task_complexity, count(*) as units from classification group by 1"))
-_VERDICT = "allowance_pool justification expected_tier used_tier max_tier tier_delta".split()
+_VERDICT = "allowance_pool justification expected_tier used_tier max_tier tier_delta evidence".split()
 _add("verdicts", _over_ledger(lambda t: t.verdict.select(F.col("work_unit_id").alias("id"), *_VERDICT)), over_events(f"select id, {', '.join(_VERDICT)} from verdict"))
 _add("tier_vote_per_pool", _over_ledger(lambda t: enrich.tier_votes(t.api_call).withColumnRenamed("work_unit_id", "id")), over_events("select id, allowance_pool, used_tier, max_tier from voted"))
 

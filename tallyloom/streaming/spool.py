@@ -1,15 +1,17 @@
 """Structured Streaming over a spool folder of transcript files.
 
 New files are appended to the raw table, each line once; the derived tables are then
-recomputed for touched sessions only. An arc stays open until its session ends, so
+recomputed for what they touch. An arc stays open until its session ends, so
 results are replaced, not appended: no watermark could close them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.transcripts import load_store, new_rows, read_lines, records
+from ..tables import stored
 
 
 def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str, ingested_at: str = ""):
@@ -23,6 +25,15 @@ def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str, ingeste
 
 
 def touched(raw: DataFrame, since: str) -> DataFrame:
-    """Records of the sessions with rows ingested at ``since`` or later."""
-    sessions = raw.where(raw.ingested_at >= since).select("session_id").distinct()
-    return records(raw.join(sessions, "session_id", "left_semi").select(*raw.columns))
+    """Records of the sessions with rows ingested at ``since`` or later, and of all sessions that
+    share a response with them, directly or through others: a response counts in one of
+    its sessions only, so these are derived together."""
+    rows = records(raw)
+    known = rows.where("type = 'assistant' and session is not null").select("session", F.struct("message_id", "request_id").alias("response")).distinct()
+    seen = stored(raw.where(raw.ingested_at >= since).select(F.nullif("session_id", F.lit("")).alias("session")).where("session is not null").distinct(), "touched")
+    n = -1
+    while seen.count() != n:  # a round for each step from session to session
+        n = seen.count()
+        shared = known.join(seen, "session", "left_semi").select("response").distinct()
+        seen = stored(known.join(shared, "response", "left_semi").select("session").unionByName(seen).distinct(), "touched")
+    return rows.join(seen, "session", "left_semi").select(*rows.columns)

@@ -17,8 +17,10 @@ from tallyloom.operators import enrich, turns
 from tallyloom.operators.prompts import boundaries
 from tallyloom.plans import checks, views
 from tallyloom.plans.ledger import derive
+from tallyloom.sources import store as stores
 from tallyloom.sources import transcripts
 from tallyloom.streaming import spool
+from tallyloom.tables import stored
 
 
 def answer(session, mid, ts, skill=None, rid=None, usage=(10, 20, 0, 0), model="claude-opus-4-x", content=None, **more):
@@ -191,7 +193,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def ledger(spark, tmp_path_factory):
-    return derive(records_of(spark, tmp_path_factory.mktemp("corpus"), list(corpus())), ran_at="now")
+    return derive(records_of(spark, tmp_path_factory.mktemp("corpus"), list(corpus())), ran_at="now", hold=lambda frame: stored(frame, "ledger"))
 
 
 def test_units_signals_and_verdicts(ledger):
@@ -205,6 +207,8 @@ def test_units_signals_and_verdicts(ledger):
     verdicts = {r.work_unit_id: r for r in ledger.verdict.collect()}
     assert verdicts["S:arc:0"].justification == "Justified" and verdicts["S:remainder"].justification == "Overprovisioned"
     assert "S:arc:1" not in verdicts  # unknown and unbillable models give no tier
+    evidence = json.loads(verdicts["S:arc:0"].evidence)
+    assert evidence == {"signals": json.loads(classes["S:arc:0"].signals), "score": 5, "prompt_units": 1, "underprovisioned_unreachable": True}
     calls = {r.message_id: r for r in ledger.api_call.collect()}
     assert calls["k"].model_tier == "unknown" and calls["z"].error_kind == "rate_limit" and calls["n0"].output_tokens == 2000
 
@@ -271,6 +275,54 @@ def test_spool_equals_batch(spark, tmp_path):
     assert ids(spool.touched(raw, "2")) == ids(transcripts.records(batch))
 
 
+def test_touched_sessions_bring_those_they_share_responses_with(spark, tmp_path):
+    """``a`` stands in two sessions and counts in the first; deriving the second alone would count it twice."""
+    store = str(tmp_path / "store")
+    chain = [("S", "a"), ("T", "a"), ("T", "b"), ("U", "b"), ("V", "c")]
+    for k, (session, mid) in enumerate(chain):
+        write(tmp_path / "in", [answer(session, mid, at(k))], f"{k}.jsonl")
+        transcripts.backfill(spark, str(tmp_path / "in"), store, str(k))
+    raw = transcripts.load_store(spark, store)
+    assert {r.session for r in spool.touched(raw, "3").collect()} == {"S", "T", "U", "V"}
+    assert {r.session for r in spool.touched(raw, "4").collect()} == {"V"}
+    whole = {(r.session, r.message_id) for r in turns.deduplicated(transcripts.records(raw)).collect()}
+    assert {(r.session, r.message_id) for r in turns.deduplicated(spool.touched(raw, "3")).collect()} == whole
+
+
+def test_store_keeps_the_history_and_the_last_whole_run(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    records = records_of(spark, tmp_path, [ask("S", at(0), "x"), answer("S", "a", at(1), "loop")])
+    made = derive(records, ran_at="1", hold=lambda frame: stored(frame, "ledger"))
+    assert stores.save(made, store) == 1 and stores.save(made, store) == 2
+    runs = stores.load(spark, store).normalize_run.orderBy("run_id").collect()
+    assert [r.run_id for r in runs] == [1, 2] and (runs[1].verdicts, runs[1].score_zero, runs[1].unscored_arcs) == (1, 1, 0)
+    before = stores.latest(spark, store).folder
+    broken = derive(records, ran_at="2")
+    broken.verdict = broken.verdict.withColumn("bad", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        stores.save(broken, store)
+    t = stores.load(spark, store)  # a rebuild that dies changes nothing
+    assert stores.latest(spark, store).folder == before and t.verdict.count() == 1
+    assert views.data_quality(t).first().last_normalize == "1"
+
+
+def test_migrations_run_once_and_failed_ones_again(spark, tmp_path):
+    store, ran = str(tmp_path / "store"), []
+    fail = [True]
+
+    def second(spark, store):
+        ran.append(2)
+        if fail.pop():
+            raise RuntimeError("half way")
+
+    steps = ((2, "second", second), (1, "first", lambda *_: ran.append(1)))
+    fail[:] = [False, True]
+    with pytest.raises(RuntimeError):
+        stores.migrate(spark, store, "now", steps)
+    assert stores.migrate(spark, store, "now", steps) == ["second"] and ran == [1, 2, 2]
+    assert stores.migrate(spark, store, "now", steps) == []
+
+
 def test_command_line_and_checks(spark, tmp_path):
     write(tmp_path / "in", list(corpus()))
     said = []
