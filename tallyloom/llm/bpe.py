@@ -16,9 +16,10 @@ columns other than those named are not read. Whole texts are encoded, at any len
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import sys
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from .text import slices, tidy
 
 #: A vocabulary larger than this is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Matches kept with their ids in each worker; beyond it the oldest half goes.
-CACHE_ENTRIES = 350_000
+#: Bytes of matches and ids that a worker keeps; beyond it only those of the slice at hand stay.
+CACHE_BYTES = 32 << 20
+#: Bytes of text encoded at once, cells of a table of trees, ids hashed at once.
+SLICE_BYTES, CELLS, HASHED = 1 << 20, 1 << 18, 1 << 16
 _LONG = 64
 _NONE = np.int64(1) << np.int64(62)
 
@@ -47,11 +50,13 @@ def read_vocabulary(path: str) -> bytes:
 class Codec:
     """Ranks, the pairs that merge, and a cache of encoded matches."""
 
-    def __init__(self, vocabulary: bytes, pattern: str, cache: int = CACHE_ENTRIES):
+    def __init__(self, vocabulary: bytes, pattern: str, cache: int = CACHE_BYTES):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
-        self.tokens: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        size = max(self.ranks.values(), default=-1) + 1
+        self.tokens = np.full(size, b"", object)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.decimals = np.array([str(i) for i in range(size)], object)
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
@@ -66,8 +71,8 @@ class Codec:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], (np.fromiter(found.values(), np.int64, len(found)) if found else np.zeros(1, np.int64))[order]
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.limit = cache
+        self.cache: dict[str, bytes] = {}
+        self.held, self.limit = 0, cache
 
     def merged(self, left: np.ndarray, right: np.ndarray, where: np.ndarray) -> np.ndarray:
         """The rank of left + right, or a huge number where there is none."""
@@ -181,10 +186,7 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def learn(self, matches: set[str]) -> None:
-        """Encodes matches and keeps them."""
-        if len(self.cache) > self.limit:
-            for key in list(self.cache)[: len(self.cache) // 2]:
-                del self.cache[key]
+        """Encodes matches and keeps their ids, four bytes each."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         done: list[tuple[str, list[int]]] = []
         for match in matches:
@@ -196,30 +198,62 @@ class Codec:
                 done.append((match, self.merge_long(piece)))
             else:
                 by_width.setdefault((len(piece) - 1).bit_length(), []).append((match, piece))
-        for group in by_width.values():
-            for i in range(0, len(group), 8192):
-                part = group[i : i + 8192]
+        for width, group in by_width.items():
+            step = max(1, CELLS >> width)
+            for i in range(0, len(group), step):
+                part = group[i : i + step]
                 done += zip([m for m, _ in part], self.merge_many([p for _, p in part]), strict=True)
         for match, ids in done:
-            self.cache[match] = (",".join(map(str, ids)), tuple(ids))
+            self.cache[match] = body = np.array(ids, np.int32).tobytes()
+            self.held += _kept(match, body)
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """For each text its matches as (ids as text, ids)."""
+    def forget_unused(self, found: list[list[str]]) -> None:
+        """Beyond the limit, only the cached matches of ``found`` stay."""
+        if self.held > self.limit:
+            used = self.cache.keys() & {m for matches in found for m in matches}
+            self.cache = {m: self.cache[m] for m in used}
+            self.held = sum(_kept(m, body) for m, body in self.cache.items())
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         found = [self.find(t) for t in texts]
+        self.forget_unused(found)
         fresh: set[str] = set()
         for matches in found:
             fresh.update(matches)
         fresh -= self.cache.keys()
         if fresh:
-            self.learn(fresh | ({m for f in found for m in f} if len(self.cache) > self.limit else set()))
+            self.learn(fresh)
         get = self.cache.__getitem__
-        return [list(map(get, matches)) for matches in found]
+        for i, matches in enumerate(found):
+            found[i] = []  # a long text's matches go as soon as they are encoded
+            yield np.frombuffer(bytearray().join(map(get, matches)), np.int32)
 
     def encode_ids(self, text: str) -> list[int]:
-        return [i for _, ids in self.encode([text])[0] for i in ids]
+        return next(self.encode([text])).tolist()
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by commas and of the bytes they decode to."""
+        of_ids, of_bytes = hashlib.sha256(), hashlib.sha256()
+        for i in range(0, len(ids), HASHED):
+            part = ids[i : i + HASHED]
+            of_ids.update(("," * (i > 0) + ",".join(self.decimals[part].tolist())).encode())
+            of_bytes.update(self.decode(part))
+        return of_ids.hexdigest(), of_bytes.hexdigest()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(self.tokens[np.asarray(ids, np.int64)].tolist())
+
+
+def _kept(match: str, body: bytes) -> int:
+    """About what a match takes in the cache: key, ids, its place in the dictionary."""
+    return sys.getsizeof(match) + sys.getsizeof(body) + 104
+
+
+@functools.lru_cache(maxsize=1)
+def codec_of(vocabulary: bytes, pattern: str) -> Codec:
+    """A worker's codec, kept for its later tasks."""
+    return Codec(vocabulary, pattern)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -232,21 +266,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_column:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
+        codec = codec_of(shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
-                counts, ids_sha, bytes_sha, token_ids = [], [], [], []
-                for coded in codec.encode([t or "" for t in part.column("text").to_pylist()]):
-                    ids = list(chain.from_iterable([more for _, more in coded]))
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join([x for x, _ in coded]).encode()).hexdigest())
-                    bytes_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    if with_ids:
-                        token_ids.append(ids)
-                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())]
+            for part in slices(batch, "text", SLICE_BYTES):
+                coded = list(codec.encode([t or "" for t in part.column("text").to_pylist()]))
+                counts = np.array([len(ids) for ids in coded], np.int64)
+                digests = [codec.digests(ids) for ids in coded]
+                columns = [part.column("doc_id"), pa.array(counts), *(pa.array([d[i] for d in digests], pa.string()) for i in range(2))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(token_ids, pa.list_(pa.int32())))
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded))))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
