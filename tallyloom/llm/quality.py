@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .text import IS_WORD, Words, mix, roll, slices, starts_of_equal, tidy
+from .text import Words, is_word, mix, roll, slices, starts_of_equal, tidy
 
 #: The classifier is fitted on at most so many labelled documents, those whose doc_id has the smallest hash.
 MAX_TRAINING_ROWS = 20_000
@@ -92,7 +92,7 @@ def _dup_lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
     starts = np.empty_like(ends)
     starts[1:] = ends[:-1] + ~last[:-1]
     starts[:1] = 0
-    words = _per_doc(IS_WORD[w.data], np.concatenate([starts, ends[-1:]])) > 0
+    words = _per_doc(is_word(w.data), np.concatenate([starts, ends[-1:]])) > 0
     kept = np.zeros(len(ends) + 1, np.int64)
     np.cumsum(ends - starts, out=kept[1:])
     lines = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(kept), pa.py_buffer(np.ascontiguousarray(w.data[~breaks])))
@@ -108,7 +108,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     w = Words(texts)
     count = lambda table: _per_doc(table[w.data], w.offsets)
     n_words = w.counts
-    chars = _per_doc(IS_WORD[w.data] & ((w.data & 0xC0) != 0x80), w.offsets)
+    chars = _per_doc(is_word(w.data) & ((w.data & 0xC0) != 0x80), w.offsets)
     symbols, (n_lines, dup_lines) = count(_SYMBOL), _dup_lines(w)
     repeat = _repeated(w, WINDOW) if w.n else np.zeros(len(n_words), np.int64)
     distinct = np.bincount(np.unique(w.doc * (len(w.vocab) + 1) + w.ids) // (len(w.vocab) + 1), minlength=len(n_words)) if w.n else n_words

@@ -18,10 +18,8 @@ import pyarrow.compute as pc
 
 #: The ASCII white space of the word pattern ``[^\\x20\\x09-\\x0D]+``.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-IS_WORD = np.ones(256, bool)
-IS_WORD[list(SPACES)] = False
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Strings up to so many bytes are hashed eight bytes at a time, longer ones all bytes at once.
+SHORT = 1024
 
 _MASK = (1 << 64) - 1
 
@@ -90,6 +88,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """The bytes that are not ASCII white space."""
+    return (data != 32) & ((data - np.uint8(9)) >= 5)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
 class Words:
     """The words of each text: ``start``/``end`` byte of each word, ``first[d]`` to
     ``first[d + 1]`` the words of text d, ``ids`` equal for equal words only,
@@ -98,9 +106,9 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = False):
         data, offsets = raw(texts)
         if lower:
-            data = LOWER[data]
+            data = lowered(data)
         self.data, self.offsets = data, offsets
-        inside = IS_WORD[data]
+        inside = is_word(data)
         head, tail = inside.copy(), inside.copy()
         head[1:] &= ~inside[:-1]
         tail[:-1] &= ~inside[1:]
@@ -113,12 +121,21 @@ class Words:
         self.end = np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.n = len(self.start)
+
+    @functools.cached_property
+    def _coded(self) -> pa.DictionaryArray:
         ends = np.zeros(self.n + 1, np.int64)
         np.cumsum(self.end - self.start, out=ends[1:])
-        strings = pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside])))
-        coded = strings.dictionary_encode()
-        self.ids = coded.indices.to_numpy(zero_copy_only=False)
-        self.vocab = coded.dictionary
+        strings = pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(ends), pa.py_buffer(self.data.compress(is_word(self.data))))
+        return strings.dictionary_encode()
+
+    @functools.cached_property
+    def ids(self) -> np.ndarray:
+        return self._coded.indices.to_numpy(zero_copy_only=False)
+
+    @functools.cached_property
+    def vocab(self) -> pa.Array:
+        return self._coded.dictionary
 
     @property
     def counts(self) -> np.ndarray:
@@ -129,9 +146,13 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    @functools.cached_property
+    def _hashes(self) -> np.ndarray:
+        return hash_spans(self.data, self.start, self.end - self.start)
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every task."""
-        return hash_strings(self.vocab)[self.ids] if self.n else np.zeros(0, np.uint64)
+        return self._hashes
 
     def runs(self, k: int) -> np.ndarray:
         """The positions at which k words of one text begin."""
@@ -140,16 +161,29 @@ class Words:
 
 
 def hash_strings(strings: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings: a random value for each byte times the power of its place."""
+    """64-bit hashes of strings."""
     data, offsets = raw(strings)
-    n = np.diff(offsets)
-    out = np.zeros(len(n), np.uint64)
-    if len(data):
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], n)
-        terms = _BYTE[data] * _powers(int(n.max()))[place]
-        full = n > 0
-        out[full] = np.add.reduceat(terms, offsets[:-1][full])
-    return mix(out + n.astype(np.uint64))
+    return hash_spans(data, offsets[:-1], np.diff(offsets))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start: short strings take in eight bytes a round,
+    long ones are sums of a random value for each byte times the power of its place."""
+    out = size.astype(np.uint64) * np.uint64(_STEP)
+    long = np.flatnonzero(size > SHORT)
+    for i in long.tolist():
+        part = data[start[i] : start[i] + size[i]]
+        out[i] += (_BYTE[part] * _powers(len(part))).sum(dtype=np.uint64)
+    live = np.flatnonzero((size > 0) & (size <= SHORT))
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    at, left = start[live], size[live]
+    while len(live):
+        mask = ~np.uint64(0) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
+        h = (out[live] ^ (eights[at] & mask)) * np.uint64(_STEP)
+        out[live] = h ^ (h >> np.uint64(32))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return mix(out)
 
 
 def roll(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
