@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .graphs import components
 from .rarity import block_rows, classes_of, slot, tally
 from .setjoin import MORE_ORDERS, Sets, in_squares, prefix_length, shared_counts
-from .shared import small, stored
-from .text import _stream, slices, tidy
+from .shared import joined_by, picked, stored, with_columns_of
+from .text import _stream, mix, slices, tidy
 
 #: Slots of the token counts, by the number of documents.
 LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
@@ -48,6 +48,8 @@ LEAST_SLOTS, MOST_SLOTS, DOCUMENTS_A_SLOT = 1 << 20, 1 << 24, 1 / 64
 MINIMA, HEADS = 8, 4
 #: Nodes of a token that are joined as rows; beyond, in blocks of so many.
 HOT, SQUARE = 64, 1024
+#: Salts of a token, as a power of two, at most.
+MOST_SALTS = 20
 #: Sets that a map task remembers as sent.
 REMEMBERED = 200_000
 NO_ID = (1 << 63) - 1
@@ -59,8 +61,8 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _profile(k: int, slots: int):
-    names = ["doc_id", "n", "node", "minima", "block", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["doc_id", "at", "n", "node", "minima", "block", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,7 @@ def _profile(k: int, slots: int):
                 minima = np.stack([s.per_doc(np.minimum, s.token * m >> np.uint64(1)) for m in _MINIMA], axis=1)
                 some = s.n > 0
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(s.n, pa.int64()), pa.array(s.nodes(), pa.int64(), mask=~some), _lists(minima.ravel(), np.arange(len(some) + 1) * MINIMA),
+                    part.column("doc_id"), part.column("at"), pa.array(s.n, pa.int64()), pa.array(s.nodes(), pa.int64(), mask=~some), _lists(minima.ravel(), np.arange(len(some) + 1) * MINIMA),
                     pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()),
                 ], names)
         blocks, bodies = block_rows(counts)
@@ -96,9 +98,13 @@ def _postings(k: int, percent: int, rarity):
                         sent.add(node)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                at = s.prefix_places(rarity.value[slot(s.token, len(rarity.value))], 0, percent)[0]
+                rare = rarity.value[slot(s.token, len(rarity.value))]
+                at = s.prefix_places(rare, 0, percent)[0]
                 at = at[fresh[s.doc[at]]]
-                yield pa.RecordBatch.from_arrays([pa.array(s.token[at].view(np.int64)), pa.array(nodes[s.doc[at]]), pa.array(s.n[s.doc[at]].astype(np.int32))], ["token", "node", "n"])
+                node = nodes[s.doc[at]]
+                # a frequent token is dealt over as many salts as its class says, so no part of it has more rows than an ordinary token
+                salt = (mix(node.view(np.uint64)) & ((np.uint64(1) << np.minimum(rare[at], MOST_SALTS).astype(np.uint64)) - np.uint64(1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(s.token[at].view(np.int64)), pa.array(node), pa.array(s.n[s.doc[at]].astype(np.int32)), pa.array(salt), pa.array(rare[at] > 0)], ["token", "node", "n", "salt", "often"])
 
     return run
 
@@ -117,16 +123,24 @@ def _sets(k: int, percent: int, rarity):
 
 
 def _square(percent: int):
-    """Links within one block of a hot token, one for each node and other label."""
+    """Links within one block of a hot token, one for each node and other label: products
+    of token matrices count what prefixes share under each order, then what whole sets share."""
 
     def run(table: pa.Table) -> pa.Table:
         own, node, label = (table.column(c).to_numpy() for c in ("own", "node", "label"))
         across = table.column("row")[0].as_py() != table.column("column")[0].as_py()
         lists = [np.asarray(x.values) for x in table.column("tokens")]
         n = np.array([len(x) for x in lists])
-        common = shared_counts(lists)
-        i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
-        ok = (label[i] != label[j]) & ((own[i] != own[j]) | (not across))
+        near = np.triu((label[:, None] != label[None, :]) & ((own[:, None] != own[None, :]) | (not across)), 1)
+        need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent)) - np.maximum(n[:, None], n[None, :]) + prefix_length(np.maximum(n[:, None], n[None, :]), percent)
+        for o in range(1, MORE_ORDERS + 1):  # the prefixes under the further orders must share enough too
+            near &= shared_counts([np.asarray(x.values) for x in table.column(f"p{o}")]) >= need
+        i, j = np.nonzero(near)
+        some = np.unique(np.concatenate([i, j]))
+        if not len(some):
+            return pa.table({"a": node[:0], "b": node[:0]})
+        common = shared_counts([lists[x] for x in some])[np.searchsorted(some, i), np.searchsorted(some, j)]
+        ok = 100 * common >= percent * (n[i] + n[j] - common)
         i, j = i[ok], j[ok]
         first = np.unique(np.stack([i, label[j]], axis=1), axis=0, return_index=True)[1] if len(i) else i
         return pa.table({"a": node[i[first]], "b": node[j[first]]})
@@ -136,17 +150,18 @@ def _square(percent: int):
 
 class JaccardJoin:
     """``profile``: doc_id, n, node of each row; ``nodes``: node, n, id (its smallest
-    doc_id), minima; ``links``: pairs (a, b) of nodes that connect all components."""
+    doc_id), ``at`` (the id of a row with its text, a hash of the text where that has none),
+    copies (rows), minima."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
-        self.docs = docs.select(F.col("doc_id").cast("long"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("at"), "text")
         self.k, self.percent = k, percent
         slots = 1 << max(LEAST_SLOTS.bit_length() - 1, min(MOST_SLOTS.bit_length() - 1, int(docs.count() / DOCUMENTS_A_SLOT).bit_length() - 1))
-        both = stored(self.docs.mapInArrow(_profile(k, slots), "doc_id long, n long, node long, minima array<long>, block int, counts binary"), "sets")
-        self.profile = both.where("block is null").select("doc_id", "n", "node", "minima")
+        both = stored(self.docs.mapInArrow(_profile(k, slots), "doc_id long, at long, n long, node long, minima array<long>, block int, counts binary"), "sets")
+        self.profile = both.where("block is null").select("doc_id", "at", "n", "node", "minima")
         self.rarity = docs.sparkSession.sparkContext.broadcast(classes_of(both, slots, both.agg(F.sum("n")).first()[0] or 0))
         known = self.profile.where("node is not null").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-        self.nodes = stored(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
+        self.nodes = stored(known.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "at"))["at"].alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
 
     def _similar_sizes(self, a: str, b: str):
         return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
@@ -159,10 +174,10 @@ class JaccardJoin:
 
     def _token_sets(self, nodes: DataFrame) -> DataFrame:
         """The sets of nodes, from a text of each, and their prefixes under the further orders."""
-        wanted = stored(nodes.select("node").join(self.nodes.select("node", "id"), "node").withColumnRenamed("node", "wanted"), "wanted")
-        texts = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(small(wanted), "id").select("wanted", "text")
+        wanted = stored(nodes.select("node").join(self.nodes.select("node", "at").hint("merge"), "node").withColumnRenamed("node", "wanted"), "wanted")
+        texts = picked(self.docs.select("at", "text"), wanted, "at").select("wanted", "text")
         schema = "wanted long, node long, tokens array<long>" + "".join(f", p{o} array<long>" for o in range(1, MORE_ORDERS + 1))
-        return stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted"), "token-sets")
+        return stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted").dropDuplicates(["node"]), "token-sets")
 
     def _verified(self, pairs: DataFrame, orders: int) -> DataFrame:
         """Those of the pairs (a, b) that are links; ``orders`` more filters come first."""
@@ -181,39 +196,40 @@ class JaccardJoin:
 
     def _preliminary(self) -> DataFrame:
         """Links of nodes with the smallest node of their buckets."""
-        bands = self.nodes.select("node", "n", F.posexplode("minima").alias("band", "low"))
-        sizes = bands.groupBy("band", "low").agg(F.count("*").alias("size")).where("size > 1")
-        bands = stored(bands.join(sizes, ["band", "low"]), "bands")
+        key = ["band", "low"]
+        bands = self.nodes.select("node", "n", F.posexplode("minima").alias(*key))
+        sizes = stored(bands.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "band-sizes")
+        bands = stored(joined_by(bands, sizes, key, "size"), "bands")
         # the middle of a group of near copies is in its largest buckets: it is each one's first head, the others are drawn by hash
         central = bands.groupBy("node").agg(F.sum("size").alias("weight"))
-        ranked = bands.join(central, "node")
+        ranked = bands.join(central.hint("merge"), "node")
         draw = lambda h: F.struct(-F.col("weight"), F.xxhash64("node"), "node", "n") if h == 0 else F.struct(F.lit(0), F.xxhash64("node", F.lit(h)), "node", "n")
-        heads = ranked.groupBy("band", "low").agg(*[F.min(draw(h)).alias(f"h{h}") for h in range(HEADS)])
-        joined = bands.join(heads, ["band", "low"]).select("node", "n", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), f"h{h}.node", f"h{h}.n") for h in range(HEADS)])).alias("head"))
+        heads = stored(ranked.groupBy(*key).agg(F.first("size").alias("size"), *[F.min(draw(h)).alias(f"h{h}") for h in range(HEADS)]), "heads")
+        joined = joined_by(bands.drop("size"), heads, key, "size").select("node", "n", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), f"h{h}.node", f"h{h}.n") for h in range(HEADS)])).alias("head"))
         pairs = joined.where("head.node <> node").where(self._similar_sizes("n", "head.n")).groupBy(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("head.h").alias("h")).agg(F.count("*").alias("same")).where(f"same >= {MINIMA // 2}")
         best = pairs.groupBy("a", "h").agg(F.max_by("b", F.struct("same", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return stored(self._verified(stored(best, "pairs"), 0), "links")
+        return stored(self._verified(stored(best, "pairs"), MORE_ORDERS), "links")
 
     def _labelled(self, postings: DataFrame, links: DataFrame) -> DataFrame:
         """Postings with the label of their node's component, of tokens with several labels
         only, and how many nodes each of these tokens has."""
         labels = stored(components(links).select("node", F.col("root").alias("label")), "labels")
-        rows = stored(postings.select("token", "node", "n").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "postings")
+        rows = stored(postings.select("token", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "postings")
         several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
         return stored(rows.join(several, "token"), "postings")
 
     def _across(self, early: DataFrame) -> DataFrame:
         """Links between different components of the ``early`` links."""
-        rows = self.docs.mapInArrow(_postings(self.k, self.percent, self.rarity), "token long, node long, n int")
-        ends = Window.partitionBy("token")
-        rows = rows.withColumns({"low": F.min("node").over(ends), "high": F.max("node").over(ends)}).where("low < high").drop("low", "high").distinct()
+        rows = self.docs.mapInArrow(_postings(self.k, self.percent, self.rarity), "token long, node long, n int, salt int, often boolean")
+        ends = Window.partitionBy("token", "salt")
+        rows = rows.withColumns({"low": F.min("node").over(ends), "high": F.max("node").over(ends)}).where("often or low < high").select("token", "node", "n", "salt").distinct()
         shared = self._labelled(rows, early)
         hot = self._hot_nodes(shared)
         cold = shared.where(f"size <= {HOT}").drop("size")
         other = cold.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
         pairs = cold.join(other, "token").where("label < other").where(self._similar_sizes("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("m").alias("m"))
         for side in "ab":
-            pairs = pairs.join(small(hot).select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+            pairs = pairs.join(hot.hint("merge").select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
         pairs = pairs.where(self._enough("same + least(coalesce(hot_a, 0), coalesce(hot_b, 0))", "n", "m")).select("a", "b")
         links = early.unionByName(self._verified(stored(pairs, "pairs"), MORE_ORDERS))
         return links if hot.isEmpty() else links.unionByName(self._hot_links(shared, hot))
@@ -223,7 +239,7 @@ class JaccardJoin:
 
     def _hot_links(self, shared: DataFrame, hot: DataFrame) -> DataFrame:
         """Links of nodes that share a hot token, one to each other component."""
-        sets = self._token_sets(hot).select("node", "tokens").dropDuplicates(["node"])
+        sets = self._token_sets(hot)
         rows = in_squares(shared.where(f"size > {HOT}"), SQUARE)
         return stored(rows.join(sets, "node").groupBy("token", "row", "column").applyInArrow(_square(self.percent), "a long, b long").distinct(), "links")
 
@@ -231,11 +247,13 @@ class JaccardJoin:
         """A row for each document: doc_id, n_shingles, component_id."""
         early = self._preliminary()
         roots = stored(components(self._across(early)), "roots")
-        member = self.nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = member.groupBy("root").agg(F.min("id").alias("component_id"))
-        member = member.join(least, "root").select("node", "component_id")
-        own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.when(F.col("component_id") < NO_ID, F.col("component_id")))
-        return self.profile.select("doc_id", "n", "node").join(small(stored(member, "members")), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        member = self.nodes.select("node", "id", "copies").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = stored(member.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size")), "components")
+        member = stored(joined_by(stored(member.select("node", "copies", "root"), "roots"), sizes, ["root"], "size").select("node", "copies", "component_id"), "members")
+        rows = self.profile.select("doc_id", "n", "node")
+        linked = joined_by(rows.where("node is not null"), member, ["node"], "copies").withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
+        alone = rows.where("node is null").withColumn("component_id", F.col("doc_id"))
+        return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -246,5 +264,6 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; of equal
     rows of one doc_id all stay, as do rows without doc_id. Columns are those of ``docs``."""
-    gone = stored(components_of(docs, k, percent).where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stored(components_of(docs, k, percent).where("component_id < doc_id").select("doc_id", F.lit(True).alias("copy")).distinct(), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return with_columns_of(rows, gone, "doc_id").where("copy is null").select("row.*")

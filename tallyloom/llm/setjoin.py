@@ -68,19 +68,21 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
-    """How many values each two of the lists share."""
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    value, code, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+def shared_counts(lists: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many values each of the lists shares with each of the others (or of the lists)."""
+    both = lists if others is None else [*lists, *others]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    value, code, n = np.unique(np.concatenate([np.zeros(0, np.int64), *both]), return_inverse=True, return_counts=True)
     place = np.full(len(value), -1)
     place[n > 1] = np.arange((n > 1).sum())
     code = place[code]
-    out = np.zeros((len(lists), len(lists)), np.float32)
+    rows = len(lists)
+    out = np.zeros((rows, rows if others is None else len(others)), np.float32)
     for a in range(0, int((n > 1).sum()), COLUMNS):
         mine = (code >= a) & (code < a + COLUMNS)
-        m = np.zeros((len(lists), COLUMNS), np.float32)
+        m = np.zeros((len(both), min(COLUMNS, int((n > 1).sum()) - a)), np.float32)
         m[owner[mine], code[mine] - a] = 1
-        out += m @ m.T
+        out += m[:rows] @ (m if others is None else m[rows:]).T
     return out
 
 
@@ -91,3 +93,15 @@ def in_squares(rows: DataFrame, side: int) -> DataFrame:
     dealt = rows.withColumn("blocks", F.expr(f"cast(ceil(size / {side}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"row": F.least("own", "other"), "column": F.greatest("own", "other")}).drop("size", "blocks", "other")
+
+
+def in_cells(rows: DataFrame, side: int) -> DataFrame:
+    """Rows (token, node, asked, size: nodes of the token, n: those asked for) dealt so that each
+    asked node meets each node of its token in one cell (token, row, column) of about ``side`` nodes
+    a side; ``asks`` tells on which side a row stands."""
+    blocks = lambda c: F.ceil(F.col(c) / side).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = rows.withColumns({"rows": blocks("n"), "columns": blocks("size")}).drop("n", "size")
+    asking = dealt.where("asked").select("token", "node", F.lit(True).alias("asks"), own("rows").alias("row"), every("columns").alias("column"))
+    return asking.unionByName(dealt.select("token", "node", F.lit(False).alias("asks"), own("columns").alias("column"), every("rows").alias("row")))
