@@ -43,15 +43,17 @@ def _leaf(gradient: float, hessian: float, reg: float, low: float, high: float)
     return float(np.clip(-gradient / (hessian + reg), low, high))
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 64, reg: float = 1.0, least: float = 5.0) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 64, reg: float = 1.0, least: float = 0.005) -> Forest:
     """Logistic boosting on histograms. ``monotone[f]`` is 1 where the margin may only
-    rise with feature f, -1 where it may only fall, else 0. With no rows or one class
-    the forest is a constant."""
+    rise with feature f, -1 where it may only fall, else 0. A leaf has at least a share
+    ``least`` of the hessian that all rows begin with, so a rare class can be split off at
+    any number of rows. With no rows or one class the forest is a constant."""
     n, m = x.shape
     share = float(y.mean()) if n else 0.5
     base = float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1 - 1e-3)))
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
     if n and 0 < share < 1:
+        least, reg = least * n * share * (1 - share), reg * min(1.0, n * share * (1 - share) / 100)
         edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(m)]
         coded = np.stack([np.searchsorted(edges[f], x[:, f]) for f in range(m)], axis=1)
         flat = coded + np.arange(m) * bins

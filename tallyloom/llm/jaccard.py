@@ -175,9 +175,9 @@ class JaccardJoin:
     def _token_sets(self, nodes: DataFrame) -> DataFrame:
         """The sets of nodes, from a text of each, and their prefixes under the further orders."""
         wanted = stored(nodes.select("node").join(self.nodes.select("node", "at").hint("merge"), "node").withColumnRenamed("node", "wanted"), "wanted")
-        texts = picked(self.docs.select("at", "text"), wanted, "at").select("wanted", "text")
+        texts = picked(self.docs.select("at", "text"), wanted, "at").withColumn("key", F.xxhash64("text")).dropDuplicates(["at", "wanted", "key"]).select("wanted", "text")
         schema = "wanted long, node long, tokens array<long>" + "".join(f", p{o} array<long>" for o in range(1, MORE_ORDERS + 1))
-        return stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted").dropDuplicates(["node"]), "token-sets")
+        return stored(texts.mapInArrow(_sets(self.k, self.percent, self.rarity), schema).where("wanted = node").drop("wanted"), "token-sets")
 
     def _verified(self, pairs: DataFrame, orders: int) -> DataFrame:
         """Those of the pairs (a, b) that are links; ``orders`` more filters come first."""

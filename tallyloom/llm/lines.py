@@ -364,7 +364,8 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The token sets of nodes, from their first places."""
         at = stored(wanted.join(nodes, "node").groupBy("first.doc_id", "first.key").agg(F.collect_set("first.line").alias("lines")), "wanted")
-        return stored(picked(source, at, "doc_id", "key").select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets").dropDuplicates(["node"])
+        texts = picked(source, at, "doc_id", "key").dropDuplicates(["doc_id", "key"])  # as they are dealt already
+        return stored(texts.select("text", "lines").mapInArrow(_wanted_sets, "node long, tokens array<long>"), "line-sets")
 
     def matched(pairs: DataFrame) -> DataFrame:
         """The later nodes of those pairs whose sets are similar."""

@@ -52,6 +52,6 @@ def joined_by(left: DataFrame, right: DataFrame, keys: list[str], size: str, how
     the map of bits."""
     limit = (right.agg(F.sum(size)).first()[0] or 0) / HEAVY
     heavy, light = right.where(F.col(size) > limit), right.where(F.col(size) <= limit)
-    known = left.join(F.broadcast(heavy), keys)
+    known = left.join(F.broadcast(heavy), keys)  # no key of these is null
     others = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return known.unionByName(picked(others, light, *keys) if sparse else others.join(light.hint("merge"), keys, how))

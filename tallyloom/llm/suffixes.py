@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import picked, stored
+from .shared import joined_by, picked, stored
 from .substrings import BUCKETS, REMEMBERED, SEND_BYTES, joined_words, match_windows, ranges, send_strings
 from .text import Words, roll, slices, starts_of_equal, tidy
 
@@ -254,10 +254,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, m: int = M) -
     texts = picked(source, places, "doc_id", "key")
     spans = stored(dealt(texts.mapInArrow(_deal_surroundings(window, prefix, min_words, buckets), packed)).mapInArrow(_per_bucket(lambda s, p: match_windows(s, p, min_words)), found).distinct(), "suffix-spans")
     # passages whose rows don't agree on the smallest doc_id that has them
-    agreed = spans.groupBy("passage").agg(F.min("source_doc_id").alias("least"), F.max("source_doc_id").alias("most")).where("least < most").drop("most")
+    agreed = spans.groupBy("passage").agg(F.min("source_doc_id").alias("least"), F.max("source_doc_id").alias("most"), F.count("*").alias("size")).where("least < most").drop("most")
     order = Window.partitionBy("doc_id", "key").orderBy("start", "end", "source_doc_id")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min_by(F.struct("source_doc_id", "passage"), F.struct("start", "source_doc_id")).alias("source"))
-    merged = merged.join(agreed, F.col("source.passage") == F.col("passage"), "left").withColumn("source_doc_id", F.coalesce("least", "source.source_doc_id"))
+    merged = stored(merged.withColumn("passage", F.col("source.passage")), "suffix-runs")
+    merged = joined_by(merged, stored(agreed, "suffix-sources"), ["passage"], "size", "left").withColumn("source_doc_id", F.coalesce("least", "source.source_doc_id"))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_doc_id")

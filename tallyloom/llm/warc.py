@@ -5,9 +5,11 @@ its own gzip member) and ``indexes/index.cdx`` (a line for each record: page id,
 offset and length within that member). The reader parses the end of the ZIP file,
 its ZIP64 records and the central directory, finds where the stored members lie and
 reads the records' byte ranges from the archive itself; nothing is extracted.
-Archives are written under a name of their own and then moved to the partition's
-name, so a task that runs twice leaves one archive. Files are reached through Arrow's
-file systems by URI.
+Each attempt of a task writes archives under names of its own, and a manifest, which
+Spark commits once for each task, names those that count: of a task that runs twice
+the other attempt's archives are never read. Files are reached through Arrow's file
+systems by URI. The index member is checked by its CRC, records by gzip's, payloads by
+their digest.
 
 Of records with equal payloads the one with the smallest page_id is a ``response``;
 the others are ``revisit`` records, whose block is the HTTP head alone.
@@ -36,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import folder, stored
+from .shared import folder, joined_by, marked, picked, stored
 from .text import tidy
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -44,8 +46,10 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES = 32 << 20
 #: Records of one archive that a task reads, and the bytes that it asks for at once.
 CHUNK_RECORDS, READ_BYTES = 2000, 4 << 20
-#: Repeated payloads are sent to all tasks up to so many rows (about 70 bytes each); beyond, both sides are shuffled.
-BROADCAST_ROWS = 100_000
+#: Where the archives that count are named, below their folder.
+MANIFEST = "manifest"
+#: Stands for a null page_id where rows are joined.
+NO_ID = -(1 << 63)
 WARC_DATE = "2024-01-01T00:00:00Z"
 
 
@@ -58,6 +62,7 @@ class Member:
     method: int
     size: int
     header: int
+    crc: int = 0
 
 
 def directory(source) -> dict[str, Member]:
@@ -85,6 +90,7 @@ def directory(source) -> dict[str, Member]:
         if block[at : at + 4] != b"PK\x01\x02":
             raise ValueError("the central directory is damaged")
         (method,) = struct.unpack_from("<H", block, at + 10)
+        (crc,) = struct.unpack_from("<I", block, at + 16)
         packed, plain, name_n, extra_n, comment_n = struct.unpack_from("<IIHHH", block, at + 20)
         (header,) = struct.unpack_from("<I", block, at + 42)
         name = block[at + 46 : at + 46 + name_n].decode("utf-8", "replace")
@@ -97,7 +103,7 @@ def directory(source) -> dict[str, Member]:
                 packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                 header = wide.pop(0) if header == 0xFFFFFFFF else header
             e += 4 + n
-        found[name] = Member(name, method, packed, header)
+        found[name] = Member(name, method, packed, header, crc)
         at += 46 + name_n + extra_n + comment_n
     return found
 
@@ -114,6 +120,16 @@ def data_start(source, member: Member) -> int:
     return member.header + 30 + name_n + extra_n
 
 
+def read_index(source, members: dict[str, Member]) -> list[str]:
+    """The lines of an archive's index."""
+    member = members[INDEX]
+    source.seek(data_start(source, member))
+    body = source.read(member.size)
+    if len(body) != member.size or zlib.crc32(body) != member.crc:
+        raise ValueError("the index is damaged")
+    return body.decode().splitlines()
+
+
 # --- WARC ----------------------------------------------------------------------
 
 
@@ -130,12 +146,13 @@ def page_of(record: str) -> int | None:
     return int(number) if number else None
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = WARC_DATE) -> bytes:
-    """One WARC record as a gzip member."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, size: int, sha1: str, date: str = WARC_DATE) -> bytes:
+    """One WARC record as a gzip member; without a payload, of which size and SHA-1 (hexadecimal) are given, a revisit."""
+    revisit = payload is None
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     target = "".join(c for c in url or "" if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}", "Content-Type: application/http; msgtype=response"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
     lines += [f"Content-Length: {len(block)}", "", ""]
@@ -194,40 +211,47 @@ def pack(records: list[tuple[int | None, bytes]]) -> bytes:
 def write_archives(pages: DataFrame, to: str, revisit_from_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html) below the URI
     ``to``; returns a row for each archive: uri, n_records, n_bytes. Payloads of at
-    least ``revisit_from_bytes`` bytes are written once and revisited."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    first = rows.where(F.octet_length("html") >= revisit_from_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    repeated = stored(first.where("n > 1 and first_id is not null").select("digest", "first_id"), "repeated-payloads")
-    rows = rows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated, "digest", "left")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
-    rows = rows.select("page_id", "url", "html", "first_id", revisit.alias("revisit"))
+    least ``revisit_from_bytes`` bytes are written once and revisited. Html is shuffled of
+    one row of each repeated payload only; of the others their digests are."""
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long"), "place": F.coalesce("page_id", F.lit(NO_ID))})
+    first = rows.where(F.col("size") >= revisit_from_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    repeated = stored(first.where("n > 1 and first_id is not null").select("digest", "first_id", "n"), "repeated-payloads")
+    known = marked(rows, repeated, "digest")
+    near = stored(known.where("maybe").select("page_id", "place", "url", "digest", "size"), "near-payloads")
+    judged = joined_by(near, repeated, ["digest"], "n", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False)))
+    first = stored(judged.where("not revisit").select("place", "digest").distinct(), "first-payloads")
+    columns = ["page_id", "url", "html", "first_id", "size", "digest"]
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = known.where("not maybe").unionByName(picked(known.where("maybe"), first, "place", "digest"), allowMissingColumns=True).withColumn("first_id", none("long"))
+    rows = whole.select(*columns).unionByName(judged.where("revisit").withColumn("html", none("string")).select(*columns))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, base = pafs.FileSystem.from_uri(to)
-        part, made, records, size = TaskContext.get().partitionId(), [], [], 0
+        task, made, records, total = TaskContext.get(), [], [], 0
 
         def close() -> None:
-            name = f"part-{part:06d}-{len(made):04d}.zip"
+            name = f"part-{task.partitionId():06d}-{len(made):04d}-{uuid.uuid4().hex}.zip"
             body = pack(records)
             _put(fs, f"{base}/{name}", body)
             made.append((f"{to}/{name}", len(records), len(body)))
 
         for batch in batches:
-            for page_id, url, html, first_id, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = record_bytes(page_id, url, html.encode(), first_id, again)
+            for page_id, url, html, first_id, size, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = record_bytes(page_id, url, None if html is None else html.encode(), first_id, size, digest)
                 records.append((page_id, body))
-                size += len(body)
-                if size >= archive_bytes:
+                total += len(body)
+                if total >= archive_bytes:
                     close()
-                    records, size = [], 0
+                    records, total = [], 0
         if records:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["uri", "n_records", "n_bytes"])
 
-    return stored(rows.mapInArrow(run, "uri string, n_records long, n_bytes long"), "archives")
+    rows.mapInArrow(run, "uri string, n_records long, n_bytes long").write.mode("overwrite").parquet(f"{to}/{MANIFEST}")
+    return archives_in(pages.sparkSession, to)
 
 
 # --- reading -------------------------------------------------------------------
@@ -238,9 +262,7 @@ def read_records(uri: str, first: int, count: int) -> Iterator[dict]:
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_file(path) as source:
         members = directory(source)
-        index = members[INDEX]
-        source.seek(data_start(source, index))
-        lines = source.read(index.size).decode().splitlines()[first : first + count]
+        lines = read_index(source, members)[first : first + count]
         base = data_start(source, members[DATA])
         spans = [(int(a), int(n)) for _, a, n in (x.split() for x in lines)]
         i = 0
@@ -257,7 +279,11 @@ def read_records(uri: str, first: int, count: int) -> Iterator[dict]:
 
 
 def archives_in(spark: SparkSession, uri: str) -> DataFrame:
-    """The archives below a folder, as write_archives returns them, from Spark's file listing."""
+    """The archives below a folder, as write_archives returns them: those of its manifest, or
+    all that Spark's file listing finds where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{uri}/{MANIFEST}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.schema("uri string, n_records long, n_bytes long").parquet(f"{uri}/{MANIFEST}")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(uri).select(F.col("path").alias("uri"), F.col("length").alias("n_bytes"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +292,7 @@ def archives_in(spark: SparkSession, uri: str) -> DataFrame:
             for uri in batch.column("uri").to_pylist():
                 fs, path = pafs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as source:
-                    index = directory(source)[INDEX]
-                    source.seek(data_start(source, index))
-                    n.append(source.read(index.size).count(b"\n"))
+                    n.append(len(read_index(source, directory(source))))
             yield pa.RecordBatch.from_arrays([batch.column("uri"), pa.array(n, pa.int64()), batch.column("n_bytes")], ["uri", "n_records", "n_bytes"])
 
     return found.mapInArrow(count, "uri string, n_records long, n_bytes long")

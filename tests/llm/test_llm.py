@@ -206,7 +206,7 @@ def test_zip64_directory():
         warc.data_start(source, found["packed"])
     with pytest.raises(ValueError):
         warc.directory(_Source(b"nothing"))
-    assert gzip.decompress(warc.record_bytes(1, None, b"p", None, False)).startswith(b"WARC/1.1\r\nWARC-Type: response")
+    assert gzip.decompress(warc.record_bytes(1, None, b"p", None, 1, hashlib.sha1(b"p").hexdigest())).startswith(b"WARC/1.1\r\nWARC-Type: response")
 
 
 # 3 -------------------------------------------------------------------------------
@@ -369,7 +369,7 @@ def test_url_filter(spark):
     rules = [("com", "/en/", "block"), ("a.com", "/", "allow"), ("a.com", "", "block"), ("b.a.com", "/en/7", "allow"), ("net", "/e", "block"), ("x.net", "/", "allow"), ("a.com", "/", "block"), ("é.org", "/é", "block"), ("", "/", "block"), (None, "/", "block"), ("com", None, "block"), ("com", "/en/7/x", "allow")]
     pages = spark.createDataFrame([(i if i % 50 else None, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string").repartition(3)
     frame_of = spark.createDataFrame(rules, "host string, path string, verdict string")
-    got = Counter(tuple(r) for r in urlfilter.judge(pages, frame_of, salts=3).collect())
+    got = Counter(tuple(r) for r in urlfilter.judge(pages, frame_of, group=3).collect())
     assert got == Counter((i if i % 50 else None, *judge_url(u, rules)) for i, u in enumerate(urls))
     assert {r.verdict for r in urlfilter.judge(pages, frame_of.limit(0)).collect()} == {"allow"}
     assert urlfilter.judge(pages.limit(0), frame_of).count() == 0
