@@ -13,7 +13,7 @@ through block-max WAND, which returns all items at or above the threshold. An it
 verified where the passage holds enough of the ``shingle``-word runs of its question
 and of its answer (the text after its last line break, else its last sentence). Of an
 answer of one run or less, that run counts, or else the runs of the whole item that
-reach into it. Words are compared without the marks at their edges.
+reach into it. Words are compared without the marks at their edges, runs by 64-bit hashes.
 
 Items are indexed in shards of bounded bytes, and each shard takes a pass over all
 texts; document frequencies are counted over all items, so shards change no score.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, hash_strings, slices, tidy
+from .text import Words, hash_strings, roll, slices, tidy
 
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.8, 0.5
 SHINGLE, MIN_ITEM_WORDS, PASSAGE_WORDS = 5, 5, 128
@@ -78,9 +79,13 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(head), words_of(tail)
 
 
-def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
-    n = min(n, len(words))
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+def word_hashes(words: list[str]) -> np.ndarray:
+    return hash_strings(pa.array(words, pa.large_string())) if words else np.zeros(0, np.uint64)
+
+
+def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of runs of n of these word hashes."""
+    return np.unique(roll(words, np.arange(max(0, len(words) - n + 1)), n)) if n else np.zeros(0, np.uint64)
 
 
 @dataclass
@@ -101,53 +106,72 @@ class Postings:
 
 
 class Index:
-    """A shard of items: ids, questions' and answers' shingles, postings by term."""
+    """A shard of items in flat arrays: ids, hashes of the questions' and answers' shingles,
+    postings by term. About 30 bytes a word of the items, in the driver and in each worker."""
 
     def __init__(self, rows: list[tuple[int | None, str]], frequency: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, shingle: int = SHINGLE):
         self.ids = [i for i, _ in rows]
         self.threshold = threshold
-        self.question, self.answer, self.sizes, self.joint = [], [], [], []
-        postings: dict[str, tuple[list[int], list[float]]] = {}
-        longest = 0
-        for item, (_, text) in enumerate(rows):
+        self.terms: dict[str, int] = {}
+        term, item, impact, longest = array("q"), array("q"), array("d"), 0
+        wanted: list[list[np.ndarray]] = [[], [], []]
+        sizes = np.zeros((3, len(rows)), np.int64)
+        for k, (_, text) in enumerate(rows):
             words = words_of(text)
             longest = max(longest, len(words))
             q, a = question_and_answer(text)
-            self.question.append(shingles(q, shingle))
-            self.answer.append(shingles(a, shingle))
-            self.sizes.append((min(shingle, len(q)), min(shingle, len(a))))
             # the runs that reach from the question into an answer too short for several of its own
-            reach = q[max(0, len(q) - shingle + 1) :] + a
-            self.joint.append((shingles(reach, shingle), min(shingle, len(reach))) if q and 0 < len(a) <= shingle else (set(), 0))
+            reach = q[max(0, len(q) - shingle + 1) :] + a if q and 0 < len(a) <= shingle else []
+            for kind, part in enumerate((q, a, reach)):
+                sizes[kind, k] = min(shingle, len(part))
+                wanted[kind].append(shingle_hashes(word_hashes(part), int(sizes[kind, k])))
             counts: dict[str, int] = {}
             for w in words:
                 counts[w] = counts.get(w, 0) + 1
             scores = {w: math.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean_words)) for w, c in counts.items()}
             whole = sum(scores.values())
             for w, s in scores.items():
-                items, impacts = postings.setdefault(w, ([], []))
-                items.append(item)
-                impacts.append(s / whole)
+                term.append(self.terms.setdefault(w, len(self.terms)))
+                item.append(k)
+                impact.append(s / whole)
+        self.sizes = sizes
+        self.wanted = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in wanted]
+        self.begins = [np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int64) for x in wanted]
         self.passage = max(passage_words, 2 * longest)
-        terms = sorted(postings)
-        hashes = hash_strings(pa.array(terms, pa.large_string())) if terms else np.zeros(0, np.uint64)
+        hashes = word_hashes(list(self.terms))
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.postings = [Postings(*postings[terms[i]]) for i in order]
+        del self.terms
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        t, i = place[np.array(term, np.int64)] if len(order) else np.zeros(0, np.int64), np.array(item, np.int64)
+        by = np.lexsort((i, t))
+        self.flat_items, self.flat_impacts = i[by].astype(np.int32), np.array(impact, float)[by]
+        n = np.bincount(t, minlength=len(order))
+        self.first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         # the commonest terms stand aside while they give no item half of the threshold
         aside = np.zeros(len(rows))
-        self.essential = np.ones(len(terms), bool)
-        for t in sorted(range(len(terms)), key=lambda t: -len(self.postings[t].items)):
-            p = self.postings[t]
-            more = aside.copy()
-            more[p.items] += p.impacts
-            if len(p.items) < 2 or more.max() > threshold / 2:
+        self.essential = np.ones(len(order), bool)
+        for t in np.argsort(-n, kind="stable").tolist():
+            own = slice(self.first[t], self.first[t + 1])
+            if n[t] < 2 or (aside[self.flat_items[own]] + self.flat_impacts[own]).max() > threshold / 2:
                 break
-            aside, self.essential[t] = more, False
+            aside[self.flat_items[own]] += self.flat_impacts[own]
+            self.essential[t] = False
         self.rest = threshold - aside - 1e-9
-        self.first = np.concatenate([[0], np.cumsum([len(p.items) for p in self.postings])]).astype(np.int64)
-        self.flat_items = np.array([i for p in self.postings for i in p.items], np.int64)
-        self.flat_impacts = np.array([s for p in self.postings for s in p.impacts], float)
+
+    def postings(self, term: int) -> Postings:
+        own = slice(self.first[term], self.first[term + 1])
+        return Postings(self.flat_items[own].tolist(), self.flat_impacts[own].tolist())
+
+    def overlap(self, kind: int, item: int, have: np.ndarray) -> float:
+        """The part of an item's shingles that is in the sorted hashes ``have``; 1 where it has none."""
+        wanted = self.wanted[kind][self.begins[kind][item] : self.begins[kind][item + 1]]
+        if not len(wanted):
+            return 1.0
+        if not len(have):
+            return 0.0
+        return float((have[np.minimum(np.searchsorted(have, wanted), len(have) - 1)] == wanted).mean())
 
     def terms_of(self, hashes: np.ndarray) -> np.ndarray:
         """The term of each hash, or -1."""
@@ -159,7 +183,7 @@ class Index:
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items that score the threshold or more from distinct ``terms``."""
         need, end, found = self.threshold - 1e-9, len(self.ids), []
-        lists = [self.postings[t] for t in terms]
+        lists = [self.postings(t) for t in terms]
         at = [0] * len(lists)
         doc = [p.items[0] for p in lists]
         order = list(range(len(lists)))
@@ -226,15 +250,15 @@ class Index:
 
     def promising(self, w: Words, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The passages that upper bounds can't settle."""
-        if not len(self.postings):
+        if not len(self.hashes):
             return np.zeros(0, np.int64)
         hit = np.flatnonzero((term >= 0) & self.essential[term])
         low, high = np.searchsorted(hit, start), np.searchsorted(hit, end)
         n = high - low
         p = np.repeat(np.arange(len(start)), n)
         t = term[hit[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]]
-        key = np.unique(p * len(self.postings) + t)
-        p, t = key // len(self.postings), key % len(self.postings)
+        key = np.unique(p * len(self.hashes) + t)
+        p, t = key // len(self.hashes), key % len(self.hashes)
         n = self.first[t + 1] - self.first[t]
         p = np.repeat(p, n)
         at = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[t], n)
@@ -244,8 +268,8 @@ class Index:
 
     def leaks(self, w: Words, question_overlap: float, answer_overlap: float) -> dict[tuple[int, int], tuple[float, float, float, int]]:
         """(text, item) -> score, overlap of question and answer, first word of the passage."""
-        known = self.terms_of(hash_strings(w.vocab)) if w.n else np.zeros(0, np.int64)
-        term = known[w.ids] if w.n else known
+        hashes = hash_strings(w.vocab) if w.n else np.zeros(0, np.uint64)
+        term = self.terms_of(hashes)[w.ids] if w.n else np.zeros(0, np.int64)
         start, end, doc = self.passages(w)
         out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
         for p in self.promising(w, term, start, end).tolist():
@@ -253,21 +277,21 @@ class Index:
             found = self.search(terms[terms >= 0].tolist())
             if not found:
                 continue
-            words = w.vocab.take(pa.array(w.ids[start[p] : end[p]])).to_pylist()
-            have: dict[int, set] = {}
+            words = hashes[w.ids[start[p] : end[p]]]
+            have: dict[int, np.ndarray] = {}
+
+            def overlap(kind: int, item: int, words=words, have=have) -> float:
+                n = int(self.sizes[kind, item])
+                if n not in have:
+                    have[n] = shingle_hashes(words, n)
+                return self.overlap(kind, item, have[n])
+
             for item, score in found:
-                overlaps = []
-                for wanted, n in zip((self.question[item], self.answer[item]), self.sizes[item], strict=True):
-                    if n and n not in have:
-                        have[n] = shingles(words, n) if len(words) >= n else set()
-                    overlaps.append(len(wanted & have[n]) / len(wanted) if n else 1.0)
-                wanted, n = self.joint[item]
-                if n and overlaps[1] < 1:
-                    if n not in have:
-                        have[n] = shingles(words, n) if len(words) >= n else set()
-                    overlaps[1] = max(overlaps[1], len(wanted & have[n]) / len(wanted))
-                if overlaps[0] >= question_overlap and overlaps[1] >= answer_overlap:
-                    key, row = (int(doc[p]), item), (score, *overlaps, int(start[p] - w.first[doc[p]]))
+                question, answer = overlap(0, item), overlap(1, item)
+                if answer < 1 and self.sizes[2, item]:
+                    answer = max(answer, overlap(2, item))
+                if question >= question_overlap and answer >= answer_overlap:
+                    key, row = (int(doc[p]), item), (score, question, answer, int(start[p] - w.first[doc[p]]))
                     out[key] = max(out.get(key, row), row)
         return out
 

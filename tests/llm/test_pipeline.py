@@ -35,7 +35,7 @@ def test_stages(spark, monkeypatch):
 
     lined = stage["line_dedup"](spark, good, DATA).cache()
     assert lined.columns == columns
-    gone = brute_lines([(i, r.text) for i, r in kept.items()])
+    gone = brute_lines([(i, r.text) for i, r in kept.items()], 1)
     after = rows_of(lined)
     for i, r in kept.items():
         text = "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[i, r.text])
@@ -62,3 +62,33 @@ def test_stages(spark, monkeypatch):
         assert r.token_ids == other.encode_ordinary(left[i].text)
         assert r.decoded_sha256 == hashlib.sha256(left[i].text.encode()).hexdigest()
     assert set(rows_of(corpus_pipeline.run(spark, DATA))) == set(left)
+
+
+def test_stages_take_nulls_repeats_long_texts_and_other_columns(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    other = "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [
+        (1, prose, None, None, None, 1, True, "a"), (1, prose, None, None, None, 1, True, "a"), (2, None, "en", "s", 3, None, None, None), (3, "", "en", "s", 0, 2, False, "b"),
+        (None, prose + " more", "en", None, 1, 3, None, "c"), (None, None, None, None, None, None, None, None), (4, prose, "en", "s", 1, 4, True, "d"),
+        (5, other, None, "s", len(other), 5, True, "e"), (6, " ".join(f"long{i}" for i in range(30_000)), "en", "s", 1, 6, True, "f"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, bits long, maybe boolean, `row` string"
+    stage = dict(corpus_pipeline.STAGES)
+    whole = spark.createDataFrame(rows, schema).repartition(3)
+    plain = lambda frame: sorted(map(tuple, frame.collect()), key=repr)
+
+    good = plain(stage["quality_rules"](spark, whole, DATA))
+    assert set(good) <= set(rows) and not [r for r in good if len(words(r[1])) < 20] and (5, *rows[7][1:]) in good
+    lined = stage["line_dedup"](spark, whole, DATA)
+    assert lined.columns == whole.columns
+    # 1 and its repeat keep their line, 4 loses it, nulls stay null, a null id loses nothing
+    assert plain(lined) == sorted([*rows[:6], (4, "", "en", "s", 0, 4, True, "d"), *rows[7:]], key=repr)
+    single = stage["near_duplicates"](spark, whole, DATA)
+    assert single.columns == whole.columns and plain(single) == sorted([r for r in rows if r[0] != 4], key=repr)
+    clean = stage["decontamination"](spark, whole, DATA)
+    assert clean.columns == whole.columns and plain(clean) == sorted(rows, key=repr)
+    ids = stage["byte_bpe"](spark, whole, DATA).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in ids) == sorted((r[0] or 0, bool(r[1])) for r in rows)
+    empty = spark.createDataFrame([], schema)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, DATA).count() == 0, name
