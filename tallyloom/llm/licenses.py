@@ -4,8 +4,10 @@ Texts are lower-cased (A-Z) and reduced to words joined by single spaces. Each
 rule is a regular expression over those words, tried only where its own keyword
 and one of its license's names occur, which every match contains. One condition goes
 beyond the pattern: a bare name without a version number, often a common word (``json``,
-``ruby``), counts only in a text that says ``version``. Detections are word intervals; swept by (start, longest first, priority), one
-that lies within an earlier interval is dropped unless its priority is higher, so
+``ruby``), counts only in a text that says ``version``. Detections are word intervals. Of two, one
+within the other, the one of lower priority goes, whichever is the longer; of equal
+priority the outer one stays, of equal intervals the first by label. A sweep by (start,
+longest first, priority) keeps those that are still open, so
 ``gnu lesser general public license version 3`` hides the ``general public license``
 inside it. Everything happens within a row: no shuffle, no explode.
 
@@ -189,11 +191,16 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, base: dict[str,
             'at', s.at + {_spaces("x['0']")} + {_spaces("x['1']")},
             'hits', array_append(s.hits, named_struct('start', s.at + {_spaces("x['0']")}, 'back', -(s.at + {_spaces("x['0']")} + {_spaces("x['1']")}), 'low', -r.priority, 'label', r.label, 'weight', r.weight)))),
         s -> s.hits)))"""
-    swept = """aggregate(array_sort(hits),
-        named_struct('end', -1, 'low', 0, 'labels', cast(array() as array<string>), 'score', cast(0 as double)),
-        (s, h) -> if(-h.back > s.end or h.low < s.low, named_struct(
-            'end', greatest(s.end, -h.back), 'low', if(-h.back > s.end, h.low, s.low),
-            'labels', array_union(s.labels, array(h.label)), 'score', greatest(s.score, h.weight)), s))"""
+    open_type = "struct<end: int, priority: int, label: string, weight: double, dead: boolean>"
+    alive = lambda which: f"filter(s.open, o -> not o.dead{which})"
+    taken = lambda which: f"""'labels', array_union(s.labels, transform({alive(which)}, o -> o.label)), 'score', greatest(s.score, coalesce(array_max(transform({alive(which)}, o -> o.weight)), 0.0D))"""
+    swept = f"""aggregate(array_sort(hits),
+        named_struct('open', cast(array() as array<{open_type}>), 'labels', cast(array() as array<string>), 'score', 0.0D),
+        (s, h) -> named_struct('open', cast(array_append(
+                transform(filter(s.open, o -> o.end >= h.start), o -> named_struct('end', o.end, 'priority', o.priority, 'label', o.label, 'weight', o.weight, 'dead', o.dead or (o.end >= -h.back and o.priority < -h.low))),
+                named_struct('end', -h.back, 'priority', -h.low, 'label', h.label, 'weight', h.weight, 'dead', exists(s.open, o -> o.end >= -h.back and o.priority >= -h.low))) as array<{open_type}>),
+            {taken(' and o.end < h.start')}),
+        s -> named_struct({taken('')}))"""
     tried = tried.withColumn("hits", F.expr(hits)).withColumn("kept", F.expr(swept))
     more = F.coalesce(F.col("kept.labels"), F.array().cast("array<string>"))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("kept.score", F.lit(0.0)))

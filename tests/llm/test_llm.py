@@ -5,6 +5,7 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import random
 import re
 import zipfile
@@ -442,6 +443,42 @@ def test_license_gates_hold_in_every_match():
             assert r.keyword in text or r.keyword == "version", (r, text)
 
 
+def brute_labels(text, rules):
+    """Labels and score of the method: all matches, and of nested ones the one of lower priority goes."""
+    w = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text or ""))) + " "
+    hits = set()
+    for r in rules:
+        if r.keyword in w and any(n in w for n in r.names):
+            for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", w):
+                start = w[: m.start()].count(" ") - 1
+                hits.add((start, start + m.group().count(" "), r.priority, r.label, r.weight))
+    gone = set()
+    for a, b in itertools.permutations(hits, 2):
+        inside = b[0] <= a[0] and a[1] <= b[1]  # a within b
+        equal = a[:2] == b[:2]
+        if (inside and (a[2] < b[2] or (a[2] == b[2] and (not equal or (a[3], a[4]) > (b[3], b[4]))))) or (b[0] >= a[0] and b[1] <= a[1] and a[2] < b[2]):
+            gone.add(a)
+    kept = hits - gone
+    return {h[3] for h in kept}, max((h[4] for h in kept), default=0.0)
+
+
+def test_license_labels_against_brute_force(spark):
+    rnd = random.Random(31)
+    rules = licenses.rules()
+    parts = ["licensed under the", "license", "version 2", "gnu", "lesser general public license", "general public license", "apache", "mit", "bsd 3 clause", "all rights reserved", "copyright 2020", "spdx license identifier",
+             "gpl 3 0", "under the terms of the", "mozilla public license", "cc by nc sa 4 0", "word", "x", "or later", "creative commons attribution", "released under the"]
+    rows = [(i, " ".join(rnd.choices(parts, k=rnd.randint(1, 14)))) for i in range(300)]
+    got = {r.doc_id: (set(r.labels.split(",")) - {""}, set(r.base_labels.split(",")) - {""}, r.score) for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        labels, score = brute_labels(t, rules)
+        found, base, mine = got[i]
+        assert found == labels | base, t
+        assert mine == (1.0 if base else score), t
+    # of nested detections the one of lower priority goes, inner or outer
+    made = [licenses.Rule("outer", " ", "a b c d", 1, 0.5), licenses.Rule("inner", " ", "b c", 5, 0.7), licenses.Rule("least", " ", "c", 0, 0.1)]
+    assert [r.labels for r in licenses.scan(frame(spark, [(1, "a b c d"), (2, "a b x d"), (3, "c")]), made).orderBy("doc_id").collect()] == ["inner", "", "least"]
+
+
 # 8 -------------------------------------------------------------------------------
 
 
