@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrase -> label
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -174,7 +173,7 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, base: dict[str,
     phrases = _between("|".join(base))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), GAP, " ")), F.lit(" "))
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = out.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), words.alias("w"))
+    out = out.select("doc_id", words.alias("w")).withColumn("n_words", F.expr(f"if(trim(w) = '', 0, {_spaces('w')} - 1)").cast("long"))
     out = out.withColumns({"pieces": F.split("w", phrases, -1), "places": F.expr(f"regexp_extract_all(w, {_quoted(phrases)}, 0)")})
     n_base = F.size("places")
     first = F.expr(f"{_spaces('pieces[0]')} - 1")
@@ -182,8 +181,14 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, base: dict[str,
     out = out.withColumn("n_base", n_base.cast("long")).withColumns({"first_word": F.when(F.col("n_base") > 0, first.cast("long")), "last_word": F.when(F.col("n_base") > 0, last.cast("long"))})
     named = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
     out = out.withColumn("base_found", F.when(F.col("n_base") > 0, F.transform(F.array_distinct("places"), lambda p: named[p])).otherwise(F.array().cast("array<string>")))
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_between(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.names)).alias("names")) for r in signatures])
-    tried = out.withColumn("active", F.filter(table, lambda r: F.contains(F.col("w"), r["keyword"]) & F.exists(r["names"], lambda n: F.contains(F.col("w"), n))))
+    # the names of a license are looked for once, then the keywords of its rules
+    one = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_between(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
+    by_names: dict[tuple[str, ...], list[Rule]] = {}
+    for r in signatures:
+        by_names.setdefault(r.names, []).append(r)
+    groups = F.array(*[F.struct(F.array(*map(F.lit, names)).alias("names"), F.array(*map(one, own)).alias("rules")) for names, own in by_names.items()])
+    named = F.filter(groups, lambda g: F.exists(g["names"], lambda n: F.contains(F.col("w"), n)))
+    tried = out.withColumn("active", F.flatten(F.transform(named, lambda g: F.filter(g["rules"], lambda r: F.contains(F.col("w"), r["keyword"])))))
     hits = f"""flatten(transform(active, r -> aggregate(
         arrays_zip(split(w, r.pattern, -1), regexp_extract_all(w, r.pattern, 0)),
         named_struct('at', -1, 'hits', cast(array() as array<struct<start: int, back: int, low: int, label: string, weight: double>>)),
