@@ -16,8 +16,9 @@ compared with these alone; the links found so give preliminary components. In th
 exact join a token whose nodes all are in one component is dropped, and only pairs
 across components are formed, so no link between components is lost and the components
 are exact. A token that more than ``HOT`` nodes still have is joined in square blocks of
-bounded size, dealt over tasks: there products of token matrices count what all pairs of
-a block share, exactly, and a node's link to each other component leaves the block once.
+bounded size, dealt over tasks: there products of token matrices apply the further
+orders and then count what is left exactly, and as many links leave a block as connect
+all nodes that its links do. The same filters hold in every form of the join.
 
 Defined results: a text without words (null, empty) has an empty set and is linked
 with nothing, its component is its own doc_id; one with fewer than ``k`` words has one
@@ -122,8 +123,33 @@ def _sets(k: int, percent: int, rarity):
     return run
 
 
+def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of links between labelled nodes (i, j) some that connect all labels that the links do:
+    fewer than there are labels. In each round every group of labels picks one of its links."""
+    root = np.unique(label, return_inverse=True)[1]
+    kept: list[int] = []
+    left = np.arange(len(i))
+    while True:
+        left = left[root[i[left]] != root[j[left]]]
+        if not len(left):
+            return np.array(kept, np.int64)
+        parent = np.arange(int(root.max()) + 1)
+        for x in left[np.unique(root[i[left]], return_index=True)[1]].tolist():
+            a, b = int(root[i[x]]), int(root[j[x]])
+            while parent[a] != a:
+                a = int(parent[a])
+            while parent[b] != b:
+                b = int(parent[b])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append(x)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+
+
 def _square(percent: int):
-    """Links within one block of a hot token, one for each node and other label: products
+    """Links within one block of a hot token that connect what all its links do: products
     of token matrices count what prefixes share under each order, then what whole sets share."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,9 +167,8 @@ def _square(percent: int):
             return pa.table({"a": node[:0], "b": node[:0]})
         common = shared_counts([lists[x] for x in some])[np.searchsorted(some, i), np.searchsorted(some, j)]
         ok = 100 * common >= percent * (n[i] + n[j] - common)
-        i, j = i[ok], j[ok]
-        first = np.unique(np.stack([i, label[j]], axis=1), axis=0, return_index=True)[1] if len(i) else i
-        return pa.table({"a": node[i[first]], "b": node[j[first]]})
+        first = spanning(label, i[ok], j[ok])
+        return pa.table({"a": node[i[ok][first]], "b": node[j[ok][first]]})
 
     return run
 
@@ -238,7 +263,7 @@ class JaccardJoin:
         return stored(shared.where(f"size > {HOT}").groupBy("node").agg(F.count("*").alias("hot")), "hot-nodes")
 
     def _hot_links(self, shared: DataFrame, hot: DataFrame) -> DataFrame:
-        """Links of nodes that share a hot token, one to each other component."""
+        """Links that connect all nodes that links within hot tokens do."""
         sets = self._token_sets(hot)
         rows = in_squares(shared.where(f"size > {HOT}"), SQUARE)
         return stored(rows.join(sets, "node").groupBy("token", "row", "column").applyInArrow(_square(self.percent), "a long, b long").distinct(), "links")
