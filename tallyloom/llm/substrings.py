@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, with_columns_of
 from .text import Words, mix, roll, slices, starts_of_equal, tidy
 
 K, M = 13, 3
@@ -40,8 +40,6 @@ BUCKETS = 16
 SEND_BYTES = 12 << 20
 #: Super-k-mers that a map task remembers with their smallest doc_id.
 REMEMBERED = 100_000
-#: Intervals are sent to all tasks up to so many (about 100 bytes each); beyond, they and the texts are shuffled.
-BROADCAST_INTERVALS = 400_000
 
 
 def joined_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -241,12 +239,9 @@ def repeated_intervals(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, with_text: bool = False) -> DataFrame:
     """For each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 of the kept
     words joined by one space and, if asked for, kept_text."""
-    intervals = stored(repeated_intervals(docs, k, m).distinct(), "repeated-windows")
-    spans = intervals.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    if intervals.count() <= BROADCAST_INTERVALS:
-        spans = F.broadcast(spans)
+    spans = stored(repeated_intervals(docs, k, m).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-windows")
     source = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.shiftright(F.xxhash64("text"), 32))
-    joined = source.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    joined = with_columns_of(source, spans, "doc_id", "key").select("doc_id", "text", "spans")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
