@@ -10,7 +10,10 @@ Nothing hot meets in one task: of equal super-k-mers that a map task sees, only
 of the smallest doc_id so far are sent, since every other document's windows in them
 are already known to repeat a smaller one's. A bucket gets at most one document for
 each task and super-k-mer, however many share it. Buckets are several times the
-shuffle partitions and are worked on one at a time.
+shuffle partitions and are worked on one at a time. A bucket of more than ``most`` bytes
+is not solved where it is: its super-k-mers are cut again, by longer minimisers of
+another hash, and go to the buckets of a second round, which are solved whole: only a
+passage of ``k`` - SHORTER words with very many different surroundings fills one.
 
 Defined results: a null or empty text has no words; a document is a doc_id, so equal
 doc_ids never remove each other's words, though each of their rows loses words to
@@ -40,6 +43,10 @@ BUCKETS = 16
 SEND_BYTES = 12 << 20
 #: Super-k-mers that a map task remembers with their smallest doc_id.
 REMEMBERED = 100_000
+#: Bytes of super-k-mers beyond which a bucket is cut again.
+BUCKET_BYTES = 16 << 20
+#: Words by which the minimisers of the second round are shorter than a window.
+SHORTER = 4
 
 
 def joined_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +70,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def super_kmers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and minimiser of each super-k-mer."""
+def super_kmers(w: Words, k: int, m: int, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and minimiser of each super-k-mer, by the first hash or another."""
     at = w.runs(k)
     if not len(at):
         return at, at, np.zeros(0, np.uint64)
     h = w.hashes()
     grams = roll(np.concatenate([h, np.zeros(m, np.uint64)]), np.arange(w.n), m)
-    low = grams
+    low = grams = mix(~grams) if again else grams
     for j in range(1, k - m + 1):
         low = np.minimum(low[: len(low) - 1], grams[j:]) if j == 1 else np.minimum(low[: w.n - j], grams[j:])
     low = low[at]
@@ -154,20 +161,40 @@ def _deal(k: int, m: int, buckets: int):
     return run
 
 
-def match_windows(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarray, ...] | None:
-    """Of one bucket: doc_id, key, start and end of runs of windows that have a smaller
-    doc_id elsewhere, that doc_id for the first window, and a hash of the first window's words."""
-    unpack = zstandard.ZstdDecompressor().decompress
+def _unpacked(places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, key and first word of packed super-k-mers."""
     docs, keys, poss = [], [], []
-    for body in map(unpack, places):
+    for body in map(zstandard.ZstdDecompressor().decompress, places):
         n = len(body) // 16
         docs.append(np.frombuffer(body, np.int64, n))
         keys.append(np.frombuffer(body, np.int32, n, 8 * n))
         poss.append(np.frombuffer(body, np.int32, n, 12 * n))
-    doc, key, pos = np.concatenate(docs), np.concatenate(keys), np.concatenate(poss)
-    data = np.frombuffer(b"".join(map(unpack, strings)), np.uint8)
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(poss)
+
+
+def _words_of(strings: list[bytes]) -> Words:
+    """The words of packed super-k-mers, each of them as a text."""
+    data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, strings)), np.uint8)
     offsets = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
-    w = Words(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)))
+    return Words(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)))
+
+
+def _cut_again(strings: bytes, places: bytes, k: int, m: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """Packed super-k-mers, cut by the minimisers of another hash, as send_strings takes them."""
+    w, (doc, key, pos) = _words_of([strings]), _unpacked([places])
+    first, n, low = super_kmers(w, k, max(m, k - SHORTER), again=True)
+    text, begins = joined_words(w)
+    size = begins[first + n] - begins[first]
+    out = text[ranges(begins[first], size)]
+    out[np.cumsum(size) - 1] = 10
+    owner = w.doc[first]
+    return out, size, (low % np.uint64(buckets)).astype(np.int32), doc[owner], key[owner], (pos[owner] + first - w.first[owner]).astype(np.int32)
+
+
+def match_windows(strings: list[bytes], places: list[bytes], k: int) -> tuple[np.ndarray, ...] | None:
+    """Of one bucket: doc_id, key, start and end of runs of windows that have a smaller
+    doc_id elsewhere, that doc_id for the first window, and a hash of the first window's words."""
+    w, (doc, key, pos) = _words_of(strings), _unpacked(places)
     at = w.runs(k)
     owner = w.doc[at]
     window = roll(mix(w.ids.astype(np.uint64)), at, k)
@@ -200,46 +227,67 @@ def match_windows(strings: list[bytes], places: list[bytes], k: int) -> tuple[np
     return doc[s], key[s].astype(np.int64), start, start + (hit[last] - hit[cut]) + k, source[hit[cut]], roll(w.hashes(), at[hit[cut]], k).view(np.int64)
 
 
-def _solve(k: int):
-    def rows(doc, key, start, end) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in (doc, key, start, end)], ["doc_id", "key", "start", "end"])
+def _solve(k: int, m: int, buckets: int, most: int | None):
+    """Rows of intervals, and the super-k-mers of buckets of more than ``most`` bytes, cut again."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, strings, places = None, [], []
+        now, strings, places, held = None, [], [], 0
+        gathered, waiting = [], 0
 
         def finish() -> Iterator[pa.RecordBatch]:
             if strings and (found := match_windows(strings, places, k)) is not None:
-                yield rows(*found[:4])
+                yield _known(*found[:4], now)
 
         for batch in batches:
             for bucket, s, p in zip(*(batch.column(c).to_pylist() for c in ("bucket", "strings", "places")), strict=True):
                 if not s:
-                    yield rows(*np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.int64).reshape(4, -1))
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "strings": pa.array([s], pa.binary()), "places": pa.array([p], pa.binary())})
                     continue
                 if bucket != now:
                     yield from finish()
-                    now, strings, places = bucket, [], []
+                    now, strings, places, held = bucket, [], [], 0
                 strings.append(s)
                 places.append(p)
+                held += zstandard.frame_content_size(s)
+                if most is None or held <= most:
+                    continue
+                for pair in zip(strings, places, strict=True):  # the rows held so far, from then on each as it comes
+                    gathered.append(_cut_again(*pair, k, m, buckets))
+                    waiting += len(gathered[-1][0])
+                    if waiting > SEND_BYTES:
+                        yield from send_strings(gathered)
+                        gathered, waiting = [], 0
+                strings, places = [], []
         yield from finish()
+        yield from send_strings(gathered)
 
     return run
 
 
-def repeated_intervals(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+@tidy
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for body in map(zstandard.ZstdDecompressor().decompress, batch.column("places").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(body, np.int64).reshape(4, -1)], ["doc_id", "key", "start", "end"])
+
+
+def repeated_intervals(docs: DataFrame, k: int = K, m: int = M, most: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, key (a hash of the text), start and end (words) of runs of windows that
     also start in a document with a smaller doc_id; intervals may overlap."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, packed = BUCKETS * partitions, "bucket int, strings binary, places binary"
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.shiftright(F.xxhash64("text"), 32).alias("key"), "text")
-    dealt = source.mapInArrow(_deal(k, m, BUCKETS * partitions), "bucket int, strings binary, places binary")
-    return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_solve(k), "doc_id long, key long, start long, end long")
+    dealt = lambda rows: rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    first = stored(dealt(source.mapInArrow(_deal(k, m, buckets), packed)).mapInArrow(_solve(k, m, buckets, most), packed), "first-buckets")
+    second = dealt(first.where("octet_length(strings) > 0")).mapInArrow(_solve(k, m, buckets, None), packed)
+    return first.where("octet_length(strings) = 0").unionByName(second).mapInArrow(_intervals, "doc_id long, key long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, k: int = K, m: int = M, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, m: int = M, with_text: bool = False, most: int = BUCKET_BYTES) -> DataFrame:
     """For each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 of the kept
     words joined by one space and, if asked for, kept_text."""
-    spans = stored(repeated_intervals(docs, k, m).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-windows")
+    spans = stored(repeated_intervals(docs, k, m, most).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-windows")
     source = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.shiftright(F.xxhash64("text"), 32))
     joined = with_columns_of(source, spans, "doc_id", "key").select("doc_id", "text", "spans")
 

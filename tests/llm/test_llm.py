@@ -17,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 
 from tallyloom.llm import bpe, decontam, graphs, jaccard, licenses, lines, quality, queries, substrings, suffixes, urlfilter, warc
 from tallyloom.llm.boosting import fit
@@ -305,16 +306,36 @@ def covered(rows, k):
         yield i, w, flag, least
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("most", [substrings.BUCKET_BYTES, 1000, 0])
+def test_substring_dedup(spark, most):
     rows = corpus(11)
-    got = Counter(tuple(r) for r in substrings.remove_repeats(frame(spark, rows), with_text=True).collect())
+    got = Counter(tuple(r) for r in substrings.remove_repeats(frame(spark, rows), with_text=True, most=most).collect())
     want = Counter()
     for i, w, flag, _ in covered(rows, 13):
         kept = " ".join(x for x, f in zip(w, flag, strict=True) if not f)
         want[i, len(w), sum(flag), hashlib.sha256(kept.encode()).hexdigest(), kept] += 1
     assert got == want
     assert sum(1 for r in got if r[2]) > 10
-    assert substrings.remove_repeats(frame(spark, EMPTY)).count() == 0
+    assert substrings.remove_repeats(frame(spark, EMPTY), most=most).count() == 0
+
+
+def test_substring_buckets_are_cut_again():
+    """A frequent minimiser's windows spread over the second round's buckets, equal ones together."""
+    rng = random.Random(5)
+    texts = [" ".join([f"w{rng.randrange(3000)}" for _ in range(10)] + ["a", "b", "c"] + [f"w{rng.randrange(3000)}" for _ in range(10)]) for _ in range(500)]
+    body = zstandard.ZstdCompressor(1).compress("".join(t + "\n" for t in texts).encode())
+    doc = np.arange(500)
+    place = zstandard.ZstdCompressor(1).compress(doc.tobytes() + np.zeros(500, np.int32).tobytes() + np.full(500, 7, np.int32).tobytes())
+    out, size, bucket, docs, _, pos = substrings._cut_again(body, place, 13, 3, 64)
+    assert np.bincount(bucket, minlength=64).max() < 0.1 * len(bucket)
+    pieces = out.tobytes().decode().split("\n")[:-1]
+    assert [len(p) + 1 for p in pieces] == size.tolist()
+    seen = Counter()
+    for piece, d, p in zip(pieces, docs.tolist(), pos.tolist(), strict=True):
+        w = texts[d].split()
+        assert piece.split() == w[p - 7 : p - 7 + len(piece.split())]
+        seen.update((d, p + i) for i in range(len(piece.split()) - 12))
+    assert len(seen) == 500 * 11 and set(seen.values()) == {1}
 
 
 def test_suffix_dedup(spark):
