@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, licenses, lines, quality, substrings, suffixes, urlfilter, warc
+from . import bpe, collocations, decontam, jaccard, licenses, lines, lloyd, quality, substrings, suffixes, topk, urlfilter, warc
 from .shared import bounded_batches
 
 
@@ -60,6 +61,18 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), longest=5, least=100, first=2000)
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"), k=40, size=64, rounds=5, seed="2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc_zip": op2_warc_zip,
@@ -71,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
+    "op12_topk_search": op12_topk_search,
+    "op13_lloyd": op13_lloyd,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -82,6 +98,41 @@ _WINDOWS = """
     gone as (select distinct r, unnest(range(i, i + {k})) as p from hit)"""
 
 
+#: Phrases by their words, cuts by joins with the counts of their parts.
+_COLLOCATIONS = r"""
+    with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    lists as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+    totals as (select lang, sum(len(ws))::bigint as n from lists group by lang),
+    starts as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from lists),
+    grams as (select lang, array_to_string(ws[i:i + k - 1], ' ') as s from starts, range(1, 6) t(k) where i + k - 1 <= len(ws)),
+    freq as materialized (select lang, string_split(s, ' ') as p, count(*) as a from grams group by lang, s having count(*) >= 100),
+    cuts as (select f.lang, f.p, f.a, k, l.a as l, r.a as r, n, cast((1000::hugeint * f.a * n) // (l.a::hugeint * r.a) as bigint) as score from freq f join totals using (lang), range(1, 5) t(k)
+        join freq l on l.lang = f.lang and l.p = f.p[1:k] join freq r on r.lang = f.lang and r.p = f.p[k + 1:] where k < len(f.p)),
+    best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+    inner_parts as (select lang, p[:-2] as p, a from freq where len(p) > 2 union all select lang, p[2:] as p, a from freq where len(p) > 2),
+    left_over as (select lang, array_to_string(p, ' ') as phrase, a, l, r, n, score from best anti join inner_parts using (lang, p, a))
+    select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from left_over) x where rank <= 2000"""
+
+
+def _lloyd_sql(k: int = 40, size: int = 64, rounds: int = 5) -> str:
+    """The rounds one after another, a component a row."""
+    near = """a{i} as materialized (select r, arg_min(cluster, (d, cluster)) as cluster, min(d) as distance from
+            (select v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x))::bigint as d from parts v join c{i} c using (place) group by v.r, c.cluster) x group by r)"""
+    steps = [near.format(i=0)]
+    for i in range(1, rounds + 1):
+        steps.append(f"""m{i} as (select cluster, place, sum(x)::bigint as s, count(*) as n from a{i - 1} join parts using (r) group by cluster, place),
+            c{i} as materialized (select c.cluster, c.place, case when n is null then c.x else (s - (((s % n) + n) % n)) // n end as x from c{i - 1} c left join m{i} using (cluster, place))""")
+        steps.append(near.format(i=i))
+    return f"""
+        with v as (select row_number() over () as r, vec_id, embedding from embeddings where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        parts as materialized (select r, place, cast(floor(256 * cast(embedding[place] as double)) as bigint) as x from v, range(1, {size + 1}) t(place)),
+        c0 as materialized (select cluster, place, x from (select r, row_number() over (order by sha256('2:' || vec_id)) - 1 as cluster from v where vec_id is not null qualify cluster < {k}) f join parts using (r)),
+        {", ".join(steps)},
+        digest as (select cluster, sha256(string_agg(x::varchar, ',' order by place)) as centroid_sha256 from c{rounds} group by cluster)
+        select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, centroid_sha256
+        from a{rounds} join v using (r) join digest using (cluster)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": _WINDOWS.format(words=_WORDS.format(t="coalesce(text, '')"), k=13) + """,
         kept as (select r, string_agg(x, ' ' order by p) as t from (select r, unnest(ws) as x, generate_subscripts(ws, 1) as p from docs) w anti join gone using (r, p) group by r),
@@ -117,4 +168,12 @@ ORACLE_SQL: dict[str, str] = {
         best as (select r, arg_max(x.host || x.path, length(x.host) * 100000 + length(x.host || x.path)) as rule, arg_max(verdict, length(x.host) * 100000 + length(x.host || x.path)) as verdict
                 from p join rules x on (p.host = x.host or ends_with(p.host, '.' || x.host)) and starts_with(p.path, x.path) group by r)
         select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (r)""",
+    "op11_collocations": _COLLOCATIONS,
+    "op12_topk_search": """
+        with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        pairs as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
+            from v q, v c where q.vec_id % 50 = 0 and q.r <> c.r)
+        select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id nulls last) as rank from pairs) x where rank <= 5""",
+    "op13_lloyd": _lloyd_sql(),
 }
