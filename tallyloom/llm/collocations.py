@@ -49,26 +49,30 @@ _WORD = np.array([b not in BREAKS + b" \t" for b in range(256)])
 _BREAK = np.array([b in BREAKS for b in range(256)])
 
 
-@tidy
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, n of a task's words."""
-    counts: dict[str, Counter] = {}
-
-    def send() -> Iterator[pa.RecordBatch]:
-        for lang, words in counts.items():
-            names, n = list(words), list(words.values())
-            for i in range(0, len(names), 1 << 16):
-                part = pa.array(names[i : i + (1 << 16)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + (1 << 16)], pa.int64())], ["lang", "word", "n"])
-        counts.clear()
+def _count_words(most: int):
+    """lang, word, n of a task's words; what it holds goes out beyond ``most`` words."""
 
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
-            if text.is_valid:
-                counts.setdefault(lang, Counter()).update(text.as_py().translate(_LOWER).split())
-        if sum(map(len, counts.values())) > HELD:
-            yield from send()
-    yield from send()
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for lang, words in counts.items():
+                names, n = list(words), list(words.values())
+                for i in range(0, len(names), 1 << 16):
+                    part = pa.array(names[i : i + (1 << 16)], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + (1 << 16)], pa.int64())], ["lang", "word", "n"])
+            counts.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+                if text.is_valid:
+                    counts.setdefault(lang, Counter()).update(text.as_py().translate(_LOWER).split())
+            if sum(map(len, counts.values())) > most:
+                yield from send()
+        yield from send()
+
+    return run
 
 
 def _word_key(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
@@ -129,7 +133,7 @@ def _pair_keys(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, known
 
 
-def _pairs(least: int):
+def _pairs(least: int, most: int):
     """key and its count in a task, capped: what the sum of all tasks' says about ``least`` is exact."""
 
     @tidy
@@ -152,10 +156,10 @@ def _pairs(least: int):
             keys, known = _pair_keys(_stream(batch.column("slots"))[0])
             held.append(np.unique(keys[known], return_counts=True))
             size += len(held[-1][0])
-            if size > 2 * HELD:
+            if size > 2 * most:
                 held[:] = [merged()]
                 size = len(held[0][0])
-                if size > HELD:
+                if size > most:
                     yield from send(*held.pop())
                     size = 0
         if held:
@@ -220,9 +224,9 @@ class Index:
         return slots
 
 
-def _resolve(slots, level: int, total: int, counted: bool, keep: list[str]):
+def _resolve(slots, level: int, total: int, counted: bool, keep: list[str], size: int):
     """Streams with the slots of a round's keys filled in, and in the last round the
-    counts of a task's slots in blocks. ``keep``: what later rounds need."""
+    counts of a task's slots in blocks of ``size``. ``keep``: what later rounds need."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,30 +254,37 @@ def _resolve(slots, level: int, total: int, counted: bool, keep: list[str]):
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], stream, none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary())], names)
         part = TaskContext.get().partitionId()
-        for block in range(0, len(counts), BLOCK):
-            mine = counts[block : block + BLOCK]
+        for block in range(0, len(counts), size):
+            mine = counts[block : block + size]
             if mine.any():
                 body = zstandard.ZstdCompressor(1).compress(mine.tobytes())
                 kinds = {"text": pa.string(), "lang": pa.string(), "before": pa.binary()}
-                yield pa.RecordBatch.from_arrays([*[none(1, kinds[c]) for c in keep], none(1, pa.binary()), pa.array([part], pa.int32()), pa.array([block // BLOCK], pa.int32()), pa.array([body], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[none(1, kinds[c]) for c in keep], none(1, pa.binary()), pa.array([part], pa.int32()), pa.array([block // size], pa.int32()), pa.array([body], pa.binary())], names)
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
+def _summed(fan_in: int):
     """The sum of some tasks' counts of a block."""
-    total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int64) for x in table.column("counts"))
-    body = zstandard.ZstdCompressor(1).compress(total.tobytes())
-    return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([body], pa.binary())})
 
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int64) for x in table.column("counts"))
+        body = zstandard.ZstdCompressor(1).compress(total.tobytes())
+        return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // fan_in], pa.int32()), "counts": pa.array([body], pa.binary())})
 
-@tidy
-def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, body in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.int64)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at + block * BLOCK), pa.array(counts[at])], ["slot", "a"])
+    return run
+
+
+def _by_slot(size: int):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.int64)
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(at + block * size), pa.array(counts[at])], ["slot", "a"])
+
+    return run
 
 
 def _tree_sum(blocks: DataFrame) -> DataFrame:
@@ -281,10 +292,10 @@ def _tree_sum(blocks: DataFrame) -> DataFrame:
     rows = blocks.select("block", "part", "counts")
     last = blocks.agg(F.max("part")).first()[0] or 0
     while True:
-        rows = rows.groupBy("block", F.expr(f"part div {FAN_IN}").alias("up")).applyInArrow(_summed, "block int, part int, counts binary")
+        rows = rows.groupBy("block", F.expr(f"part div {FAN_IN}").alias("up")).applyInArrow(_summed(FAN_IN), "block int, part int, counts binary")
         last //= FAN_IN
         if not last:
-            return rows.mapInArrow(_by_slot, "slot long, a long")
+            return rows.mapInArrow(_by_slot(BLOCK), "slot long, a long")
 
 
 def _streams(rows: DataFrame, index: Index, level: int, last: bool) -> DataFrame:
@@ -294,7 +305,7 @@ def _streams(rows: DataFrame, index: Index, level: int, last: bool) -> DataFrame
         final = i == len(index.rounds) - 1
         keep = [] if final else need
         kinds = {"lang": "lang string", "text": "text string", "before": "before binary"}
-        run = _resolve(index.lookup(index.sent(shards)), level, index.total, final, keep)
+        run = _resolve(index.lookup(index.sent(shards)), level, index.total, final, keep, BLOCK)
         out = rows.mapInArrow(run, ", ".join([*[kinds[c] for c in keep], "slots binary, part int, block int, counts binary"]))
         rows = stored(out.where("block is not null") if final and last else out, f"phrases-{level}")
     return rows
@@ -320,7 +331,7 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFr
     a, pre and suf (counts of its prefixes and suffixes by length, itself last), inside (whether a phrase
     of one word more that holds it occurs as often). Totals: lang and n, the number of its words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = stored(texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = stored(texts.mapInArrow(_count_words(HELD), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     known = stored(words.where(F.col("n") >= least).select("lang", "word").mapInArrow(_keyed_words, "lang string, word string, key long"), "words")
     index, levels = Index(known), []
@@ -329,7 +340,7 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFr
     one = F.array("a")
     level = stored(_slotted(known, index).join(counts, "slot").select("slot", "lang", F.array("word").alias("words"), "a", one.alias("pre"), one.alias("suf"), *[F.lit(None).cast("long").alias(c) for c in ("head", "tail", "head_a", "tail_a")]), "level-1")
     for k in range(2, longest + 1):
-        pairs = streams.where("block is null").select("slots").mapInArrow(_pairs(least), "key long, n int")
+        pairs = streams.where("block is null").select("slots").mapInArrow(_pairs(least, HELD), "key long, n int")
         keys = stored(pairs.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), f"keys-{k}")
         index = Index(keys)
         if not index.total:

@@ -92,7 +92,7 @@ class Shard:
         return self.columns
 
 
-def search(shard: Shard, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(shard: Shard, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, place in the shard, score) of all that reach a query's ``floor`` (its k-th best
     score so far, -inf without one) or, without a floor, its k best here and their ties."""
     width = min(queries.shape[1], len(shard.low))
@@ -113,7 +113,7 @@ def search(shard: Shard, queries: np.ndarray, own: np.ndarray, floor: np.ndarray
         alive = scores >= (floor - rest[:, essential])[:, None]
         if alive.mean() < 0.1:
             break
-        more = order[essential : essential + CHUNK]
+        more = order[essential : essential + chunk]
         scores += weights[:, more] @ columns[more]
         essential, alive = essential + len(more), None
     is_own = own[:, None] == shard.rows[None, :] if np.isin(own, shard.rows).any() else None
@@ -131,7 +131,7 @@ def search(shard: Shard, queries: np.ndarray, own: np.ndarray, floor: np.ndarray
     at, place = np.nonzero(alive)
     got = scores[at, place]
     while essential < width:
-        more = order[essential : essential + CHUNK]
+        more = order[essential : essential + chunk]
         got = got + np.einsum("ij,ji->i", weights[at][:, more], columns[more][:, place])
         essential += len(more)
         still = got >= floor[at] - rest[at, essential]
@@ -149,10 +149,11 @@ class Best:
         self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
         self.floor = np.full(len(ids), -np.inf)
 
-    def meet(self, shard: Shard) -> None:
+    def meet(self, shard: Shard, batch: int, chunk: int) -> None:
         found = [(self.query, self.id, self.score)]
-        for a in range(0, len(self.ids), BATCH):
-            at, place, score = search(shard, self.vectors[a : a + BATCH], self.rows[a : a + BATCH], self.floor[a : a + BATCH], self.k)
+        for a in range(0, len(self.ids), batch):
+            some = slice(a, a + batch)
+            at, place, score = search(shard, self.vectors[some], self.rows[some], self.floor[some], self.k, chunk)
             found.append((at + a, shard.ids[place], score))
         query, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((ids, -score, query))
@@ -165,7 +166,7 @@ class Best:
         self.floor[full] = self.score[last]
 
 
-def _searched(k: int):
+def _searched(k: int, batch: int, chunk: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, Best] = {}
@@ -176,7 +177,7 @@ def _searched(k: int):
             key = row["q_rows"]
             if key not in best:
                 best[key] = Best(*_unpacked(row, "q_"), k)
-            best[key].meet(shard)
+            best[key].meet(shard, batch, chunk)
         for b in best.values():
             columns = [b.rows[b.query], b.ids[b.query], b.id, b.score]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_row", "query_id", "vec_id", "score"])
@@ -192,7 +193,7 @@ def nearest(frame: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     queries = stored(rows.where("asks and vec_id is not null").select("vec_id", "row", "x").mapInArrow(_packer(QUERIES), _PACKED), "queries")
     named = lambda t, p: t.select(*[F.col(c).alias(p + c) for c in t.columns])
     pairs = named(shards, "s_").crossJoin(named(queries, "q_"))  # a row for each pair of packed blocks, not of vectors
-    found = pairs.mapInArrow(_searched(k), "query_row long, query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(_searched(k, BATCH, CHUNK), "query_row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(np.iinfo(np.int64).max)).alias("vec_id"), "score")
