@@ -18,8 +18,8 @@ select event_id as pos, 'u' || cast(user_id as {string}) as session, case when e
     case user_id % 5 when 0 then '/home/u/proj-worktrees/w1' when 1 then '/home/A/b/worktrees/c' when 2 then '/u/me/site/' when 3 then 'x' end as cwd,
     case k % 5 when 0 then 'fix/issue-1' when 1 then 'main' when 2 then 'Weird/x' when 3 then '' end as branch, 'v' || cast(k % 3 as {string}) as version,
     case when event_type = 'error' and k % 2 = 0 then 'rate_limit' when event_type = 'error' then 'overloaded' end as error_kind, case when event_type = 'error' then 400 + k end as api_error_status,
-    k % 4 <> 0 as is_text, case k % 6 when 0 then 'why does it break' when 1 then 'Actually, wait' when 2 then 'plain words here' when 3 then '  ' when 4 then 'a Traceback: no' else 'éerror' end as said,
-    case when k % 8 = 0 then 'tool_result' else 'text' end as kind,
+    k % 4 <> 0 as is_text, case when k % 30 = 5 then '[Request interrupted by user]' else case k % 6 when 0 then 'why does it break' when 1 then 'Actually, wait' when 2 then 'plain words here' when 3 then '  ' when 4 then 'a Traceback: no' else 'éerror' end end as said,
+    case when k % 8 = 0 then 'tool_result' else 'text' end as kind, k % 16 = 0 as failed,
     case when event_type = 'click' then null when k % 7 = 0 then 'Bash' when k % 7 = 1 then 'Bash' when k % 7 = 2 then 'Edit' when k % 7 = 3 then 'Task' when k % 7 = 4 then 'WebFetch' when k % 7 = 5 then 'Read' end as tool_a,
     case k % 7 when 0 then 'command' when 1 then 'command' when 2 then 'file_path' when 4 then 'url' when 5 then 'path' else 'prompt' end as key_a,
     case k % 7 when 0 then 'pytest -q' when 1 then ' /usr/bin/git status' when 2 then 'src/auth/f' || cast(k as {string}) || '.py' when 4 then 'https://h' || cast(k as {string}) || '.example.com/x?y' when 5 then 'Client/a.tar.gz' else 'x' end as given_a,
@@ -37,8 +37,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = """select event_id, user_id, event_type, value, date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") as ts, cast(get_json_object(props, '$.k') as bigint) as k from {events}"""
     base = spark.sql(_BASE.format(string="string", source=source.format(events="{events}")), events=events)
-    tool = "named_struct('type', 'tool_use', 'text', cast(null as string), 'name', tool_{x}, 'input', to_json(map(key_{x}, given_{x})))"
-    blocks = f"filter(array(if(not is_text, named_struct('type', kind, 'text', said, 'name', cast(null as string), 'input', cast(null as string)), null), if(tool_a is not null, {tool.format(x='a')}, null), if(tool_b is not null, {tool.format(x='b')}, null)), b -> b is not null)"
+    tool = "named_struct('type', 'tool_use', 'text', cast(null as string), 'name', tool_{x}, 'input', to_json(map(key_{x}, given_{x})), 'is_error', cast(null as boolean))"
+    blocks = f"filter(array(if(not is_text, named_struct('type', kind, 'text', said, 'name', cast(null as string), 'input', cast(null as string), 'is_error', failed), null), if(tool_a is not null, {tool.format(x='a')}, null), if(tool_b is not null, {tool.format(x='b')}, null)), b -> b is not null)"
     keep = "pos session type ts message_id request_id model input_tokens output_tokens cache_write_tokens cache_read_tokens skill sidechain meta cwd branch version error_kind api_error_status is_text".split()
     return base.selectExpr(*keep, "if(is_text, said, null) as text", f"{blocks} as blocks")
 
@@ -54,5 +54,37 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(floor(l_quantity + 1e-6) as bigint) as input_tokens", "cast(floor(l_extendedprice + 1e-6) as bigint) as output_tokens", "cast(floor(l_discount * 100 + 1e-6) as bigint) as cache_write_tokens", "cast(floor(l_tax * 100 + 1e-6) as bigint) as cache_read_tokens",
         "case when l_returnflag = 'A' then case when l_linestatus = 'F' then 'release-prod' else 'fix-issue' end end as skill", "l_partkey % 7 = 0 as sidechain", "false as meta",
         "cast(null as string) as cwd", "cast(null as string) as branch", "cast(null as string) as version", "cast(null as string) as error_kind", "cast(null as bigint) as api_error_status", "true as is_text", "cast(null as string) as text",
-        "cast(null as array<struct<type: string, text: string, name: string, input: string>>) as blocks",
+        "cast(null as array<struct<type: string, text: string, name: string, input: string, is_error: boolean>>) as blocks",
     )
+
+
+_SOURCES = """
+select 't' || cast(event_id as {string}) as transcript_id, 'm' || cast(event_id as {string}) as metric_id, 'u' || cast(user_id as {string}) as session, 'x' || cast(event_id as {string}) as uuid,
+    ts as transcript_ts, {shifted} as metric_ts, k, k % 11 <> 0 as in_transcript, k % 7 <> 0 as in_metrics, k % 3 = 0 as named,
+    cast(floor(value * 10) as bigint) as input_tokens, cast(floor(value * 3) as bigint) as output_tokens, cast(k * 7 as bigint) as cache_write_tokens, cast(k * 11 as bigint) as cache_read_tokens
+from ({source}) e where event_type <> 'click'
+"""
+_SIDES = (
+    "select transcript_id as id, session, case when named then uuid end as uuid, {time} as ts, input_tokens, output_tokens, cache_write_tokens, cache_read_tokens from {rows} where in_transcript",
+    "select metric_id as id, session, uuid, {time} as ts, input_tokens + case when k % 17 = 0 then 5 else 0 end as input_tokens, output_tokens, cache_write_tokens, cache_read_tokens from {rows} where in_metrics",
+)
+
+_DUCKDB_TIME = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
+_DUCKDB_EVENTS = "select event_id, user_id, event_type, value, ts, cast(json_extract_string(props, '$.k') as bigint) as k from events"
+
+#: DuckDB: common table expressions ``transcripts`` and ``metrics``.
+DUCKDB_SOURCES = ", ".join((
+    "sources as (" + _SOURCES.format(string="varchar", shifted="ts + to_microseconds(cast((k % 5 - 2) * 1300000 as bigint))", source=_DUCKDB_EVENTS) + ")",
+    "transcripts as (" + _SIDES[0].format(rows="sources", time=_DUCKDB_TIME.format(c="transcript_ts")) + ")",
+    "metrics as (" + _SIDES[1].format(rows="sources", time=_DUCKDB_TIME.format(c="metric_ts")) + ")",
+))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events that are no clicks as records of two sources: each lacks some, two of three transcripts have no
+    uuid, and the metrics' clock is off by up to 2.6 s."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = "select event_id, user_id, event_type, value, ts, cast(get_json_object(props, '$.k') as bigint) as k from {events}"
+    rows = spark.sql(_SOURCES.format(string="string", shifted="timestampadd(microsecond, cast((k % 5 - 2) * 1300000 as int), ts)", source=source.format(events="{events}")), events=events)
+    time = lambda c: f"""date_format({c}, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")"""
+    return tuple(spark.sql(side.format(rows="{rows}", time=time(c)), rows=rows) for side, c in zip(_SIDES, ("transcript_ts", "metric_ts"), strict=True))

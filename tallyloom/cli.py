@@ -1,4 +1,4 @@
-"""Command line: version, status, backfill, run and verify over a store folder."""
+"""Command line over a store folder: version, status, backfill, normalize, classify, run, follow, verify, views."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 
 from .constants import ACTIVITY_BY_SKILL
 from .plans import checks, views
-from .plans.ledger import Ledger, derive
+from .plans.ledger import Derivation, Reclassified, derive
 from .sources import store as stores
 from .sources import transcripts
+from .streaming import spool
 from .tables import stored
 
 VERSION = "0.1.0"
@@ -26,11 +27,22 @@ def activity_map(config: str | None) -> dict[str, str]:
     return tomllib.loads(Path(config).read_text()).get("ai_activity", {}).get("by_anchor_skill", {})
 
 
-def ledger(spark: SparkSession, store: str, config: str | None = None, ran_at: str = "") -> Ledger:
+def _hold(frame):
+    return stored(frame, "ledger")
+
+
+def ledger(spark: SparkSession, store: str, config: str | None = None, ran_at: str = "", outcomes: bool = False) -> Derivation:
+    """Everything from the raw table."""
     raw = transcripts.load_store(spark, f"{store}/raw_event")
     if raw is None:
         raise FileNotFoundError(f"nothing is stored in {store}; run backfill first")
-    return derive(transcripts.records(raw), raw, activities=activity_map(config), ran_at=ran_at, parse_failures=transcripts.parse_failures(raw), hold=lambda frame: stored(frame, "ledger"))
+    return derive(transcripts.records(raw), raw, activities=activity_map(config), ran_at=ran_at, parse_failures=transcripts.parse_failures(raw), hold=_hold, outcomes=outcomes)
+
+
+def classified(spark: SparkSession, store: str, config: str | None = None, outcomes: bool = False) -> Reclassified:
+    """Classification and verdicts anew from the stored calls, units and tools."""
+    tables = load(spark, store)
+    return Reclassified(tables, transcripts.records(tables.raw_event), activities=activity_map(config), hold=_hold, outcomes=outcomes)
 
 
 save, load = stores.save, stores.load
@@ -38,9 +50,10 @@ save, load = stores.save, stores.load
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None, echo=print) -> int:
     parser = argparse.ArgumentParser(prog="tallyloom")
-    parser.add_argument("command", choices=["version", "status", "backfill", "normalize", "classify", "run", "verify"])
+    parser.add_argument("command", choices=["version", "status", "backfill", "normalize", "classify", "run", "follow", "verify", "views"])
     for option in ("--projects", "--store", "--config", "--repo"):
         parser.add_argument(option)
+    parser.add_argument("--outcomes", action="store_true", help="let outcome signals make verdicts Underprovisioned")
     given = parser.parse_args(args)
     if given.command == "version":
         echo(VERSION)
@@ -50,8 +63,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, echo=
     if given.command in ("backfill", "run"):
         stores.migrate(spark, given.store, now)
         echo(transcripts.backfill(spark, given.projects, f"{given.store}/raw_event", now))
-    if given.command in ("normalize", "classify", "run"):
-        save(ledger(spark, given.store, given.config, now), given.store)
+    if given.command in ("normalize", "run"):
+        save(ledger(spark, given.store, given.config, now, given.outcomes), given.store)
+    if given.command == "classify":
+        stores.reclassify(classified(spark, given.store, given.config, given.outcomes), given.store, now)
+    if given.command == "follow":
+        spool.follow(spark, given.projects, given.store, f"{given.store}/checkpoint", activity_map(given.config)).awaitTermination()
+    if given.command == "views":
+        for name, (title, text) in views.ABOUT.items():
+            echo(f"{name}: {title}. {text}")
     if given.command in ("status", "run"):
         tables = load(spark, given.store)
         for name, table in tables.tables().items():

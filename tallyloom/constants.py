@@ -1,5 +1,8 @@
 """Fixed values of the ledger's rules."""
 
+import tomllib
+from pathlib import Path
+
 # These decide results and must not be tuned.
 TIERS = ("small", "mid", "frontier")
 TIER_MATRIX = {
@@ -9,19 +12,23 @@ TIER_MATRIX = {
     ("Reasoning", "Low"): "small", ("Reasoning", "Medium"): "small", ("Reasoning", "High"): "frontier",
 }
 KNOWN_VERBS = (
-    "pytest git npm npx uv pip python python3 ruff make docker kubectl helm terraform gh cargo go node yarn pnpm bash sh sed awk grep rg find cat ls "
-    "mkdir mv cp rm curl jq datasette"
-).split()
+    "pytest", "git", "npm", "npx", "uv", "pip", "python", "python3", "ruff", "make", "docker", "kubectl", "helm", "terraform", "gh", "cargo", "go",
+    "node", "yarn", "pnpm", "bash", "sh", "sed", "awk", "grep", "rg", "find", "cat", "ls", "mkdir", "mv", "cp", "rm", "curl", "jq", "datasette",
+)
 SAFE_DIRS = (
-    "src tests test lib app docs doc scripts bin migrations config public static assets components services models views utils api web server client "
-    "ci cd workflows terraform k8s helm charts auth secrets payments billing deploy release infra build node_modules vendor .github .ssh dist hooks "
-    "collect normalize enrich analyses fixtures"
-).split()
+    "src", "tests", "test", "lib", "app", "docs", "doc", "scripts", "bin", "migrations", "config", "public", "static", "assets", "components",
+    "services", "models", "views", "utils", "api", "web", "server", "client", "ci", "cd", "workflows", "terraform", "k8s", "helm", "charts", "auth",
+    "secrets", "payments", "billing", "deploy", "release", "infra", "build", "node_modules", "vendor", ".github", ".ssh", "dist", "hooks", "collect",
+    "normalize", "enrich", "analyses", "fixtures",
+)
 BRANCH_KINDS = (
-    "feature feat fix bugfix hotfix chore docs doc refactor test tests perf security ci build style release revert experiment spike main master "
-    "develop dev staging production head"
-).split()
-HIGH_STAKES_SEGMENTS = "deploy release terraform kubectl helm argocd migrations secrets auth payments billing dockerfile workflows ci cd infra k8s charts".split()
+    "feature", "feat", "fix", "bugfix", "hotfix", "chore", "docs", "doc", "refactor", "test", "tests", "perf", "security", "ci", "build", "style",
+    "release", "revert", "experiment", "spike", "main", "master", "develop", "dev", "staging", "production", "head",
+)
+HIGH_STAKES_SEGMENTS = (
+    "deploy", "release", "terraform", "kubectl", "helm", "argocd", "migrations", "secrets", "auth", "payments", "billing", "dockerfile", "workflows",
+    "ci", "cd", "infra", "k8s", "charts",
+)
 HIGH_STAKES_SUFFIXES = (".tf", ".plist")
 DEBUG_LANGUAGE = (
     r"\b(?:bug|broken|fail(?:s|ed|ing|ure)?|error|traceback|exception|crash(?:ed|ing)?|regress(?:ion)?|root cause|reproduce|debug(?:ging)?|"
@@ -35,18 +42,18 @@ LANGUAGE_SHARE_THRESHOLD = 0.25
 MIN_DISTINCT_FILES, MIN_TURNS, MIN_TEST_RUNS = 5, 40, 2
 TEST_VERBS = ("pytest", "test", "jest", "vitest", "go", "cargo", "npm")
 SUBAGENT_TOOLS = ("Task", "Agent")
+#: How a user's interruption begins in a transcript.
+INTERRUPTED = "[Request interrupted by user"
+HANDS = ("Edit", "Write", "Bash")
 EDIT_TOOLS = ("Edit", "Write", "NotebookEdit")
 WEB_TOOLS = ("WebFetch", "WebSearch")
 ACTIVITIES = (
-    "debugging feature-development testing refactoring code-review architecture-design security-review incident-response data-analysis "
-    "pipeline-analysis automation documentation dependency-management product-planning requirements-gathering roadmap-planning onboarding research other"
-).split()
-ACTIVITY_BY_SKILL = {
-    "release-prod": "automation", "hg-ops-deploy-pr": "automation", "loop": "automation", "schedule": "automation", "fix-issue": "feature-development",
-    "create-pr": "code-review", "code-review": "code-review", "security-review": "security-review", "jira-to-github-issue": "requirements-gathering",
-    "token-accounting": "data-analysis", "claude-api": "research", "init": "onboarding", "humanizer": "documentation", "newsletter": "documentation",
-    "artifact-design": "feature-development", "design": "architecture-design", "dataviz": "data-analysis", "simplify": "refactoring",
-}
+    "debugging", "feature-development", "testing", "refactoring", "code-review", "architecture-design", "security-review", "incident-response",
+    "data-analysis", "pipeline-analysis", "automation", "documentation", "dependency-management", "product-planning", "requirements-gathering",
+    "roadmap-planning", "onboarding", "research", "other",
+)
+#: The default configuration's map of skills to activities.
+ACTIVITY_BY_SKILL: dict[str, str] = tomllib.loads(Path(__file__).with_name("activities.toml").read_text())["ai_activity"]["by_anchor_skill"]
 ARC_RULE, PROMPT_RULE, CLASSIFIER_VERSION, RULES_VERSION = "u10-next-anchor-v1", "prompt-unit-v1", "provisional-rules-v1", "provisional-rules-v1"
 POOL = "anthropic-seat"
 #: pattern, tier, billable, US cents per million tokens: in, out, cache write, cache read

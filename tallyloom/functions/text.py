@@ -17,7 +17,7 @@ def command_verb(command: Column) -> Column:
     """The base name of a command's first word if it is a known verb, else ``other``; empty without a word."""
     word = F.regexp_extract(F.coalesce(command, F.lit("")), r"(?U)^\s*(\S+)", 1)
     base = F.element_at(F.split(word, "/"), -1)
-    return F.when(word == "", "").when(base.isin(KNOWN_VERBS), base).otherwise("other")
+    return F.when(word == "", "").when(base.isin(*KNOWN_VERBS), base).otherwise("other")
 
 
 def _parts(path: Column) -> Column:
@@ -32,7 +32,7 @@ def path_class(path: Column) -> Column:
     suffix = F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
     leaf = F.concat(F.when(stem != "", opaque(stem)).otherwise(""), suffix)
-    kept = F.when(F.lower(parent).isin(SAFE_DIRS), parent).otherwise(opaque(parent))
+    kept = F.when(F.lower(parent).isin(*SAFE_DIRS), parent).otherwise(opaque(parent))
     return F.when(F.coalesce(path, F.lit("")) == "", "").when(parent != "", F.concat(kept, F.lit("/"), leaf)).otherwise(leaf)
 
 
@@ -54,7 +54,7 @@ def target(tool: Column, given: Column) -> Column:
 def branch_kind(branch: Column) -> Column:
     """The conventional head of a branch name, else ``other``; null for none."""
     head = F.lower(F.split(F.trim(branch), "/")[0])
-    return F.when(F.coalesce(branch, F.lit("")) == "", F.lit(None).cast("string")).when(head.isin(BRANCH_KINDS), head).otherwise("other")
+    return F.when(F.coalesce(branch, F.lit("")) == "", F.lit(None).cast("string")).when(head.isin(*BRANCH_KINDS), head).otherwise("other")
 
 
 def repo_of(cwd: Column) -> Column:

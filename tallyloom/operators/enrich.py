@@ -27,22 +27,22 @@ def tool_counts(calls: DataFrame, *keys: str) -> DataFrame:
         count(F.col("tool_name").isin(*C.SUBAGENT_TOOLS), "subagent_calls"), count(F.col("target").isin(*C.TEST_VERBS), "test_runs"),
         F.count_distinct(F.when(path, F.col("target"))).alias("distinct_files"),
         F.count_distinct(F.when(path & ~F.col("tool_name").isin(*C.WEB_TOOLS), F.col("target"))).alias("signal_files"),
-        F.collect_set("tool_name").alias("tool_names"), F.collect_set("target").alias("targets"),
+        F.coalesce(F.bool_or(F.col("tool_name").isin(*C.HANDS)), F.lit(False)).alias("hands"), F.coalesce(F.bool_or(risky_target(F.col("target"))), F.lit(False)).alias("risky"),
     )
 
 
-def high_stakes(skill: Column, targets: Column) -> Column:
-    """Whether a target's suffix or path segment, or a part of the skill's name, marks risk."""
-    risky = F.array(*[F.lit(x) for x in C.HIGH_STAKES_SEGMENTS])
+def risky_target(target: Column) -> Column:
+    """Whether a target's suffix or path segment marks risk."""
+    risky, low = F.array(*[F.lit(x) for x in C.HIGH_STAKES_SEGMENTS]), F.lower(target)
+    segments = F.split(low, "/")
+    bare = F.transform(segments, lambda s: F.regexp_replace(s, r"\.[^.]*$", ""))
+    return F.endswith(low, F.lit(C.HIGH_STAKES_SUFFIXES[0])) | F.endswith(low, F.lit(C.HIGH_STAKES_SUFFIXES[1])) | F.arrays_overlap(segments, risky) | F.arrays_overlap(bare, risky)
 
-    def target(t: Column) -> Column:
-        low = F.lower(t)
-        segments = F.split(low, "/")
-        bare = F.transform(segments, lambda s: F.regexp_replace(s, r"\.[^.]*$", ""))
-        return F.endswith(low, F.lit(C.HIGH_STAKES_SUFFIXES[0])) | F.endswith(low, F.lit(C.HIGH_STAKES_SUFFIXES[1])) | F.arrays_overlap(segments, risky) | F.arrays_overlap(bare, risky)
 
-    named = F.arrays_overlap(F.split(F.regexp_replace(F.lower(F.coalesce(skill, F.lit(""))), "_", "-"), "-"), risky)
-    return F.coalesce(F.exists(targets, target), F.lit(False)) | named
+def risky_name(skill: Column) -> Column:
+    """Whether a part of a skill's name marks risk."""
+    parts = F.split(F.regexp_replace(F.lower(F.coalesce(skill, F.lit(""))), "_", "-"), "-")
+    return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in C.HIGH_STAKES_SEGMENTS]))
 
 
 def prompt_scores(units: DataFrame, calls: DataFrame) -> DataFrame:
@@ -63,18 +63,17 @@ def best_prompts(work: DataFrame, scored: DataFrame) -> DataFrame:
 
 def classified(work: DataFrame, best: DataFrame, calls: DataFrame, activities: dict[str, str]) -> DataFrame:
     """A classification for each work unit; without a prompt it is Unscored, never 0."""
-    counted = tool_counts(calls.where("work_unit_id is not null"), "work_unit_id").select(F.col("work_unit_id").alias("id"), "tool_names", "targets")
+    counted = tool_counts(calls.where("work_unit_id is not null"), "work_unit_id").select(F.col("work_unit_id").alias("id"), "hands", "risky")
     known = F.create_map(*[F.lit(x) for k, v in activities.items() if v in C.ACTIVITIES for x in (k, v)]) if activities else F.create_map().cast("map<string,string>")
     rows = work.join(best, "id", "left").join(counted, "id", "left")
     scored = F.col("score").isNotNull()
-    hands = F.arrays_overlap("tool_names", F.array(F.lit("Edit"), F.lit("Write"), F.lit("Bash")))
-    kind = F.when(~scored | F.col("anchor_skill").isNotNull() | F.coalesce(hands, F.lit(False)), "Agentic").otherwise("Retrieval")
+    kind = F.when(~scored | F.col("anchor_skill").isNotNull() | F.coalesce("hands", F.lit(False)), "Agentic").otherwise("Retrieval")
     rule = '{"ai_activity": "rule", "work_type": "rule", "task_complexity": "rule", "stakes": "rule"}'
     return rows.select(
         F.col("id").alias("unit_id"), F.lit("work_unit").alias("unit_grain"), F.lit(C.CLASSIFIER_VERSION).alias("classifier_version"),
         F.coalesce(F.when(F.col("anchor_skill").isNotNull(), known[F.col("anchor_skill")]), F.lit("other")).alias("ai_activity"), kind.alias("work_type"),
         F.when(scored, complexity(F.col("score"))).otherwise("Unscored").alias("task_complexity"),
-        F.when(scored & high_stakes(F.col("anchor_skill"), F.col("targets")), "high").otherwise("routine").alias("stakes"),
+        F.when(scored & (F.coalesce("risky", F.lit(False)) | risky_name(F.col("anchor_skill"))), "high").otherwise("routine").alias("stakes"),
         F.col("score").cast("int").alias("complexity_score"), json_list(F.coalesce("fired", F.array().cast("array<string>"))).alias("signals"),
         F.when(scored, 0.5).otherwise(0.0).alias("confidence"), F.when(scored, rule).otherwise('{"task_complexity": "unscored"}').alias("provenance"), "prompt_units",
     )
@@ -113,11 +112,18 @@ def decide(complexity_: Column, stakes: Column, delta: Column, under: Column) ->
     )
 
 
-def verdicts(classes: DataFrame, votes: DataFrame) -> DataFrame:
-    """A verdict for each scored work unit and pool that has a billable call."""
+def verdicts(classes: DataFrame, votes: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """A verdict for each scored work unit and pool that has a billable call. With outcome
+    signals two of them say Underprovisioned, and the evidence names them; without, no unit can be
+    Underprovisioned, and the evidence says so."""
     rows = classes.where("task_complexity <> 'Unscored'").join(votes, F.col("unit_id") == F.col("work_unit_id")).withColumn("expected_tier", expected_tier(F.col("work_type"), F.col("task_complexity"), F.col("stakes")))
     rows = rows.withColumn("tier_delta", ordinal(F.col("used_tier")) - ordinal(F.col("expected_tier")))
-    said = decide(F.col("task_complexity"), F.col("stakes"), F.col("tier_delta"), F.lit(0))
-    # no outcome signals reach the verdict, so Underprovisioned can't be; the evidence says it
-    evidence = F.format_string('{"signals": %s, "score": %d, "prompt_units": %d, "underprovisioned_unreachable": true}', "signals", "complexity_score", "prompt_units")
+    if outcomes is None:
+        under, last = F.lit(0), F.lit('"underprovisioned_unreachable": true')
+    else:
+        rows = rows.join(outcomes.select("work_unit_id", F.col("fired").alias("outcome")), "work_unit_id", "left")
+        rows = rows.withColumn("outcome", F.coalesce("outcome", F.array().cast("array<string>")))
+        under, last = F.size("outcome"), F.concat(F.lit('"outcome_signals": '), json_list(F.col("outcome")))
+    said = decide(F.col("task_complexity"), F.col("stakes"), F.col("tier_delta"), under)
+    evidence = F.format_string('{"signals": %s, "score": %d, "prompt_units": %d, %s}', "signals", "complexity_score", "prompt_units", last)
     return rows.select("work_unit_id", F.lit(C.RULES_VERSION).alias("rules_version"), "allowance_pool", said.alias("justification"), "expected_tier", "used_tier", "max_tier", "tier_delta", evidence.alias("evidence"))

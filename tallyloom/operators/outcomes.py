@@ -1,10 +1,22 @@
-"""Reports beyond the shipped views: cache use, cohorts, limit episodes. Not part of any verdict."""
+"""Outcome signals of work units, and reports beyond the shipped views: cache use, cohorts, limit episodes."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..functions.text import record_text, self_correction
+from .enrich import ordinal
+from .prompts import as_of, boundaries
+
+#: Files edited so often are thrashed; corrections that count; prompts back that a prompt is compared with; percent of words that make it a restatement.
+THRASH, CORRECTIONS, PROMPTS_BACK, ALIKE = 4, 2, 5, 80
+#: Accuracy of the cohorts' quantile sketches: a rank is off by one in so many at most.
+ACCURACY = 10_000
+
 
 def cache_efficiency(calls: DataFrame) -> DataFrame:
     """For each pool and model: tokens by class and how many of a thousand prompt tokens came from the cache."""
@@ -27,3 +39,62 @@ def limit_episodes(calls: DataFrame, quiet_minutes: int = 60) -> DataFrame:
     new = F.coalesce(F.col("at") - F.lag("at").over(order) > quiet_minutes * 60_000_000, F.lit(True))
     marked = hits.withColumn("new", new.cast("int")).withColumn("episode", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("allowance_pool", "session", "episode").agg(F.count("*").alias("hits"), F.min("started_at").alias("first_hit"), F.max("started_at").alias("last_hit"))
+
+
+def user_marks(records: DataFrame, calls: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
+    """For each work unit: failed tool results, interruptions, and the turn after which the last of these came. A
+    user's record belongs to the last turn that is not later."""
+    prose = record_text(F.col("is_text"), F.col("text"), F.col("blocks"))
+    failed = F.coalesce(F.size(F.filter("blocks", lambda b: (b["type"] == "tool_result") & b["is_error"])), F.lit(0))
+    rows = records.where("type = 'user' and session is not null and session <> ''").select("session", "ts", F.greatest(failed, F.lit(0)).alias("errors"), F.startswith(prose, F.lit(C.INTERRUPTED)).alias("interrupted"))
+    rows = hold(rows)
+    placed = as_of(rows.where("errors > 0 or interrupted"), calls.select("session", "ts"), "idx").where("idx is not null").join(calls.select("session", "idx", "work_unit_id"), ["session", "idx"])
+    return placed.groupBy("work_unit_id").agg(F.sum("errors").alias("tool_errors"), F.count_if("interrupted").alias("user_interrupted"), F.max(F.when(F.col("interrupted"), F.col("idx"))).alias("interrupted_at"))
+
+
+def escalations(calls: DataFrame) -> DataFrame:
+    """How often a work unit's billable calls, without sidechains, went on with a higher tier."""
+    known = calls.where(F.col("billable") & ~F.col("sidechain") & F.col("model_tier").isin(*C.TIERS)).select("work_unit_id", "idx", ordinal(F.col("model_tier")).alias("rank"))
+    before = F.lag("rank").over(Window.partitionBy("work_unit_id").orderBy("idx"))
+    return known.withColumn("up", F.col("rank") > before).groupBy("work_unit_id").agg(F.count_if("up").alias("model_escalated"))
+
+
+def restatements(records: DataFrame, prompts: DataFrame, back: int = PROMPTS_BACK, alike: int = ALIKE, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
+    """For each work unit: prompts that correct, and prompts that repeat one of the ``back`` prompts before them
+    (``alike`` percent of the distinct words of both together). Prompts meet by blocks of
+    ``back`` ordinals of a session, so a prompt meets a bounded number of others however long a session is."""
+    said = boundaries(records, said=True).withColumn("id", F.concat_ws(":", "session", F.lit("prompt"), "prompt")).join(prompts.select("id", "work_unit_id"), "id")
+    words = F.array_distinct(F.filter(F.split(F.lower("said"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    rows = hold(said.select("work_unit_id", "prompt", "said")).select("work_unit_id", "prompt", self_correction(F.col("said")).alias("corrects"), F.when(~F.startswith("said", F.lit(C.INTERRUPTED)), words).alias("words"))
+    spoken = rows.where(F.size("words") > 0)
+    block = F.expr(f"prompt div {back}")
+    earlier = spoken.select("work_unit_id", F.col("prompt").alias("other"), F.col("words").alias("others"), F.explode(F.array(block, block + 1)).alias("block"))
+    met = spoken.withColumn("block", block).join(earlier, ["work_unit_id", "block"]).where(f"other < prompt and other >= prompt - {back}")
+    again = met.where(100 * F.size(F.array_intersect("words", "others")) >= alike * F.size(F.array_union("words", "others"))).select("work_unit_id", "prompt").distinct().withColumn("again", F.lit(True))
+    return rows.join(again, ["work_unit_id", "prompt"], "left").groupBy("work_unit_id").agg(F.count_if("corrects").alias("corrective_turns"), F.count_if("again").alias("prompt_restated"))
+
+
+def signals(records: DataFrame, calls: DataFrame, work: DataFrame, prompts: DataFrame, tools: DataFrame, classes: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
+    """A row for each work unit: what it took, the thresholds of its cohort (activity, work type) and the signals that
+    ``fired``, in their fixed order. Thresholds are 75th percentiles by mergeable sketches: exact for cohorts
+    of up to ACCURACY units, one rank in ACCURACY off beyond. No tool call: no error rate."""
+    owned = tools.where("work_unit_id is not null")
+    edits = owned.where(F.col("tool_name").isin(*C.EDIT_TOOLS) & (F.col("target") != "")).groupBy("work_unit_id", "target").count().groupBy("work_unit_id").agg(F.max("count").alias("edit_thrash"))
+    done = F.col("tool_name").isin(*C.EDIT_TOOLS) | ((F.col("tool_name") == "Bash") & (F.col("target") == "git"))
+    used = owned.groupBy("work_unit_id").agg(F.count("*").alias("tool_calls"), F.bool_or(done).alias("completed"))
+    rows = work.select(F.col("id").alias("work_unit_id"), "turns", "end_turn").join(classes.where("unit_grain = 'work_unit'").select(F.col("unit_id").alias("work_unit_id"), "ai_activity", "work_type"), "work_unit_id")
+    for more in (used, edits, user_marks(records, calls, hold), escalations(calls), restatements(records, prompts, hold=hold)):
+        rows = rows.join(more, "work_unit_id", "left")
+    counts = ("tool_calls", "tool_errors", "edit_thrash", "user_interrupted", "model_escalated", "corrective_turns", "prompt_restated")
+    rows = rows.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "completed": F.coalesce("completed", F.lit(False))})
+    rows = rows.withColumn("tool_error_ppm", F.expr("(1000000 * tool_errors) div nullif(tool_calls, 0)"))
+    rows = hold(rows)  # for the thresholds and for the signals
+    p75 = lambda c: F.percentile_approx(c, 0.75, ACCURACY).alias(f"p75_{c}")
+    cohorts = rows.groupBy("ai_activity", "work_type").agg(p75("turns"), p75("tool_error_ppm"))
+    rows = rows.join(F.broadcast(cohorts), ["ai_activity", "work_type"])  # a row for each fixed activity and work type
+    fired = [
+        F.when(2 * F.col("turns") > 3 * F.col("p75_turns"), "turn_excess"), F.when(F.col("tool_error_ppm") > F.col("p75_tool_error_ppm"), "tool_error_rate"), F.when(F.col("edit_thrash") >= THRASH, "edit_thrash"),
+        F.when(F.col("model_escalated") > 0, "model_escalated"), F.when(F.col("corrective_turns") >= CORRECTIONS, "corrective_turns"), F.when(F.col("prompt_restated") > 0, "prompt_restated"),
+        F.when((F.col("interrupted_at") == F.col("end_turn")) & ~F.col("completed"), "abandoned"),
+    ]
+    return rows.withColumn("fired", F.filter(F.array(*fired), lambda x: x.isNotNull())).select("work_unit_id", "ai_activity", "work_type", "turns", *counts, "tool_error_ppm", "completed", "p75_turns", "p75_tool_error_ppm", "fired")

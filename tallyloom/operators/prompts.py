@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import debug_language, record_text, self_correction
 
 
-def boundaries(records: DataFrame) -> DataFrame:
+def boundaries(records: DataFrame, said: bool = False) -> DataFrame:
     """session, ts and ordinal of each prompt: a user record, neither meta nor sidechain,
-    of non-blank text or of text or image blocks without a tool result."""
+    of non-blank text or of text or image blocks without a tool result. With its prose, if asked for."""
     kinds = F.transform("blocks", lambda b: b["type"])
     listed = F.arrays_overlap(kinds, F.array(F.lit("text"), F.lit("image"))) & ~F.array_contains(kinds, "tool_result")
     spoken = F.when(F.col("is_text"), F.col("text").rlike(r"(?U)\S")).otherwise(listed)
     rows = records.where("type = 'user' and session is not null and session <> ''").where(~F.coalesce("meta", F.lit(False)) & ~F.coalesce("sidechain", F.lit(False)) & F.coalesce(spoken, F.lit(False)))
     order = Window.partitionBy("session").orderBy(F.coalesce("ts", F.lit("")), "pos")
-    return rows.select("session", F.coalesce("ts", F.lit("")).alias("ts"), "pos").withColumn("prompt", F.row_number().over(order) - 1).drop("pos")
+    prose = [record_text(F.col("is_text"), F.col("text"), F.col("blocks")).alias("said")] if said else []
+    return rows.select("session", F.coalesce("ts", F.lit("")).alias("ts"), "pos", *prose).withColumn("prompt", F.row_number().over(order) - 1).drop("pos")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, name: str) -> DataFrame:

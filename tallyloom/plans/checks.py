@@ -78,7 +78,8 @@ def run_checks(t: Ledger, assistant_records: int, reference: Reference | None =
         out.append(_skipped(name))
     overlaps, orphans = overlapping_turns(t).count(), t.api_call.where("work_unit_id is null").count()
     out += [_asserted("turns in several arcs", overlaps == 0, "0", str(overlaps)), _asserted("orphaned calls", orphans == 0, "0", str(orphans))]
-    mine = F.lower("project_family").contains(repo.lower()) if repo else None
+    pattern = "%" + repo.lower().replace("\\", "\\\\") + "%" if repo else ""  # % and _ in it stand for any text, any character
+    mine = F.lower("project_family").like(pattern) if repo else None
     if reference and repo:
         n, (low, high) = t.prompt_unit.where(mine).count(), reference.prompt_unit_band
         out.append(_asserted("prompt units", low <= n <= high, f"{low}-{high}", str(n)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,31 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.pricing import priced, registry
 from ..functions.text import branch_kind, project_family, repo_of, usd
-from ..operators import enrich
+from ..operators import enrich, outcomes
 from ..operators.prompts import as_of, boundaries, language
 from ..operators.tools import tool_calls
 from ..operators.turns import deduplicated, sequenced, with_arcs
 
 
+class Tables:
+    """What has a ledger's tables as attributes."""
+
+    def names(self) -> tuple[str, ...]:
+        return NAMES
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.names()}
+
+    def register(self) -> None:
+        """Temporary views of the tables' names."""
+        for name, table in self.tables().items():
+            table.createOrReplaceTempView(name)
+
+
 @dataclass
-class Ledger:
+class Ledger(Tables):
+    """Tables that are there already."""
+
     raw_event: DataFrame
     normalize_run: DataFrame
     model_registry: DataFrame
@@ -29,13 +47,8 @@ class Ledger:
     classification: DataFrame
     verdict: DataFrame
 
-    def tables(self) -> dict[str, DataFrame]:
-        return dict(self.__dict__)
 
-    def register(self) -> None:
-        """Temporary views of the tables' names."""
-        for name, table in self.tables().items():
-            table.createOrReplaceTempView(name)
+NAMES = tuple(Ledger.__dataclass_fields__)
 
 
 def unit_id(session, arc):
@@ -90,27 +103,93 @@ def owned_tools(records: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def derive(records: DataFrame, raw_event: DataFrame | None = None, rates: DataFrame | None = None, activities: dict[str, str] | None = None, ran_at: str = "", parse_failures: int = 0, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> Ledger:
-    """The whole ledger. ``hold`` gets the tables that several others are made of, to
-    keep them between uses (DataFrame.persist). Everything is recomputed from the records; a session's windows
-    are partitioned by session, deduplication by message and request."""
-    spark = records.sparkSession
-    rates = registry(spark) if rates is None else rates
-    marks = boundaries(records)
-    calls = hold(calls_of(records, rates, marks))
-    work, prompts = work_units(calls), hold(prompt_units(calls, language(records, marks)))
-    tools = hold(owned_tools(records, calls))
-    scored = enrich.prompt_scores(prompts, tools)
-    classes = hold(enrich.classified(work, enrich.best_prompts(work, scored), tools, C.ACTIVITY_BY_SKILL if activities is None else activities))
-    judged = enrich.verdicts(classes, enrich.tier_votes(calls))
-    calls = calls.select("id", "session", "message_id", "request_id", "work_unit_id", "prompt_unit_id", F.col("idx").alias("turn_index"), F.col("ts").alias("started_at"), "model", "model_tier", "allowance_pool", "billable", "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", F.col("sidechain").alias("is_sidechain"), "skill", "error_kind", "api_error_status", F.col("version").alias("cc_version"), "value_e8", "notional_list_value_usd")
-    raw_event = records.select(F.col("session").alias("session_id"), F.lit(None).cast("string").alias("ingested_at")) if raw_event is None else raw_event
-    count = lambda frame, **more: frame.agg(*[x.alias(k) for k, x in more.items()])
-    run = (
-        count(records, raw_events=F.count("*")).crossJoin(count(calls, api_calls=F.count("*"), unknown_models=F.count_if(F.col("model_tier") == "unknown")))
-        .crossJoin(count(work, work_units=F.count("*"))).crossJoin(count(prompts, prompt_units=F.count("*")))
-        .crossJoin(count(classes, unscored_arcs=F.count_if(F.col("task_complexity") == "Unscored"))).crossJoin(count(judged, verdicts=F.count("*")))
-        .crossJoin(count(scored, score_zero=F.count_if(F.col("score") == 0)))
-        .withColumns({"ran_at": F.lit(ran_at), "parse_failures": F.lit(parse_failures).cast("long")})
-    )
-    return Ledger(raw_event, run, rates, calls, work, prompts, tools, classes.drop("prompt_units").unionByName(enrich.classified_prompts(scored)), judged)
+_API_CALL = """id session message_id request_id work_unit_id prompt_unit_id turn_index started_at model model_tier allowance_pool billable input_tokens output_tokens
+    cache_write_tokens cache_read_tokens is_sidechain skill error_kind api_error_status cc_version value_e8 notional_list_value_usd""".split()
+
+
+class Derivation(Tables):
+    """The ledger of some records. Each table is derived when it is first asked for, from the records
+    and the tables it is made of; nothing outlives the object. A session's windows are partitioned by
+    session, deduplication by message and request.
+
+    ``hold`` gets the tables that several others are made of, to keep them between uses
+    (tables.stored, DataFrame.persist). With ``outcomes`` there is a table outcome_signal, and two
+    of its signals make a verdict Underprovisioned."""
+
+    def __init__(self, records: DataFrame, raw_event: DataFrame | None = None, rates: DataFrame | None = None, activities: dict[str, str] | None = None, ran_at: str = "", parse_failures: int = 0, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame, outcomes: bool = False):
+        self.records, self.hold, self.outcomes, self.ran_at, self.parse_failures = records, hold, outcomes, ran_at, parse_failures
+        self.model_registry = registry(records.sparkSession) if rates is None else rates
+        self.activities = C.ACTIVITY_BY_SKILL if activities is None else activities
+        self.raw_event = records.select(F.col("session").alias("session_id"), F.lit(None).cast("string").alias("ingested_at")) if raw_event is None else raw_event
+
+    def names(self) -> tuple[str, ...]:
+        return (*NAMES, "outcome_signal") if self.outcomes else NAMES
+
+    @cached_property
+    def _marks(self) -> DataFrame:
+        return boundaries(self.records)
+
+    @cached_property
+    def _calls(self) -> DataFrame:
+        return self.hold(calls_of(self.records, self.model_registry, self._marks))
+
+    @cached_property
+    def api_call(self) -> DataFrame:
+        renamed = {"turn_index": F.col("idx"), "started_at": F.col("ts"), "is_sidechain": F.col("sidechain"), "cc_version": F.col("version")}
+        return self._calls.withColumns(renamed).select(*_API_CALL)
+
+    @cached_property
+    def work_unit(self) -> DataFrame:
+        return work_units(self._calls)
+
+    @cached_property
+    def prompt_unit(self) -> DataFrame:
+        return self.hold(prompt_units(self._calls, language(self.records, self._marks)))
+
+    @cached_property
+    def tool_call(self) -> DataFrame:
+        return self.hold(owned_tools(self.records, self._calls))
+
+    @cached_property
+    def _scored(self) -> DataFrame:
+        return enrich.prompt_scores(self.prompt_unit, self.tool_call)
+
+    @cached_property
+    def _classes(self) -> DataFrame:
+        return self.hold(enrich.classified(self.work_unit, enrich.best_prompts(self.work_unit, self._scored), self.tool_call, self.activities))
+
+    @cached_property
+    def classification(self) -> DataFrame:
+        return self._classes.drop("prompt_units").unionByName(enrich.classified_prompts(self._scored))
+
+    @cached_property
+    def outcome_signal(self) -> DataFrame:
+        return self.hold(outcomes.signals(self.records, self._calls, self.work_unit, self.prompt_unit, self.tool_call, self._classes, self.hold))
+
+    @cached_property
+    def verdict(self) -> DataFrame:
+        return enrich.verdicts(self._classes, enrich.tier_votes(self._calls), self.outcome_signal if self.outcomes else None)
+
+    @cached_property
+    def normalize_run(self) -> DataFrame:
+        """One row of counts."""
+        count = lambda frame, **more: frame.agg(*[x.alias(k) for k, x in more.items()])
+        return (
+            count(self.records, raw_events=F.count("*")).crossJoin(count(self._calls, api_calls=F.count("*"), unknown_models=F.count_if(F.col("model_tier") == "unknown")))
+            .crossJoin(count(self.work_unit, work_units=F.count("*"))).crossJoin(count(self.prompt_unit, prompt_units=F.count("*")))
+            .crossJoin(count(self._classes, unscored_arcs=F.count_if(F.col("task_complexity") == "Unscored"))).crossJoin(count(self.verdict, verdicts=F.count("*")))
+            .crossJoin(count(self._scored, score_zero=F.count_if(F.col("score") == 0)))
+            .withColumns({"ran_at": F.lit(self.ran_at), "parse_failures": F.lit(self.parse_failures).cast("long")})
+        )
+
+
+class Reclassified(Derivation):
+    """A ledger whose calls, units and tools are there already: only what a classification makes of them is derived."""
+
+    def __init__(self, tables: Tables, records: DataFrame, **more):
+        super().__init__(records, tables.raw_event, tables.model_registry, **more)
+        self.api_call, self.work_unit, self.prompt_unit, self.tool_call = tables.api_call, tables.work_unit, tables.prompt_unit, tables.tool_call
+        self._calls = tables.api_call.withColumnsRenamed({"turn_index": "idx", "started_at": "ts", "is_sidechain": "sidechain", "cc_version": "version"})
+
+
+derive = Derivation

@@ -165,6 +165,32 @@ VIEWS: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {
 }
 
 
+#: view name -> (title, what it shows and how to read it)
+ABOUT: dict[str, tuple[str, str]] = {
+    "v_summary": ("Value by activity and pool", "A row for each activity of a pool. Pools are ceilings of their own and are never added up; what is over-provisioned is an upper bound, as the cheaper tier may need more tokens"),
+    "v_verdict_readable": ("Verdicts in words", "What a unit did, why its verdict follows from the rule, and what its score is made of. Without outcome signals no unit can be Underprovisioned"),
+    "v_work_unit_summary": ("Work units in a line each", "Span, turns, tools, most used verbs, files, subagents and limits. No prompt, file name or command is kept"),
+    "v_caveats": ("What the figures don't show", "Known gaps. To be read before any other view"),
+    "v_work_unit_ledger": ("Work units with their verdicts", "Activity, complexity, signals, tiers and value of each unit, by pool"),
+    "v_work_unit_shape": ("Shape of work units", "Counts of tools, files, models, sidechains and limits of each unit"),
+    "v_work_unit_verbs": ("Most used verbs", "Up to three command verbs of each unit, most used first, by name on ties"),
+    "v_activity_ledger": ("Value by activity, work type and verdict", "A unit of several pools is judged in each of them once"),
+    "v_activity_other_share": ("Share of unnamed activity", "How much of a pool's value no skill names; above a tenth the map of skills needs work"),
+    "v_work_type_distribution": ("Work types and where they come from", "Rules name two of the four types only"),
+    "v_unattributable": ("Work before a session's first anchor", "Turns that belong to no arc, with their value"),
+    "v_routine_ledger": ("Routines", "Runs, value and mean value of each anchoring skill"),
+    "v_prompt_unit_value": ("Prompts by value", "Turns, calls and value of each prompt, by pool"),
+    "v_data_quality": ("Quality of the data", "Counts of records, calls and units, and of what could not be parsed, priced or scored in the last run"),
+    "v_unscored_arcs": ("Arcs without a score", "No prompt covers them; they have no verdict"),
+}
+
+
+def catalogue(t: Ledger) -> DataFrame:
+    """name, title, description, sort_desc and columns of each view."""
+    rows = [(name, *ABOUT[name], by, view(t).columns) for name, (view, by) in VIEWS.items()]
+    return t.work_unit.sparkSession.createDataFrame(rows, "name string, title string, description string, sort_desc string, columns array<string>")
+
+
 def register(t: Ledger) -> None:
     """Tables and views as temporary views for SQL."""
     t.register()

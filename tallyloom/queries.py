@@ -11,8 +11,8 @@ from . import adapters
 from . import constants as C
 from .functions import text
 from .functions.pricing import priced, registry, resolve
-from .operators import enrich, outcomes, prompts, turns
-from .oracle import _MATRIX, _RATES, branch_kind, command_verb, over_events, over_usage, path_class, vocabulary, web_host
+from .operators import allowance, enrich, outcomes, prompts, reconcile, turns
+from .oracle import _FIRED, _MATRIX, _RATES, branch_kind, command_verb, over_allowance, over_events, over_outcomes, over_sources, over_usage, path_class, vocabulary, web_host
 from .plans import checks, ledger, views
 from .tables import stored
 
@@ -40,18 +40,10 @@ def _usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.work_units(calls)
 
 
-#: The ledger last derived, by application and folder.
-_DERIVED: dict[tuple[str, str], ledger.Ledger] = {}
-
-
-def _ledger(spark: SparkSession, sf_dir: str) -> ledger.Ledger:
-    """The ledger of a folder's events. Calls, tools and classes are stored once in the shared
-    folder; the other tables and all views are made of these."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _DERIVED:
-        _DERIVED.clear()
-        _DERIVED[key] = ledger.derive(adapters.records(spark, sf_dir), hold=lambda frame: stored(frame, "ledger"))
-    return _DERIVED[key]
+def _ledger(spark: SparkSession, sf_dir: str, **more) -> ledger.Derivation:
+    """The ledger of a folder's events, derived anew as far as a query asks for it. What several of its
+    tables are made of is stored once in the shared folder."""
+    return ledger.derive(adapters.records(spark, sf_dir), hold=lambda frame: stored(frame, "ledger"), **more)
 
 
 def _over_ledger(make: Callable[[ledger.Ledger], DataFrame]) -> Query:
@@ -252,6 +244,51 @@ _add(
                 (select allowance_pool, session, started_at, epoch_us(cast(replace(started_at, 'Z', '') as timestamp)) as us from api_call where error_kind = 'rate_limit') h) n) e group by 1, 2, 3"""),
 )
 
+# --- outcome signals, allowances, reconciliation ---------------------------------------
+
+_LIST = """'[' || array_to_string(list_transform(fired, lambda x: '"' || x || '"'), ', ') || ']'"""
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger(spark, sf_dir).outcome_signal.withColumn("fired", text.json_list(F.col("fired")))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger(spark, sf_dir, outcomes=True).verdict.select(F.col("work_unit_id").alias("id"), *_VERDICT)
+
+
+_add("outcome_signals", _outcomes, over_outcomes(f"select {_FIRED}, {_LIST} as fired from outcome_signal"))
+_SIGNALS = "', \"outcome_signals\": ' || " + _LIST + " || '}'"
+_add(
+    "verdicts_with_outcomes", _judged,
+    over_outcomes(f"""select v.id, allowance_pool, case when len(fired) >= 2 then 'Underprovisioned' else justification end as justification, expected_tier, used_tier, max_tier, tier_delta,
+        replace(evidence, ', "underprovisioned_unreachable": true}}', '') || {_SIGNALS} as evidence from verdict v join outcome_signal o on o.work_unit_id = v.id"""),
+)
+
+
+def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allowance.trailing_use(_ledger(spark, sf_dir).api_call)
+
+
+_add("allowance_windows", lambda s, d: _used(s, d).drop("value_e8"), over_allowance("select id, allowance_pool, limited, \"at\", used_5h_e8, used_week_e8 from in_use"))
+_add("allowance_capacity", lambda s, d: allowance.capacities(_used(s, d)), over_allowance("select * from ceiling"))
+_add("allowance_fitted", lambda s, d: allowance.fitted(_used(s, d)), over_allowance("select id, allowance_pool, \"at\", used_5h_e8, used_week_e8, max(used_5h_e8) over w as capacity_5h_e8, max(used_week_e8) over w as capacity_week_e8 from in_use where limited window w as (partition by allowance_pool order by \"at\", id rows unbounded preceding)"))
+
+
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = stored(_used(spark, sf_dir), "used")
+    return allowance.shares(used, allowance.capacities(used))
+
+
+_WIDE = "(select allowance_pool, max(capacity_e8) filter (where \"window\" = '5h') as c5, max(capacity_e8) filter (where \"window\" = 'week') as cw from ceiling group by 1) c"
+_add("allowance_shares", _shares, over_allowance(f"select id, allowance_pool, \"at\", (1000000 * used_5h_e8) // nullif(c5, 0) as share_5h_ppm, (1000000 * used_week_e8) // nullif(cw, 0) as share_week_ppm from in_use join {_WIDE} using (allowance_pool)"))
+_add("reconciliation", lambda s, d: reconcile.reconciled(*adapters.sources(s, d)), over_sources("select * from reconciled"))
+_TOKENS = "(input_tokens + output_tokens + cache_write_tokens + cache_read_tokens)"
+_add(
+    "reconciliation_coverage", lambda s, d: reconcile.coverage(reconcile.reconciled(*adapters.sources(s, d))),
+    over_sources(f"select *, 100 * delta > 2 * tokens as alarm from (select sources, count(*) as records, sum({_TOKENS})::bigint as tokens, coalesce(sum(abs(reconciliation_delta)), 0)::bigint as delta from reconciled group by 1) x"),
+)
+
 # --- scalar functions ----------------------------------------------------------------
 
 _PATHS = "source || '/' || lang || '/' || cast(doc_id as varchar) || case when doc_id % 3 = 0 then '.tar.gz' when doc_id % 3 = 1 then '.md' else '' end"

@@ -10,14 +10,16 @@ _HEAD = """type string, sessionId string, session_id string, requestId string, t
     isSidechain boolean, isMeta boolean, error string, apiErrorStatus string, message string"""
 _MESSAGE = """id string, model string, content string,
     usage struct<input_tokens: bigint, output_tokens: bigint, cache_creation_input_tokens: bigint, cache_read_input_tokens: bigint>"""
-_BLOCKS = "array<struct<type: string, text: string, name: string, input: string>>"
+_BLOCKS = "array<struct<type: string, text: string, name: string, input: string, is_error: boolean>>"
 
 
-def read_lines(spark: SparkSession, folder: str, ingested_at: str = "", stream: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, folder: str, ingested_at: str = "", stream: bool = False, most_files: int | None = None) -> DataFrame:
     """The non-blank lines of all ``*.jsonl`` files below a folder in RAW_SCHEMA. The hash
     covers session, file name, line number and line, so a grown file adds its tail only
     and equal lines stay apart. Files that vanish are skipped."""
     reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true").option("wholetext", "true")
+    if stream and most_files:
+        reader = reader.option("maxFilesPerTrigger", str(most_files))
     files = reader.schema("value string").format("text").load(folder).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value")
     kept = F.filter(F.transform(F.split("value", r"\r\n|\n|\r", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     lines = files.select("file_path", "file_name", F.posexplode(kept).alias("n", "payload"))

@@ -22,7 +22,11 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read again: its lineage is cut."""
-    path = folder(frame.sparkSession, name)
+    """The frame, written as Parquet in the shared folder and read again: its lineage is cut.
+    The table goes when the application ends."""
+    spark = frame.sparkSession
+    path = folder(spark, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(frame.schema).parquet(path)
