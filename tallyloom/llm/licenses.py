@@ -2,9 +2,9 @@
 
 Texts are lower-cased (A-Z) and reduced to words joined by single spaces. Each
 rule is a regular expression over those words, tried only where its own keyword
-and one of its license's names occur, which every match contains. One condition goes
-beyond the pattern: a bare name without a version number, often a common word (``json``,
-``ruby``), counts only in a text that says ``version``. Detections are word intervals. Of two, one
+and one of its license's names occur, which every match contains. A name alone counts
+only if it holds a version number; others are often common words (``mit`` is German for
+with), so they need the word license or terms beside them. Detections are word intervals. Of two, one
 within the other, the one of lower priority goes, whichever is the longer; of equal
 priority the outer one stays, of equal intervals the first by label. A sweep by (start,
 longest first, priority) keeps those that are still open, so
@@ -111,7 +111,7 @@ WAYS = (
     ("licen", "under(?: the)?(?: terms of the)? {n} licen[cs]e", 5, 0.9),
     ("licen", "licen[cs]e {n}", 3, 0.7),
     ("licen", "{n} licen[cs]e", 2, 0.6),
-    ("version", "{n}", 3, 0.6),  # any keyword where the name holds a version number
+    (" ", "{n}", 3, 0.6),  # only of names that hold a version number
 )
 #: Licenses whose names, as patterns above, hold a version number for certain.
 NUMBERED = frozenset(
@@ -138,6 +138,56 @@ TEXTS = (
     Rule("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: [1-4] [05])?", 5, 0.9),
     Rule("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: [1-4] [05])?", 5, 0.9),
     Rule("cc-by-sa", "cc by sa", "cc by sa(?: [1-4] [05])?", 4, 0.9),
+    Rule("mit", "the software is provided as is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 7, 0.9),
+    Rule("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 8, 1.0),
+    Rule("mit-0", "without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", 5, 0.7),
+    Rule("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice", 7, 0.9),
+    Rule("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice", 7, 0.9),
+    Rule("bsd", "by the copyright holders and contributors", "this software is provided by the copyright holders and contributors as is", 7, 0.9),
+    Rule("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", 8, 1.0),
+    Rule("isc", "provided that the above copyright notice", "with or without fee is hereby granted provided that the above copyright notice", 7, 0.9),
+    Rule("apache-2", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 8, 1.0),
+    Rule("apache-2", "except in compliance with the license", "you may not use this file except in compliance with the license", 7, 0.9),
+    Rule("apache-1.1", "developed by the apache software foundation", "this product includes software developed by the apache software foundation", 8, 1.0),
+    Rule("gpl", "you can redistribute it and or modify", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 8, 1.0),
+    Rule("lgpl", "you can redistribute it and or modify", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", 8, 1.0),
+    Rule("gpl", "received a copy of the gnu general public", "you should have received a copy of the gnu general public license along with this program", 7, 0.9),
+    Rule("lgpl", "received a copy of the gnu lesser", "you should have received a copy of the gnu lesser general public license along with this library", 7, 0.9),
+    Rule("agpl-3", "gnu affero general public license as published", "gnu affero general public license as published by the free software foundation either version 3", 8, 1.0),
+    Rule("gpl", "fitness for a particular purpose see the gnu", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser )?general public license", 7, 0.9),
+    Rule("gpl-2", "version 2 of the license", "general public license as published by the free software foundation either version 2 of the license", 9, 1.0),
+    Rule("gpl-3", "version 3 of the license", "general public license as published by the free software foundation either version 3 of the license", 9, 1.0),
+    Rule("gfdl", "free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 8, 1.0),
+    Rule("mpl-2", "this source code form", "this source code form is subject to the terms of the mozilla public license", 9, 1.0),
+    Rule("mpl-1.1", "mozilla public license version 1 1", "the contents of this file are subject to the mozilla public license version 1 1", 9, 1.0),
+    Rule("epl-1", "eclipse org legal epl v10", "(?:https? )?(?:www )?eclipse org legal epl v10", 8, 1.0),
+    Rule("epl-2", "eclipse org legal epl", "(?:https? )?(?:www )?eclipse org legal epl (?:v20|2 0)", 8, 1.0),
+    Rule("epl-2", "eclipse public license v 2", "made available under the terms of the eclipse public license v 2 0", 8, 1.0),
+    Rule("cddl", "common development and distribution", "subject to the terms of the common development and distribution license", 8, 1.0),
+    Rule("zlib", "origin of this software", "the origin of this software must not be misrepresented", 8, 1.0),
+    Rule("zlib", "altered source versions", "altered source versions must be plainly marked as such", 8, 1.0),
+    Rule("boost", "boost org license 1 0", "(?:https? )?(?:www )?boost org license 1 0", 8, 1.0),
+    Rule("boost", "boost software license", "distributed under the boost software license version 1 0", 8, 1.0),
+    Rule("wtfpl", "what the fuck you want", "do what the fuck you want to public license", 8, 1.0),
+    Rule("unlicense", "anyone is free to copy modify", "anyone is free to copy modify publish use compile sell or distribute this software", 8, 1.0),
+    Rule("cc0", "waived all copyright", "(?:has|have) waived all copyright and related or neighboring rights", 8, 1.0),
+    Rule("cc0", "cc0 1 0 universal", "cc0 1 0 universal", 7, 1.0),
+    Rule("cc-by", "creative commons attribution", "creative commons attribution(?: [1-4] [05])?(?: international)? licen[cs]e", 6, 0.9),
+    Rule("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike(?: [1-4] [05])?(?: international)? licen[cs]e", 7, 0.9),
+    Rule("cc-by-nd", "cc by nd", "cc by nd(?: [1-4] [05])?", 5, 0.9),
+    Rule("ofl-1.1", "sil open font license", "this font software is licensed under the sil open font license version 1 1", 8, 1.0),
+    Rule("ofl-1.1", "scripts sil org ofl", "scripts sil org ofl", 8, 1.0),
+    Rule("python-2", "psf license agreement", "psf license agreement for python", 8, 1.0),
+    Rule("php-3", "php net license 3", "(?:https? )?(?:www )?php net license 3 0(?: ?1)? txt", 8, 1.0),
+    Rule("ms-pl", "microsoft public license", "subject to the microsoft public license", 8, 1.0),
+    Rule("openssl", "openssl toolkit", "developed by the openssl project for use in the openssl toolkit", 8, 1.0),
+    Rule("json", "not evil", "the software shall be used for good not evil", 8, 1.0),
+    Rule("beerware", "buy me a beer", "you can buy me a beer in return", 8, 1.0),
+    Rule("proprietary", "prior written permission", "(?:no part of this|may not be) .{0,60}?(?:reproduced|copied|distributed) .{0,80}?without (?:the )?(?:express )?prior written permission", 5, 0.7),
+    Rule("proprietary", "trade secret", "(?:confidential|proprietary) (?:information )?(?:and|or) trade secrets?", 4, 0.7),
+    Rule("proprietary", "end user license agreement", "end user license agreement", 3, 0.6),
+    Rule("proprietary", "internal use only", "for internal use only", 3, 0.5),
+    Rule("proprietary", "evaluation purposes only", "for evaluation purposes only", 3, 0.5),
     Rule("proprietary", "rights reserved", "all rights reserved", 1, 0.4),
     Rule("proprietary", "confidential", "proprietary and confidential", 4, 0.8),
     Rule("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 1, 0.3),
@@ -146,7 +196,7 @@ TEXTS = (
 
 def rules() -> list[Rule]:
     """The signatures, in order of their priority."""
-    made = [Rule(label, " " if way == "{n}" and label in NUMBERED else key, way.format(n=name, s=spdx), priority, weight, names) for label, name, spdx, names in NAMES for key, way, priority, weight in WAYS]
+    made = [Rule(label, key, way.format(n=name, s=spdx), priority, weight, names) for label, name, spdx, names in NAMES for key, way, priority, weight in WAYS if way != "{n}" or label in NUMBERED]
     return sorted([*made, *TEXTS], key=lambda r: -r.priority)
 
 
