@@ -10,16 +10,20 @@ Most passages are settled by upper bounds alone: the commonest terms are set asi
 as long as together they give no item more than half of the threshold; a passage in
 which the other terms give no item the rest is skipped. The remaining passages go
 through block-max WAND, which returns all items at or above the threshold. An item is
-verified where the passage holds enough of the ``shingle``-word runs of its question
-and of its answer (the text after its last line break, else its last sentence). Of an
-answer of one run or less, that run counts, or else the runs of the whole item that
-reach into it. Words are compared without the marks at their edges, runs by 64-bit hashes.
+verified by aligning it with the passage: of all shifts between the two the one at which
+most of the item's words meet equal words of the passage, ``drift`` places off at most, so changed
+words cost themselves only and inserted ones little. Of the question ``question_overlap`` and of the
+answer (the text after its last line break, else its last sentence) ``answer_overlap`` must
+meet; the answer may stand elsewhere in the passage, then by an alignment of its own, a short one
+(fewer than ``short`` words) without a gap. An item of one part only must meet as a question does, a short item word for
+word. Words are compared by 64-bit hashes, without the marks at their edges.
 
 Items are indexed in shards of bounded bytes, and each shard takes a pass over all
 texts; document frequencies are counted over all items, so shards change no score.
 
-Defined results: null and empty texts have no passage; items that are null or have
-fewer than ``min_item_words`` words are ignored; of equal items each is reported;
+Defined results: null and empty texts have no passage; items that are null or have no word are ignored,
+and so are those of fewer than ``short`` words and ``min_item_chars`` characters, which any text may hold; a
+word of a script without spaces is what stands between two spaces; of equal items each is reported;
 repeated rows are searched alike; an empty item table finds nothing; a null doc_id or
 item_id is carried through; columns other than those named are not read, or carried
 through where documents are returned. Whole texts are searched.
@@ -40,11 +44,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, hash_strings, roll, slices, tidy
+from .text import Words, hash_strings, slices, tidy
 
-THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.8, 0.5
-SHINGLE, MIN_ITEM_WORDS, PASSAGE_WORDS = 5, 5, 128
-K1, B, BLOCK = 1.2, 0.75, 16
+THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.7, 0.5
+SHORT, DRIFT, MIN_ITEM_CHARS, PASSAGE_WORDS = 5, 2, 12, 128
+K1, B, BLOCK, PIECE = 1.2, 0.75, 16, 512
 #: Bytes of item texts in a shard of the index, which goes to every task.
 SHARD_BYTES = 8 << 20
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -83,9 +87,23 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return hash_strings(pa.array(words, pa.large_string())) if words else np.zeros(0, np.uint64)
 
 
-def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of runs of n of these word hashes."""
-    return np.unique(roll(words, np.arange(max(0, len(words) - n + 1)), n)) if n else np.zeros(0, np.uint64)
+def aligned(words: np.ndarray, order: np.ndarray, item: np.ndarray, drift: int) -> np.ndarray:
+    """Which of an item's words meet an equal word of a passage at the shift at which most do, ``drift`` places off at
+    most. ``order`` sorts the passage's ``words``. A long item is aligned in pieces, each at its own shift."""
+    if len(item) > PIECE:
+        return np.concatenate([aligned(words, order, item[k : k + PIECE], drift) for k in range(0, len(item), PIECE)])
+    known = words[order]
+    low, high = np.searchsorted(known, item), np.searchsorted(known, item, "right")
+    n = high - low
+    i = np.repeat(np.arange(len(item)), n)
+    out = np.zeros(len(item), bool)
+    if len(i):
+        shift = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)] - i + len(item)
+        # a word counts once for each shift near to one of its own
+        near = np.unique((i * (1 << 32))[:, None] + shift[:, None] + np.arange(2 * drift + 1)) & ((1 << 32) - 1)
+        best = int(np.argmax(np.bincount(near))) - drift
+        out[i[np.abs(shift - best) <= drift]] = True
+    return out
 
 
 @dataclass
@@ -106,25 +124,23 @@ class Postings:
 
 
 class Index:
-    """A shard of items in flat arrays: ids, hashes of the questions' and answers' shingles,
-    postings by term. About 30 bytes a word of the items, in the driver and in each worker."""
+    """A shard of items in flat arrays: ids, hashes of their words, postings by term. About 25 bytes a word of the
+    items, in the driver and in each worker."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], frequency: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, shingle: int = SHINGLE):
+    def __init__(self, rows: list[tuple[int | None, str]], frequency: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, short: int = SHORT, drift: int = DRIFT):
         self.ids = [i for i, _ in rows]
         self.threshold = threshold
         self.terms: dict[str, int] = {}
         term, item, impact, longest = array("q"), array("q"), array("d"), 0
-        wanted: list[list[np.ndarray]] = [[], [], []]
-        sizes = np.zeros((3, len(rows)), np.int64)
+        self.short, self.drift = short, drift
+        flat: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        self.begin, self.questions = np.zeros(len(rows) + 1, np.int64), np.zeros(len(rows), np.int64)
         for k, (_, text) in enumerate(rows):
+            q, a = question_and_answer(text)
             words = words_of(text)
             longest = max(longest, len(words))
-            q, a = question_and_answer(text)
-            # the runs that reach from the question into an answer too short for several of its own
-            reach = q[max(0, len(q) - shingle + 1) :] + a if q and 0 < len(a) <= shingle else []
-            for kind, part in enumerate((q, a, reach)):
-                sizes[kind, k] = min(shingle, len(part))
-                wanted[kind].append(shingle_hashes(word_hashes(part), int(sizes[kind, k])))
+            flat.append(word_hashes(q + a))
+            self.begin[k + 1], self.questions[k] = self.begin[k] + len(q) + len(a), len(q)
             counts: dict[str, int] = {}
             for w in words:
                 counts[w] = counts.get(w, 0) + 1
@@ -134,9 +150,7 @@ class Index:
                 term.append(self.terms.setdefault(w, len(self.terms)))
                 item.append(k)
                 impact.append(s / whole)
-        self.sizes = sizes
-        self.wanted = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in wanted]
-        self.begins = [np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int64) for x in wanted]
+        self.words = np.concatenate(flat)
         self.passage = max(passage_words, 2 * longest)
         hashes = word_hashes(list(self.terms))
         order = np.argsort(hashes)
@@ -164,14 +178,22 @@ class Index:
         own = slice(self.first[term], self.first[term + 1])
         return Postings(self.flat_items[own].tolist(), self.flat_impacts[own].tolist())
 
-    def overlap(self, kind: int, item: int, have: np.ndarray) -> float:
-        """The part of an item's shingles that is in the sorted hashes ``have``; 1 where it has none."""
-        wanted = self.wanted[kind][self.begins[kind][item] : self.begins[kind][item + 1]]
-        if not len(wanted):
-            return 1.0
-        if not len(have):
-            return 0.0
-        return float((have[np.minimum(np.searchsorted(have, wanted), len(have) - 1)] == wanted).mean())
+    def overlap(self, item: int, words: np.ndarray, order: np.ndarray) -> tuple[float, float]:
+        """The parts of an item's question and answer that meet the passage; a missing question is met by the answer, a
+        missing answer by the question."""
+        mine, n = self.words[self.begin[item] : self.begin[item + 1]], int(self.questions[item])
+        if len(mine) < self.short:
+            met = float(aligned(words, order, mine, 0).all())
+            return met, met
+        met = aligned(words, order, mine, self.drift)
+        if n in (0, len(mine)):
+            return float(met.mean()), 1.0
+        question, answer = float(met[:n].mean()), float(met[n:].mean())
+        if answer < 1:
+            alone = mine[n:]
+            apart = aligned(words, order, alone, 0).all() if len(alone) < self.short else aligned(words, order, alone, self.drift).mean()
+            answer = max(answer, float(apart))
+        return question, answer
 
     def terms_of(self, hashes: np.ndarray) -> np.ndarray:
         """The term of each hash, or -1."""
@@ -278,29 +300,20 @@ class Index:
             if not found:
                 continue
             words = hashes[w.ids[start[p] : end[p]]]
-            have: dict[int, np.ndarray] = {}
-
-            def overlap(kind: int, item: int, words=words, have=have) -> float:
-                n = int(self.sizes[kind, item])
-                if n not in have:
-                    have[n] = shingle_hashes(words, n)
-                return self.overlap(kind, item, have[n])
-
+            order = np.argsort(words, kind="stable")
             for item, score in found:
-                question, answer = overlap(0, item), overlap(1, item)
-                if answer < 1 and self.sizes[2, item]:
-                    answer = max(answer, overlap(2, item))
+                question, answer = self.overlap(item, words, order)
                 if question >= question_overlap and answer >= answer_overlap:
                     key, row = (int(doc[p]), item), (score, question, answer, int(start[p] - w.first[doc[p]]))
                     out[key] = max(out.get(key, row), row)
         return out
 
 
-def shards(items: DataFrame, min_item_words: int = MIN_ITEM_WORDS, shard_bytes: int = SHARD_BYTES, **options) -> Iterator[Index]:
+def shards(items: DataFrame, min_item_chars: int = MIN_ITEM_CHARS, shard_bytes: int = SHARD_BYTES, short: int = SHORT, **options) -> Iterator[Index]:
     """The index of ``items`` (item_id, text), a shard of bounded bytes at a time."""
     split = F.filter(F.split(F.translate("text", UPPER, LOWER), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
     split = F.transform(split, lambda w: F.coalesce(F.nullif(F.btrim(w, F.lit(MARKS)), F.lit("")), w))
-    rows = items.where("text is not null").select("item_id", "text", split.alias("words")).where(F.size("words") >= min_item_words)
+    rows = items.where("text is not null").select("item_id", "text", split.alias("words")).where((F.size("words") >= short) | ((F.size("words") > 0) & (F.char_length(F.btrim("text")) >= min_item_chars)))
     total = rows.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.octet_length("text"))).first()
     if not total[0]:
         return
@@ -312,7 +325,7 @@ def shards(items: DataFrame, min_item_words: int = MIN_ITEM_WORDS, shard_bytes:
         # bounded by shard_bytes
         texts = sorted(((r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         known = {r["word"]: r["count"] for r in frequency.join(mine.select(F.explode("words").alias("word")).distinct(), "word").collect()}
-        yield Index(texts, known, total[0], total[1], **options)
+        yield Index(texts, known, total[0], total[1], short=short, **options)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, question_overlap: float = QUESTION_OVERLAP, answer_overlap: float = ANSWER_OVERLAP, **options) -> DataFrame:
