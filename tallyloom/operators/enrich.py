@@ -53,12 +53,13 @@ def prompt_scores(units: DataFrame, calls: DataFrame) -> DataFrame:
     return units.join(counted, "id", "left").withColumn("fired", fired).select(*units.columns, "fired", F.size("fired").alias("score"))
 
 
-def best_prompts(work: DataFrame, scored: DataFrame) -> DataFrame:
-    """For each work unit the signals of its highest prompt, by overlap of turns (the first on ties), and how many prompts overlap it."""
-    spans = scored.select("session", F.col("start_turn").alias("p_start"), F.col("end_turn").alias("p_end"), "fired", "score")
-    met = work.select("id", "session", "start_turn", "end_turn").join(spans, "session").where("p_start <= end_turn and p_end >= start_turn")
+def best_prompts(calls: DataFrame, scored: DataFrame) -> DataFrame:
+    """For each work unit the signals of its highest prompt that it overlaps (the first on ties), and how many prompts
+    overlap it. Units and prompts are runs of a session's turns, so two overlap where they share a call."""
+    met = calls.where("prompt_unit_id is not null").select("work_unit_id", "prompt_unit_id").distinct()
+    spans = scored.select(F.col("id").alias("prompt_unit_id"), F.col("start_turn").alias("p_start"), "fired", "score")
     best = F.max_by(F.struct("fired", "score"), F.struct("score", (-F.col("p_start")).alias("early"))).alias("best")
-    return met.groupBy("id").agg(best, F.count("*").alias("prompt_units")).select("id", "best.fired", "best.score", "prompt_units")
+    return met.join(spans, "prompt_unit_id").groupBy("work_unit_id").agg(best, F.count("*").alias("prompt_units")).select(F.col("work_unit_id").alias("id"), "best.fired", "best.score", "prompt_units")
 
 
 def classified(work: DataFrame, best: DataFrame, calls: DataFrame, activities: dict[str, str]) -> DataFrame:

@@ -19,10 +19,11 @@ def deduplicated(records: DataFrame) -> DataFrame:
     """One row for each (message_id, request_id) over all sessions: the largest of each
     token count, the first record's fields, any sidechain, the first skill and error
     that are not empty."""
-    first = [F.min_by(c, "pos").alias(c) for c in FIRST_SEEN]
-    present = [F.expr(f"min_by({c}, pos) filter (where {c} is not null and {c} <> '')").alias(c) for c in ("skill", "error_kind")]
-    sums = [F.max(F.coalesce(c, F.lit(0))).alias(c) for c in TOKENS]
-    return records.where("type = 'assistant'").groupBy("message_id", "request_id").agg(F.min("pos").alias("pos"), *first, *present, *sums, F.coalesce(F.bool_or("sidechain"), F.lit(False)).alias("sidechain"))
+    first = F.min(F.struct("pos", *FIRST_SEEN)).alias("first")
+    present = [F.expr(f"min(struct(pos, {c})) filter (where {c} is not null and {c} <> '')").alias(c) for c in ("skill", "error_kind")]
+    most = [F.max(F.coalesce(c, F.lit(0))).alias(c) for c in TOKENS]
+    grouped = records.where("type = 'assistant'").groupBy("message_id", "request_id").agg(first, *present, *most, F.coalesce(F.bool_or("sidechain"), F.lit(False)).alias("sidechain"))
+    return grouped.select("message_id", "request_id", "first.*", F.col("skill.skill").alias("skill"), F.col("error_kind.error_kind").alias("error_kind"), *TOKENS, "sidechain")
 
 
 def sequenced(turns: DataFrame) -> DataFrame:

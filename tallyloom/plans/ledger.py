@@ -156,7 +156,7 @@ class Derivation(Tables):
 
     @cached_property
     def _classes(self) -> DataFrame:
-        return self.hold(enrich.classified(self.work_unit, enrich.best_prompts(self.work_unit, self._scored), self.tool_call, self.activities))
+        return self.hold(enrich.classified(self.work_unit, enrich.best_prompts(self._calls, self._scored), self.tool_call, self.activities))
 
     @cached_property
     def classification(self) -> DataFrame:
