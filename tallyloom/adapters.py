@@ -18,7 +18,7 @@ select event_id as pos, 'u' || cast(user_id as {string}) as session, case when e
     case user_id % 5 when 0 then '/home/u/proj-worktrees/w1' when 1 then '/home/A/b/worktrees/c' when 2 then '/u/me/site/' when 3 then 'x' end as cwd,
     case k % 5 when 0 then 'fix/issue-1' when 1 then 'main' when 2 then 'Weird/x' when 3 then '' end as branch, 'v' || cast(k % 3 as {string}) as version,
     case when event_type = 'error' and k % 2 = 0 then 'rate_limit' when event_type = 'error' then 'overloaded' end as error_kind, case when event_type = 'error' then 400 + k end as api_error_status,
-    k % 4 <> 0 as is_text, case when k % 30 = 5 then '[Request interrupted by user]' else case k % 6 when 0 then 'why does it break' when 1 then 'Actually, wait' when 2 then 'plain words here' when 3 then '  ' when 4 then 'a Traceback: no' else 'éerror' end end as said,
+    k % 4 <> 0 as is_text, case when event_type = 'error' and k % 2 = 0 then 'You' || chr(39) || 've hit your ' || case when k % 3 = 0 then 'weekly limit · resets 5am (UTC)' else 'session limit · resets 11:40pm (America/Los_Angeles)' end when k % 30 = 5 then '[Request interrupted by user]' else case k % 6 when 0 then 'why does it break' when 1 then 'Actually, wait' when 2 then 'plain words here' when 3 then '  ' when 4 then 'a Traceback: no' else 'éerror' end end as said,
     case when k % 8 = 0 then 'tool_result' else 'text' end as kind, k % 16 = 0 as failed,
     case when event_type = 'click' then null when k % 7 = 0 then 'Bash' when k % 7 = 1 then 'Bash' when k % 7 = 2 then 'Edit' when k % 7 = 3 then 'Task' when k % 7 = 4 then 'WebFetch' when k % 7 = 5 then 'Read' end as tool_a,
     case k % 7 when 0 then 'command' when 1 then 'command' when 2 then 'file_path' when 4 then 'url' when 5 then 'path' else 'prompt' end as key_a,
@@ -69,6 +69,14 @@ _SIDES = (
     "select metric_id as id, session, uuid, {time} as ts, input_tokens + case when k % 17 = 0 then 5 else 0 end as input_tokens, output_tokens, cache_write_tokens, cache_read_tokens from {rows} where in_metrics",
 )
 
+_DELEGATED = """
+select 'd' || cast(event_id as {string}) as delegation_id, 'a' || cast(event_id as {string}) as agent_id, case when k % 4 = 0 then 'run' || cast(event_id as {string}) end as run_id, 'u' || cast(user_id as {string}) as cwd,
+    ts as delegated_ts, {shifted} as agent_ts, k % 9 <> 0 as in_sidecar, k % 5 <> 0 as in_log, cast(floor(value * 10) as bigint) as tokens from ({source}) e where event_type = 'purchase'
+"""
+_DELEGATED_SIDES = (
+    "select delegation_id as id, run_id, cwd, {time} as ts, cwd || ':prompt' as parent_prompt_id from {rows} where in_sidecar",
+    "select agent_id as id, run_id, cwd, {time} as ts, tokens from {rows} where in_log",
+)
 _DUCKDB_TIME = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
 _DUCKDB_EVENTS = "select event_id, user_id, event_type, value, ts, cast(json_extract_string(props, '$.k') as bigint) as k from events"
 
@@ -80,11 +88,29 @@ DUCKDB_SOURCES = ", ".join((
 ))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The events that are no clicks as records of two sources: each lacks some, two of three transcripts have no
-    uuid, and the metrics' clock is off by up to 2.6 s."""
+DUCKDB_DELEGATED = ", ".join((
+    "delegated_events as (" + _DELEGATED.format(string="varchar", shifted="ts + to_microseconds(cast((k % 7) * 3000000 as bigint))", source=_DUCKDB_EVENTS) + ")",
+    "delegations as (" + _DELEGATED_SIDES[0].format(rows="delegated_events", time=_DUCKDB_TIME.format(c="delegated_ts")) + ")",
+    "agent_runs as (" + _DELEGATED_SIDES[1].format(rows="delegated_events", time=_DUCKDB_TIME.format(c="agent_ts")) + ")",
+))
+
+
+def _sides(spark: SparkSession, sf_dir: str, query: str, shifted: str, sides: tuple[str, str], times: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = "select event_id, user_id, event_type, value, ts, cast(get_json_object(props, '$.k') as bigint) as k from {events}"
-    rows = spark.sql(_SOURCES.format(string="string", shifted="timestampadd(microsecond, cast((k % 5 - 2) * 1300000 as int), ts)", source=source.format(events="{events}")), events=events)
+    rows = spark.sql(query.format(string="string", shifted=shifted, source=source.format(events="{events}")), events=events)
     time = lambda c: f"""date_format({c}, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")"""
-    return tuple(spark.sql(side.format(rows="{rows}", time=time(c)), rows=rows) for side, c in zip(_SIDES, ("transcript_ts", "metric_ts"), strict=True))
+    one, other = (spark.sql(side.format(rows="{rows}", time=time(c)), rows=rows) for side, c in zip(sides, times, strict=True))
+    return one, other
+
+
+def delegated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Purchases as delegations to other agents (each eighth or so without a log) and as these agents' logs, which begin up to
+    18 s later; a quarter has a run id."""
+    return _sides(spark, sf_dir, _DELEGATED, "timestampadd(microsecond, cast((k % 7) * 3000000 as int), ts)", _DELEGATED_SIDES, ("delegated_ts", "agent_ts"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events that are no clicks as records of two sources: each lacks some, two of three transcripts have no
+    uuid, and the metrics' clock is off by up to 2.6 s."""
+    return _sides(spark, sf_dir, _SOURCES, "timestampadd(microsecond, cast((k % 5 - 2) * 1300000 as int), ts)", _SIDES, ("transcript_ts", "metric_ts"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.pricing import current
 from ..functions.text import record_text, self_correction
 from .enrich import ordinal
 from .prompts import as_of, boundaries
@@ -41,6 +42,52 @@ def limit_episodes(calls: DataFrame, quiet_minutes: int = 60) -> DataFrame:
     return marked.groupBy("allowance_pool", "session", "episode").agg(F.count("*").alias("hits"), F.min("started_at").alias("first_hit"), F.max("started_at").alias("last_hit"))
 
 
+#: What a limit says: which, and when it ends, on the wall clock of a zone; the date is left out for short ones.
+RESET = r"hit your (\w+) limit.*?resets (?:([A-Z][a-z]{2}) (\d{1,2})(?:,| at)? )?(\d{1,2})(?::(\d{2}))?(am|pm) \(([A-Za-z_/+-]+)\)"
+
+
+def limit_resets(records: DataFrame) -> DataFrame:
+    """Limits by what they say about their end: limit, resets_at (microseconds), hits, sessions, first_hit, last_hit. One
+    limit strikes all live sessions, so hits that name the same end are one. A time without a date is its next
+    occurrence after the hit. Hits that name no end (or an unknown zone) are one row for each session, limit
+    ``unstated``, without resets_at."""
+    spark = records.sparkSession
+    zones = sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray() if z != "SystemV")
+    hits = records.where("type = 'assistant' and error_kind = 'rate_limit'").select("session", "ts", F.try_to_timestamp("ts").alias("at"), record_text(F.col("is_text"), F.col("text"), F.col("blocks")).alias("said"))
+    part = lambda n: F.regexp_extract("said", RESET, n)
+    read = hits.select("session", "ts", "at", *[part(n).alias(c) for n, c in enumerate(("limit", "month", "day", "hour", "minute", "half", "zone"), 1)])
+    known = F.col("at").isNotNull() & F.col("zone").isin(*zones) & F.col("hour").try_cast("int").between(1, 12) & (F.coalesce(F.col("minute").try_cast("int"), F.lit(0)) < 60)
+    read = read.withColumn("zone", F.when(known, F.col("zone"))).withColumn("local", F.from_utc_timestamp("at", F.col("zone")))
+    minutes = F.expr("(try_cast(hour as int) % 12 + if(half = 'pm', 12, 0)) * 60 + coalesce(try_cast(minute as int), 0)")
+    clock = lambda day: day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    today = clock(F.to_date("local"))
+    named = lambda year: clock(F.try_to_timestamp(F.concat_ws(" ", year.cast("string"), "month", "day"), F.lit("yyyy MMM d")).cast("date"))
+    this, following = named(F.year("local")), named(F.year("local") + 1)
+    now = F.col("local").cast("timestamp_ntz")
+    end = F.when(F.col("month") != "", F.when(this >= now, this).otherwise(following)).otherwise(F.when(today > now, today).otherwise(today + F.expr("interval 1 day")))
+    ended = read.withColumn("resets_at", F.unix_micros(F.to_utc_timestamp(end.cast("timestamp"), F.col("zone"))))
+    stated = F.col("resets_at").isNotNull()
+    keyed = ended.select(F.when(stated, F.col("limit")).otherwise("unstated").alias("limit"), "resets_at", F.when(~stated, F.col("session")).alias("alone"), "session", "ts")
+    return keyed.groupBy("limit", "resets_at", "alone").agg(F.count("*").alias("hits"), F.count_distinct("session").alias("sessions"), F.min("ts").alias("first_hit"), F.max("ts").alias("last_hit")).drop("alone")
+
+
+def headroom(calls: DataFrame, verdicts: DataFrame, rates: DataFrame) -> DataFrame:
+    """For each Overprovisioned verdict what a cheaper tier would have saved of its pool: value_e8, repriced_e8, reclaimable_e8 and its
+    parts per million of the pool's whole use. Calls above the expected tier are priced anew by the dearest rates of that tier in
+    the pool. It is an upper bound: it takes for granted that the cheaper model needs as many tokens."""
+    over = verdicts.where("justification = 'Overprovisioned'").select("work_unit_id", "allowance_pool", "expected_tier")
+    cents = ("in_cents", "out_cents", "write_cents", "read_cents")
+    tiers = current(rates).where("billable").groupBy(F.col("tier").alias("expected_tier"), F.col("pool").alias("allowance_pool")).agg(*[F.max(c).alias(c) for c in cents])
+    used = calls.where(F.col("billable") & F.col("model_tier").isin(*C.TIERS)).join(over, ["work_unit_id", "allowance_pool"]).join(F.broadcast(tiers), ["expected_tier", "allowance_pool"])  # a row a tier and pool
+    anew = F.expr("input_tokens * in_cents + output_tokens * out_cents + cache_write_tokens * write_cents + cache_read_tokens * read_cents")
+    priced = F.when(ordinal(F.col("model_tier")) > ordinal(F.col("expected_tier")), F.least(anew, F.col("value_e8"))).otherwise(F.col("value_e8"))
+    sums = used.groupBy("work_unit_id", "allowance_pool", "expected_tier").agg(F.sum("value_e8").alias("value_e8"), F.sum(priced).alias("repriced_e8"))
+    pools = calls.groupBy("allowance_pool").agg(F.sum("value_e8").alias("pool_e8"))
+    out = sums.join(pools, "allowance_pool").withColumn("reclaimable_e8", F.col("value_e8") - F.col("repriced_e8"))
+    share = F.expr("cast(cast(reclaimable_e8 as decimal(28, 0)) * 1000000 div nullif(pool_e8, 0) as long)")
+    return out.select("work_unit_id", F.col("allowance_pool").alias("headroom_pool"), "expected_tier", "value_e8", "repriced_e8", "reclaimable_e8", share.alias("share_ppm"), F.lit(True).alias("upper_bound"))
+
+
 def user_marks(records: DataFrame, calls: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
     """For each work unit: failed tool results, interruptions, and the turn after which the last of these came. A
     user's record belongs to the last turn that is not later."""

@@ -11,8 +11,8 @@ from . import adapters
 from . import constants as C
 from .functions import text
 from .functions.pricing import priced, registry, resolve
-from .operators import allowance, enrich, outcomes, prompts, reconcile, turns
-from .oracle import _FIRED, _MATRIX, _RATES, branch_kind, command_verb, over_allowance, over_events, over_outcomes, over_sources, over_usage, path_class, vocabulary, web_host
+from .operators import allowance, delegation, enrich, outcomes, prompts, reconcile, turns
+from .oracle import _FIRED, _MATRIX, _RATES, branch_kind, command_verb, over_allowance, over_delegated, over_events, over_headroom, over_limits, over_outcomes, over_sources, over_usage, path_class, vocabulary, web_host
 from .plans import checks, ledger, views
 from .tables import stored
 
@@ -289,6 +289,17 @@ _add(
     over_sources(f"select *, 100 * delta > 2 * tokens as alarm from (select sources, count(*) as records, sum({_TOKENS})::bigint as tokens, coalesce(sum(abs(reconciliation_delta)), 0)::bigint as delta from reconciled group by 1) x"),
 )
 
+_add("limit_resets", lambda s, d: outcomes.limit_resets(adapters.records(s, d)), over_limits('select "limit", resets_at, count(*) as hits, count(distinct session) as sessions, min(ts) as first_hit, max(ts) as last_hit from resets group by "limit", resets_at, alone'))
+_add(
+    "headroom", _over_ledger(lambda t: outcomes.headroom(t.api_call, t.verdict, t.model_registry)),
+    over_headroom("select h.*, cast(reclaimable_e8::hugeint * 1000000 // nullif(pool_e8, 0) as bigint) as share_ppm, true as upper_bound from headroom h join pools using (headroom_pool)"),
+)
+_add(
+    "delegated_calls", lambda s, d: delegation.attributed(*adapters.delegated(s, d)),
+    over_delegated("""select d.id as delegation_id, a.id as agent_id, parent_prompt_id, coalesce(d.cwd, a.cwd) as cwd, coalesce(d.ts, a.ts) as ts, tokens, coalesce(trust, 'none') as trust, a.id is null as orphaned
+        from delegations d left join given2 g on g.delegation_id = d.id full join agent_runs a on a.id = g.agent_id"""),
+)
+
 # --- scalar functions ----------------------------------------------------------------
 
 _PATHS = "source || '/' || lang || '/' || cast(doc_id as varchar) || case when doc_id % 3 = 0 then '.tar.gz' when doc_id % 3 = 1 then '.md' else '' end"
