@@ -13,23 +13,38 @@ _MESSAGE = """id string, model string, content string,
 _BLOCKS = "array<struct<type: string, text: string, name: string, input: string, is_error: boolean>>"
 
 
-def read_lines(spark: SparkSession, folder: str, ingested_at: str = "", stream: bool = False, most_files: int | None = None) -> DataFrame:
-    """The non-blank lines of all ``*.jsonl`` files below a folder in RAW_SCHEMA. The hash
-    covers session, file name, line number and line, so a grown file adds its tail only
-    and equal lines stay apart. Files that vanish are skipped."""
-    reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true").option("wholetext", "true")
+def raw_lines(spark: SparkSession, folder: str, stream: bool = False, most_files: int | None = None) -> DataFrame:
+    """file_path, file_name, block and payload of the non-blank lines of all ``*.jsonl`` files below a folder, trimmed. Files
+    are split like any text: a task reads a block of a file, which begins at byte ``block``. Files that vanish are skipped."""
+    reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true")
     if stream and most_files:
         reader = reader.option("maxFilesPerTrigger", str(most_files))
-    files = reader.schema("value string").format("text").load(folder).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value")
-    kept = F.filter(F.transform(F.split("value", r"\r\n|\n|\r", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    lines = files.select("file_path", "file_name", F.posexplode(kept).alias("n", "payload"))
+    about = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file_path"), ("file_name", "file_name"), ("file_block_start", "block"))]
+    lines = reader.schema("value string").format("text").load(folder).select(*about, F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("payload"))
+    return lines.where("payload <> ''")
+
+
+def numbered(lines: DataFrame, ingested_at: str = "") -> DataFrame:
+    """The lines in RAW_SCHEMA, numbered from 1 in their files. A line's number is its place in its block and the counts of
+    the blocks before, so no task needs a whole file. The hash covers session, file name, line number and line, so a
+    grown file adds its tail only and equal lines stay apart."""
+    placed = lines.withColumn("place", F.monotonically_increasing_id())  # a block's lines follow each other in one partition
+    blocks = placed.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    order = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("file_path", "block", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     named = lambda key: F.nullif(F.get_json_object("payload", key), F.lit(""))
     session = F.coalesce(named("$.sessionId"), named("$.session_id"), F.regexp_replace("file_name", r"\.jsonl$", ""))
-    rows = lines.select("file_path", "file_name", "payload", (F.col("n") + 1).alias("line_no"), session.alias("session_id"))
+    number = (F.col("place") - F.col("first") + F.col("before") + 1).cast("int")
+    rows = placed.join(before, ["file_path", "block"]).select("file_path", "file_name", "payload", number.alias("line_no"), session.alias("session_id"))
     digest = F.sha2(F.concat_ws("\u0000", "session_id", "file_name", F.col("line_no").cast("string"), "payload"), 256)
     return rows.select(F.lit("transcript").alias("source"), F.lit(ingested_at).alias("ingested_at"), "session_id", "payload", digest.alias("content_hash"), "file_path", "line_no")
 
 
+def read_lines(spark: SparkSession, folder: str, ingested_at: str = "") -> DataFrame:
+    """All lines below a folder in RAW_SCHEMA."""
+    return numbered(raw_lines(spark, folder), ingested_at)
+
+
 def new_rows(lines: DataFrame, store: DataFrame | None) -> DataFrame:
     """Lines whose hash the store doesn't have, each hash once."""
     fresh = lines.dropDuplicates(["content_hash"])

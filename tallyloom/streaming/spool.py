@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import ACTIVITY_BY_SKILL
 from ..plans.ledger import derive
 from ..sources import store as stores
-from ..sources.transcripts import load_store, new_rows, parse_failures, read_lines, records
+from ..sources.transcripts import load_store, new_rows, numbered, parse_failures, raw_lines, records
 from ..tables import stored
 
 
@@ -22,10 +22,9 @@ def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str, ingeste
     """Reads what is in the folder and stops; the checkpoint remembers the files."""
 
     def append(batch: DataFrame, _: int) -> None:
-        new_rows(batch, load_store(batch.sparkSession, path)).write.mode("append").parquet(path)
+        new_rows(numbered(batch, ingested_at), load_store(batch.sparkSession, path)).write.mode("append").parquet(path)
 
-    lines = read_lines(spark, folder, ingested_at, stream=True)
-    return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return raw_lines(spark, folder, stream=True).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _responses(rows: DataFrame) -> DataFrame:
@@ -85,8 +84,7 @@ def follow(spark: SparkSession, folder: str, store: str, checkpoint: str, activi
         spark_ = batch.sparkSession
         stores.migrate(spark_, store)
         when = f"batch-{number:012d}"
-        new_rows(batch.withColumn("ingested_at", F.lit(when)), load_store(spark_, f"{store}/raw_event")).write.mode("append").parquet(f"{store}/raw_event")
+        new_rows(numbered(batch, when), load_store(spark_, f"{store}/raw_event")).write.mode("append").parquet(f"{store}/raw_event")
         refresh(spark_, store, when, activities, when)
 
-    lines = read_lines(spark, folder, stream=True, most_files=most_files)
-    return lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return raw_lines(spark, folder, stream=True, most_files=most_files).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

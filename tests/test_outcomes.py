@@ -1,5 +1,7 @@
 """Outcome signals, allowance windows and reconciliation against brute force; queries see the tables as they are."""
 
+import hashlib
+import json
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
@@ -113,6 +115,35 @@ def test_outcomes_are_stored_and_read_again(spark, tmp_path):
     assert {r.justification for r in stores.load(spark, str(tmp_path / "store")).verdict.collect()} >= {"Underprovisioned"}
 
 
+# transcripts -----------------------------------------------------------------------
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """Lines of blocks of a few hundred bytes have the numbers and hashes that a walk through the file gives them."""
+    rnd = random.Random(1)
+    for name, n in (("a", 400), ("sub/b", 3), ("c", 0)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        lines = [rnd.choice([json.dumps({"sessionId": f"s{i % 3}", "x": "y" * rnd.randint(0, 90)}), "", "  ", "\u2003{}\u00a0", "no json", json.dumps({"session_id": "é"})]) + rnd.choice(["\n", "\r\n"]) for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(lines) + ("{}" if n else ""), newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        made = transcripts.read_lines(spark, str(tmp_path))
+        assert transcripts.raw_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+        got = sorted((r.file_path.rsplit("/", 1)[1], r.line_no, r.session_id, r.payload, r.content_hash) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = []
+    for path in tmp_path.rglob("*.jsonl"):
+        kept = [x.strip() for x in path.read_bytes().decode().replace("\r\n", "\n").split("\n") if x.strip()]
+        for n, line in enumerate(kept, 1):
+            about = json.loads(line) if line.startswith("{") else {}
+            session = about.get("sessionId") or about.get("session_id") or path.stem
+            want.append((path.name, n, session, line, hashlib.sha256("\0".join((session, path.name, str(n), line)).encode()).hexdigest()))
+    assert got == sorted(want) and len(want) > 200
+
+
 # updates ---------------------------------------------------------------------------
 
 DERIVED = ("api_call", "work_unit", "prompt_unit", "tool_call", "classification", "verdict", "model_registry")
