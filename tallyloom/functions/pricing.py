@@ -35,10 +35,10 @@ def resolve(models: DataFrame, rates: DataFrame) -> DataFrame:
     return pairs.groupBy("model").agg(best).select("model", "r.pattern", "r.tier", "r.pool", "r.billable", "r.in_cents", "r.out_cents", "r.write_cents", "r.read_cents")
 
 
-def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:
+def priced(calls: DataFrame, rates: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Calls with model_tier, allowance_pool, billable and value_e8 (1e-8 dollars, exact).
-    Unknown models have tier ``unknown`` and value 0."""
-    out = calls.join(resolve(calls, rates), "model", "left")
+    Unknown models have tier ``unknown`` and value 0. ``models``: where the calls' models are found with less work than in them."""
+    out = calls.join(resolve(calls if models is None else models, rates), "model", "left")
     value = F.expr("input_tokens * in_cents + output_tokens * out_cents + cache_write_tokens * write_cents + cache_read_tokens * read_cents")
     return out.withColumns({
         "model_tier": F.coalesce("tier", F.lit("unknown")), "allowance_pool": F.coalesce("pool", F.lit("unknown")),

@@ -59,7 +59,7 @@ def calls_of(records: DataFrame, rates: DataFrame, marks: DataFrame | None = Non
     """Deduplicated, ordered and priced turns with their arc and prompt."""
     turns = with_arcs(sequenced(deduplicated(records)))
     marks = boundaries(records) if marks is None else marks
-    out = priced(as_of(turns, marks, "prompt"), rates)
+    out = priced(as_of(turns, marks, "prompt"), rates, records.where("type = 'assistant'"))
     return out.withColumns({
         "id": F.concat_ws("|", F.coalesce("message_id", F.lit("")), F.coalesce("request_id", F.lit(""))), "work_unit_id": unit_id(F.col("session"), F.col("arc")),
         "prompt_unit_id": F.when(F.col("prompt").isNotNull(), F.concat_ws(":", "session", F.lit("prompt"), "prompt")), "notional_list_value_usd": usd(F.col("value_e8")),

@@ -36,7 +36,7 @@ def _arced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = priced(_arced(spark, sf_dir), registry(spark)).withColumn("work_unit_id", ledger.unit_id(F.col("session"), F.col("arc")))
+    calls = priced(_arced(spark, sf_dir), registry(spark), adapters.usage(spark, sf_dir)).withColumn("work_unit_id", ledger.unit_id(F.col("session"), F.col("arc")))
     return ledger.work_units(calls)
 
 
@@ -86,7 +86,7 @@ _add(
 
 
 def _conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = priced(_arced(spark, sf_dir), registry(spark)).withColumn("work_unit_id", ledger.unit_id(F.col("session"), F.col("arc")))
+    calls = priced(_arced(spark, sf_dir), registry(spark), adapters.usage(spark, sf_dir)).withColumn("work_unit_id", ledger.unit_id(F.col("session"), F.col("arc")))
     units = ledger.work_units(calls).agg(F.sum("value_e8").alias("units_e8"), F.sum("turns").alias("unit_turns"))
     return calls.agg(F.sum("value_e8").alias("calls_e8"), F.count("*").alias("calls")).crossJoin(units)  # one row each
 
@@ -101,7 +101,7 @@ def _routines(units: DataFrame) -> DataFrame:
 _ROUTINES = "select anchor_skill as routine, '{pool}' as allowance_pool, count(*) as runs, {usd} as notional_list_value_usd, {mean} as mean_per_run_notional_list_value_usd, sum(turns)::bigint as turns from {units} where {arc} group by anchor_skill"
 _add("routine_ledger", lambda s, d: _routines(_usage_units(s, d)), over_usage(_ROUTINES.format(pool=C.POOL, usd=usd("sum(v)"), mean=cents("(sum(v)::bigint // count(*))"), units=f"({_UNITS}) u", arc="arc >= 0")))
 _add(
-    "pricing_four_fields", lambda s, d: priced(turns.deduplicated(adapters.usage(s, d)), registry(s)).groupBy("model", "model_tier").agg(F.count("*").alias("calls"), F.sum("value_e8").alias("value_e8")),
+    "pricing_four_fields", lambda s, d: priced(turns.deduplicated(adapters.usage(s, d)), registry(s), adapters.usage(s, d)).groupBy("model", "model_tier").agg(F.count("*").alias("calls"), F.sum("value_e8").alias("value_e8")),
     over_usage("select model, model_tier, count(*) as calls, sum(value_e8)::bigint as value_e8 from priced group by model, model_tier"),
 )
 _add(
