@@ -15,8 +15,8 @@ from .ledger import Ledger
 
 #: caveat, summary, detail
 CAVEATS = (
-    ("no_headroom", "Every dollar figure is notional list value, not money billed", "Seats are subscriptions; the share of a pool's allowance needs an allowance model that this engine does not have, so no headroom figure is given."),
-    ("no_underprovisioned", "The verdict Underprovisioned is never given", "It needs outcome signals that are not built; as it would override all others, every number leans towards over-provisioned."),
+    ("no_headroom", "Every dollar figure is notional list value, not money billed", "Seats are subscriptions; no view shows headroom, as a pool's capacity is known only where a limit has struck, and then roughly."),
+    ("no_underprovisioned", "The verdict Underprovisioned is not given", "Unless outcome signals are asked for; as it overrides all others, without them every number leans towards over-provisioned."),
     ("provisional_classification", "Every classification is provisional and must not be acted on", "The classifier is a deterministic heuristic that no gold set has validated."),
     ("work_type_partial", "Synthesis and Reasoning are never assigned", "Anchored arcs are Agentic by rule; see the work type distribution before reading a verdict."),
     ("score_zero_gap", "The share of score 0 differs from the hand-read figure", "The gap is reported; the thresholds were not adjusted to close it."),
