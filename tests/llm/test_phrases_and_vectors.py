@@ -164,6 +164,20 @@ def test_topk(spark, monkeypatch, shard, queries, batch, chunk):
     assert found(spark, rows) == best(rows, 5, 20)
 
 
+def test_topk_without_a_broadcast(spark, monkeypatch):
+    """Queries beyond the broadcast threshold: partitions of both sides are paired, and rows are the same."""
+    monkeypatch.setattr(topk, "SHARD", 32)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rows = vectors(8, 150, 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = topk.nearest(table(spark, rows), F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "BroadcastNestedLoop" not in plan
+        assert found(spark, rows) == best(rows, 5, 20)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_topk_of_few_ragged_and_huge_vectors(spark):
     rows = [(0, []), (20, [1.0]), (40, [-1.0, 2.0, 3.0]), (3, [1e30, -1e30]), (60, [3e5, 1.0]), (61, [-2.5e5])]
     assert found(spark, rows) == best(rows, 5, 20)
