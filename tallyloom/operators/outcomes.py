@@ -12,6 +12,7 @@ from ..functions.pricing import current
 from ..functions.text import record_text, self_correction
 from .enrich import ordinal
 from .prompts import as_of, boundaries
+from .scan import previous
 
 #: Files edited so often are thrashed; corrections that count; prompts back that a prompt is compared with; percent of words that make it a restatement.
 THRASH, CORRECTIONS, PROMPTS_BACK, ALIKE = 4, 2, 5, 80
@@ -102,8 +103,7 @@ def user_marks(records: DataFrame, calls: DataFrame, hold: Callable[[DataFrame],
 def escalations(calls: DataFrame) -> DataFrame:
     """How often a work unit's billable calls, without sidechains, went on with a higher tier."""
     known = calls.where(F.col("billable") & ~F.col("sidechain") & F.col("model_tier").isin(*C.TIERS)).select("work_unit_id", "idx", ordinal(F.col("model_tier")).alias("rank"))
-    before = F.lag("rank").over(Window.partitionBy("work_unit_id").orderBy("idx"))
-    return known.withColumn("up", F.col("rank") > before).groupBy("work_unit_id").agg(F.count_if("up").alias("model_escalated"))
+    return previous(known, "rank", "before", "idx", "work_unit_id").withColumn("up", F.expr("rank > before")).groupBy("work_unit_id").agg(F.count_if("up").alias("model_escalated"))
 
 
 def restatements(records: DataFrame, prompts: DataFrame, back: int = PROMPTS_BACK, alike: int = ALIKE, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import debug_language, record_text, self_correction
+from .scan import in_order, numbered, running
 
 
 def boundaries(records: DataFrame, said: bool = False) -> DataFrame:
@@ -15,24 +16,25 @@ def boundaries(records: DataFrame, said: bool = False) -> DataFrame:
     listed = F.arrays_overlap(kinds, F.array(F.lit("text"), F.lit("image"))) & ~F.array_contains(kinds, "tool_result")
     spoken = F.when(F.col("is_text"), F.col("text").rlike(r"(?U)\S")).otherwise(listed)
     rows = records.where("type = 'user' and session is not null and session <> ''").where(~F.coalesce("meta", F.lit(False)) & ~F.coalesce("sidechain", F.lit(False)) & F.coalesce(spoken, F.lit(False)))
-    order = Window.partitionBy("session").orderBy(F.coalesce("ts", F.lit("")), "pos")
     prose = [record_text(F.col("is_text"), F.col("text"), F.col("blocks")).alias("said")] if said else []
-    return rows.select("session", F.coalesce("ts", F.lit("")).alias("ts"), "pos", *prose).withColumn("prompt", F.row_number().over(order) - 1).drop("pos")
+    return numbered(rows.select("session", F.coalesce("ts", F.lit("")).alias("ts"), "pos", *prose), "prompt", "ts", "pos").drop("pos")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     """Adds ``name``: the number, less one, of the marks (session, ts) of a row's session
-    that are not later than the row; null where there are none. Ties count."""
+    that are not later than the row; null where there are none. Ties count: of one time the marks
+    come first. Rows without a session go."""
     both = rows.withColumn("_mark", F.lit(0)).unionByName(marks.select("session", "ts", F.lit(1).alias("_mark")), allowMissingColumns=True)
-    order = Window.partitionBy("session").orderBy(F.coalesce("ts", F.lit(""))).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = both.withColumn(name, F.sum("_mark").over(order) - 1).where("_mark = 0").drop("_mark")
-    return counted.withColumn(name, F.when(F.col(name) >= 0, F.col(name).cast("int")))
+    placed = in_order(both, "session", F.coalesce("ts", F.lit("")), F.desc("_mark"), F.xxhash64(*rows.columns))
+    counted = running(placed, F.col("_mark"), name).where("_mark = 0").drop("_mark", "at")
+    return counted.withColumn(name, F.when(F.col(name) > 0, (F.col(name) - 1).cast("int")))
 
 
 def language(records: DataFrame, marks: DataFrame) -> DataFrame:
-    """session, prompt and the share of its non-blank records that use each vocabulary."""
+    """session, prompt and the share of its non-blank records that use each vocabulary. Records are
+    reduced to what their prose uses before they are put in order."""
     spoken = records.where("type in ('user', 'assistant') and session is not null and session <> ''")
-    prose = spoken.select("session", "ts", record_text(F.col("is_text"), F.col("text"), F.col("blocks")).alias("said"))
-    marked = as_of(prose, marks, "prompt").where("prompt is not null").where(F.col("said").rlike(r"(?U)\S"))
-    share = lambda flag: F.avg(flag.cast("int"))
-    return marked.groupBy("session", "prompt").agg(share(debug_language(F.col("said"))).alias("debug_share"), share(self_correction(F.col("said"))).alias("correction_share"))
+    prose = spoken.select("session", "ts", record_text(F.col("is_text"), F.col("text"), F.col("blocks")).alias("said")).where(F.col("said").rlike(r"(?U)\S"))
+    used = prose.select("session", "ts", debug_language(F.col("said")).cast("int").alias("debug"), self_correction(F.col("said")).cast("int").alias("correction"))
+    marked = as_of(used, marks, "prompt").where("prompt is not null")
+    return marked.groupBy("session", "prompt").agg(F.avg("debug").alias("debug_share"), F.avg("correction").alias("correction_share"))

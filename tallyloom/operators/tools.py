@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import target
 from .prompts import as_of
+from .scan import numbered
 
 
 def tool_calls(records: DataFrame, turns: DataFrame) -> DataFrame:
@@ -16,6 +17,5 @@ def tool_calls(records: DataFrame, turns: DataFrame) -> DataFrame:
     rows = records.where("type = 'assistant' and session is not null and session <> ''")
     blocks = rows.select("session", "ts", "pos", "sidechain", F.posexplode_outer(F.filter("blocks", lambda b: b["type"] == "tool_use")).alias("place", "b")).where("b.name is not null and b.name <> ''")
     given = F.coalesce(F.from_json("b.input", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    order = Window.partitionBy("session").orderBy("pos", "place")
-    calls = blocks.select("session", "ts", F.coalesce("sidechain", F.lit(False)).alias("sidechain"), F.col("b.name").alias("tool_name"), target(F.col("b.name"), given).alias("target"), (F.row_number().over(order) - 1).alias("ordinal"))
-    return as_of(calls, turns, "turn_index").withColumn("turn_index", F.coalesce("turn_index", F.lit(-1)))
+    calls = blocks.select("session", "ts", F.coalesce("sidechain", F.lit(False)).alias("sidechain"), F.col("b.name").alias("tool_name"), target(F.col("b.name"), given).alias("target"), "pos", "place")
+    return as_of(numbered(calls, "ordinal", "pos", "place").drop("pos", "place"), turns, "turn_index").withColumn("turn_index", F.coalesce("turn_index", F.lit(-1)))

@@ -8,9 +8,11 @@ blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import numbered, previous, running
+
 TOKENS = ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens")
 FIRST_SEEN = ("session", "model", "ts", "cwd", "branch", "version", "api_error_status")
 
@@ -27,24 +29,21 @@ def deduplicated(records: DataFrame) -> DataFrame:
 
 
 def sequenced(turns: DataFrame) -> DataFrame:
-    """Turns numbered from 0 in each session; turns without a session are set aside."""
-    order = Window.partitionBy("session").orderBy(F.coalesce("ts", F.lit("")), F.coalesce("message_id", F.lit("")), "pos")
-    return turns.where("session is not null and session <> ''").withColumn("idx", F.row_number().over(order) - 1)
+    """Turns numbered from 0 in each session; turns without a session are set aside. Stored once in order."""
+    return numbered(turns.where("session is not null and session <> ''"), "idx", F.coalesce("ts", F.lit("")), F.coalesce("message_id", F.lit("")), "pos", "request_id")
 
 
 def with_arcs(turns: DataFrame) -> DataFrame:
     """Adds run_start (a skill that the turn before doesn't have) and arc (-1 before the first)."""
-    order = Window.partitionBy("session").orderBy("idx")
-    run = F.col("skill").isNotNull() & ~F.col("skill").eqNullSafe(F.lag("skill").over(order))
-    marked = turns.withColumn("run_start", run)
-    return marked.withColumn("arc", (F.sum(F.col("run_start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    run = F.col("skill").isNotNull() & ~F.col("skill").eqNullSafe(F.col("before"))
+    marked = previous(turns, "skill", "before", "idx").withColumn("run_start", run).drop("before")
+    return running(marked, F.col("run_start").cast("int"), "arc", "idx").withColumn("arc", (F.col("arc") - 1).cast("int"))
 
 
 def anchor_runs(turns: DataFrame) -> DataFrame:
-    """session, arc, skill, start_turn and tag_end of each run of one skill."""
-    order = Window.partitionBy("session", "arc").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = turns.where("arc >= 0").withColumn("gap", F.max(F.col("skill").isNull().cast("int")).over(order))
-    return tagged.where("gap = 0").groupBy("session", "arc").agg(F.min_by("skill", "idx").alias("skill"), F.min("idx").alias("start_turn"), F.max("idx").alias("tag_end"))
+    """session, arc, skill, start_turn and tag_end of each run of one skill. In an arc the turns with its
+    skill come first, since a skill after a gap begins an arc of its own."""
+    return turns.where("arc >= 0 and skill is not null").groupBy("session", "arc").agg(F.min_by("skill", "idx").alias("skill"), F.min("idx").alias("start_turn"), F.max("idx").alias("tag_end"))
 
 
 def arcs(turns: DataFrame) -> DataFrame:
@@ -64,7 +63,8 @@ def to_session_end(turns: DataFrame) -> DataFrame:
 
 
 def claims(turns: DataFrame, rule: DataFrame) -> DataFrame:
-    """How many arcs of a rule claim each turn."""
-    spans = rule.select("session", "start_turn", "end_turn")
-    hit = turns.select("session", "idx").join(spans, "session").where("idx between start_turn and end_turn")
-    return turns.select("session", "idx").join(hit.groupBy("session", "idx").agg(F.count("*").alias("claimed")), ["session", "idx"], "left").withColumn("claimed", F.coalesce("claimed", F.lit(0)))
+    """How many arcs of a rule claim each turn: a running sum of the arcs that begin at a turn less those that ended before it."""
+    changes = rule.select("session", F.col("start_turn").alias("idx"), F.lit(1).alias("change")).unionByName(rule.select("session", (F.col("end_turn") + 1).alias("idx"), F.lit(-1).alias("change")))
+    at_turn = changes.groupBy("session", "idx").agg(F.sum("change").alias("change"))
+    rows = turns.select("session", "idx").join(at_turn, ["session", "idx"], "left")
+    return running(rows, F.coalesce("change", F.lit(0)), "claimed", "idx").drop("change")
