@@ -47,5 +47,10 @@ def previous(rows: DataFrame, column: str, name: str, at: str = "at", by: str =
 
 
 def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
-    """Adds ``name``: the row's number in its session, from 0, in this order."""
-    return running(in_order(rows, "session", *order), F.lit(1), name).withColumn(name, (F.col(name) - 1).cast("int")).drop("at")
+    """Adds ``name``: the row's number in its session, from 0, in this order. In a partition of the sort ``at`` has no
+    gaps, so a row's number follows from its partition's first place and the rows of the partitions before; no window takes rows."""
+    placed = in_order(rows, "session", *order).withColumn("_part", F.shiftright("at", 33))
+    earlier = Window.partitionBy("session").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("session", "_part").agg(F.min("at").alias("_first"), F.count("*").alias("_rows"))
+    begun = parts.select("session", "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_begun"))
+    return placed.join(begun, ["session", "_part"]).withColumn(name, (F.col("at") + F.col("_begun")).cast("int")).drop("at", "_part", "_begun")

@@ -35,6 +35,16 @@ def _arced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.with_arcs(turns.sequenced(turns.deduplicated(adapters.usage(spark, sf_dir))))
 
 
+def _claims(rule: Callable[[DataFrame], DataFrame]) -> Query:
+    """The claims of a rule, whose arcs and turns are derived once."""
+
+    def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+        arced = _arced(spark, sf_dir)
+        return turns.claims(arced, rule(arced))
+
+    return claims
+
+
 def _usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = priced(_arced(spark, sf_dir), registry(spark), adapters.usage(spark, sf_dir)).withColumn("work_unit_id", ledger.unit_id(F.col("session"), F.col("arc")))
     return ledger.work_units(calls)
@@ -72,12 +82,12 @@ _ARCS = "select session, arc, first(skill order by idx) as skill, min(idx) as st
 _add("arcs", lambda s, d: turns.arcs(_arced(s, d)), over_usage(_ARCS))
 _add("unattributable_turns", lambda s, d: _arced(s, d).where("arc < 0").select("session", "idx", "message_id"), over_usage("select session, idx, message_id from arced where arc < 0"))
 _add(
-    "tagged_only", lambda s, d: turns.claims(_arced(s, d), turns.tagged_only(_arced(s, d))).groupBy("claimed").agg(F.count("*").alias("turns")),
+    "tagged_only", lambda s, d: _claims(turns.tagged_only)(s, d).groupBy("claimed").agg(F.count("*").alias("turns")),
     over_usage("""select cast(case when arc >= 0 and not gap then 1 else 0 end as bigint) as claimed, count(*) as turns from
         (select *, bool_or(skill is null) over (partition by session, arc order by idx rows unbounded preceding) as gap from arced) g group by 1"""),
 )
-_add("baseline_overlap", lambda s, d: turns.claims(_arced(s, d), turns.to_session_end(_arced(s, d))), over_usage("select session, idx, cast(greatest(arc + 1, 0) as bigint) as claimed from arced"))
-_add("claimed_counts", lambda s, d: turns.claims(_arced(s, d), turns.arcs(_arced(s, d))), over_usage("select session, idx, cast(case when arc >= 0 then 1 else 0 end as bigint) as claimed from arced"))
+_add("baseline_overlap", _claims(turns.to_session_end), over_usage("select session, idx, cast(greatest(arc + 1, 0) as bigint) as claimed from arced"))
+_add("claimed_counts", _claims(turns.arcs), over_usage("select session, idx, cast(case when arc >= 0 then 1 else 0 end as bigint) as claimed from arced"))
 _UNITS = "select work_unit_id as id, session, arc, case when arc >= 0 then first(skill order by idx) end as anchor_skill, min(idx) as start_turn, max(idx) as end_turn, count(*) as turns, sum(value_e8) as v from priced group by work_unit_id, session, arc"
 _add(
     "arc_ledger", lambda s, d: _usage_units(s, d).select("id", "session", "kind", "anchor_skill", "start_turn", "end_turn", "turns", "notional_list_value_usd"),
