@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import adapters
+from tallyloom.functions.pricing import registry
 from tallyloom.operators import scan, turns
 from tallyloom.operators.outcomes import escalations
-from tallyloom.operators.prompts import as_of
+from tallyloom.operators.prompts import as_of, latest
+from tallyloom.plans import ledger
 from tallyloom.tables import stored
 
 
@@ -97,3 +100,32 @@ def test_escalations_across_pieces(spark, piece):
     calls = spark.createDataFrame([("u", 3 * i, t, True, i % 7 == 6) for i, t in enumerate(tiers)], "work_unit_id string, idx int, model_tier string, billable boolean, sidechain boolean")
     kept = [("small", "mid", "frontier").index(t) for i, t in enumerate(tiers) if i % 7 != 6]
     assert [tuple(r) for r in escalations(calls).collect()] == [("u", sum(b > a for a, b in zip(kept, kept[1:], strict=False)))]
+
+
+def test_small_and_large_sessions_together(spark, monkeypatch):
+    """Sessions of up to PIECE rows take one window, longer ones are cut: both as the walk says, in one table."""
+    monkeypatch.setattr(scan, "PIECE", 20)
+    deal = random.Random(7)
+    rows = [(deal.choice(["S", "S", "S", "T", f"u{i % 30}", None, ""]), deal.choice([None, "t1", "t2", "t3"]), f"m{i}", deal.choice([None, None, "a", "b"])) for i in range(300)]
+    marks = [(deal.choice(["S", "T", "u1", "u2"]), deal.choice([None, "t1", "t2"])) for _ in range(60)]
+    known = scan.sizes(turns_of(spark, rows))
+    assert known.small and {"S", "T"} <= set(known.large)
+    places, found = walked(rows)
+    marked = stored(turns.walked(turns_of(spark, rows), spark.createDataFrame(marks, "session string, ts string")), "walked")
+    assert {(r.session, r.idx): (r.message_id, r.arc) for r in marked.collect()} == places
+    earlier = lambda r: sum(m[0] == r.session and (m[1] or "") <= (r.ts or "") for m in marks)
+    assert all(r.prompt == (earlier(r) - 1 if earlier(r) else None) for r in marked.collect())
+    plain = turns.walked(turns_of(spark, rows))
+    assert {(r.session, r.idx): (r.message_id, r.arc) for r in plain.collect()} == places
+    claimed = {(r.session, r.idx): r.claimed for r in turns.claims(plain, turns.arcs(plain)).collect()}
+    assert claimed == {(s, i): sum(f[0] == s and f[3] <= i <= f[5] for f in found) for s, i in places}
+    asked = spark.createDataFrame([(deal.choice("STu"), deal.choice([None, "t0", "t1", "t3"]), i) for i in range(40)], "session string, ts string, id int")
+    got = {r.id: (r.idx, r.arc) for r in latest(asked, marked, "idx", "arc").collect()}
+    last = lambda r: max((m.idx for m in marked.collect() if m.session == r.session and (m.ts or "") <= (r.ts or "")), default=None)
+    assert got == {r.id: (last(r), None if last(r) is None else places[r.session, last(r)][1]) for r in asked.collect()}
+
+
+def test_calls_of_small_sessions_are_dealt_once(spark, tmp_path):
+    """After deduplication one shuffle by session and no shuffled join, where there had been a sort and a join for each scan."""
+    plan = ledger.calls_of(adapters.records(spark, "/root/testdata/sf0.001"), registry(spark))._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(session") == 1 and "SortMergeJoin" not in plan
