@@ -7,6 +7,7 @@ from tallyloom import queries
 DATA = "/root/testdata/sf0.001"
 HELD = {
     "v_unscored_arcs": 1,
+    "complexity_bucket": 2,
 }
 
 
