@@ -8,6 +8,7 @@ DATA = "/root/testdata/sf0.001"
 HELD = {
     "v_unscored_arcs": 1,
     "complexity_bucket": 2,
+    "v_work_unit_shape": 1,
 }
 
 
