@@ -9,6 +9,7 @@ HELD = {
     "v_unscored_arcs": 1,
     "complexity_bucket": 2,
     "v_work_unit_shape": 1,
+    "v_activity_ledger": 4,
 }
 
 
