@@ -10,6 +10,7 @@ HELD = {
     "complexity_bucket": 2,
     "v_work_unit_shape": 1,
     "v_activity_ledger": 4,
+    "verdicts": 2,
 }
 
 
