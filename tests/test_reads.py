@@ -11,6 +11,7 @@ HELD = {
     "v_work_unit_shape": 1,
     "v_activity_ledger": 4,
     "verdicts": 2,
+    "v_work_unit_verbs": 0,
 }
 
 
