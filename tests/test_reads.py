@@ -12,6 +12,7 @@ HELD = {
     "v_activity_ledger": 4,
     "verdicts": 2,
     "v_work_unit_verbs": 0,
+    "cohort_turns": 3,
 }
 
 
