@@ -13,6 +13,7 @@ HELD = {
     "verdicts": 2,
     "v_work_unit_verbs": 0,
     "cohort_turns": 3,
+    "v_verdict_readable": 4,
 }
 
 
